@@ -8,20 +8,53 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, secrets
-from .common import table
+from . import chat, fmindex, jaccard, lattice, packing, quality, secrets, toxicity, urls
+from .common import id_remainder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"), urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
+
+
 def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.link_credentials(table(spark, sf_dir, "documents"))
 
 
+def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_offending", "offending")
+
+
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fmindex.with_verdict(fmindex.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    items = F.array_sort("items")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(id_remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    return lattice.score_texts(table(spark, sf_dir, "documents"), PIECES, held)
+
+
+def op8_host_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    titles = pages.select(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    return urls.filter_urls(pages, URL_RULES, urls.word_counts(titles, "title"))
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -38,7 +71,39 @@ def op10_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONTROL_SQL = "|".join(c.replace("[", r"\[").replace("]", r"\]") for c in (r"\\", *chat.CONTROL))
 
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+SPACED_SQL = WORDS_SQL.format(r"[^\x20\x09-\x0D]+")
+PLAIN_SQL = WORDS_SQL.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {SPACED_SQL} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n, sha256(array_to_string(list_sort(s), chr(10))) AS c, s FROM s),
+c AS (SELECT c, min(doc_id) AS doc_id FROM n WHERE n > 0 GROUP BY c),
+r AS (SELECT n.* FROM n JOIN c USING (c, doc_id)),
+t AS (SELECT doc_id, n, unnest(s) AS s FROM r),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+g AS (SELECT doc_id AS a, doc_id AS b FROM r UNION SELECT g.a, p.b FROM g JOIN p ON g.b = p.a),
+m AS (SELECT a, min(b) AS component_id FROM g GROUP BY a)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(m.component_id, n.doc_id) AS component_id
+FROM n LEFT JOIN c ON n.c = c.c AND n.n > 0 LEFT JOIN m ON c.doc_id = m.a""",
+    "op6_fm_index_decontamination": f"""
+WITH d AS (SELECT doc_id, {PLAIN_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {PLAIN_SQL} AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+z AS (SELECT DISTINCT n FROM q),
+o AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+    FROM (SELECT d.*, z.n, unnest(range(1, len(w) - z.n + 2)) AS i FROM d, z WHERE len(w) >= z.n)),
+h AS (SELECT DISTINCT o.doc_id, o.i, o.n, q.item_id FROM o JOIN q ON o.n = q.n AND o.s = q.s),
+k AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
+e AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN e USING (doc_id)""",
     "op10_event_sourced_chat": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -56,4 +121,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id""",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_links, op5_sum_of_squares_packing, op9_decision_list, op10_event_sourced_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_ngram_jaccard, op2_secret_links, op3_noisy_or_toxicity, op5_sum_of_squares_packing, op6_fm_index_decontamination,
+    op7_lattice_likelihood, op8_host_segmentation, op9_decision_list, op10_event_sourced_chat,
+)}
