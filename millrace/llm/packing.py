@@ -14,7 +14,7 @@ an input without rows yields none.
 
 from __future__ import annotations
 
-import re
+import base64
 from zlib import crc32
 
 import numpy as np
@@ -24,55 +24,52 @@ from pyspark.sql import DataFrame
 from .common import arrow_map
 
 WINDOW, END_ID = 2048, 1
-#: Where splitting at spaces could differ from the tokenizer's own splitting.
-ODD = re.compile(r" \s|\s ")
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes, by a byte-level BPE file.
+    """Ids as little-endian unsigned 32-bit bytes, by a tokenizers file.
 
-    The file's splitting rule never joins text across a single space, so each chunk (a space
-    and what follows, up to the next one) has ids of its own; they are remembered. Texts with
-    other white space next to a space, or with the file's special tokens, go whole.
+    With ``ranks_path``, the same vocabulary as tiktoken ranks, most texts are encoded by tiktoken,
+    which takes a quarter of the time; texts with the file's special tokens are not, and one text
+    of every batch is encoded by both, so that files of different vocabularies are noticed.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
-        self.tok, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tok, self.fast = Tokenizer.from_file(path), None
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        if ranks_path:
+            import tiktoken
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def slow(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        for t in texts:
-            if ODD.search(t) or any(s in t for s in self.special):
-                split.append(None)
-                continue
-            chunks = t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None
-            split.append(chunks)
-            if chunks:
-                missing.update(dict.fromkeys(c for c in chunks if c not in known))
-        words = list(missing)
-        known.update(zip(words, self._ids(words), strict=True))
-        whole = iter(self._ids([t for t, c in zip(texts, split, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join([known[w] for w in c]) for c in split]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+        if not self.fast or not texts:
+            return self.slow(texts)
+        ids = [b"" if any(s in t for s in self.special) else self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
+        whole = [k for k, (t, b) in enumerate(zip(texts, ids, strict=True)) if t and not b]
+        for k, b in zip(whole, self.slow([texts[k] for k in whole]), strict=True):
+            ids[k] = b
+        probe = min(range(len(texts)), key=lambda k: abs(len(texts[k]) - 500))
+        if self.slow([texts[probe]]) != [ids[probe]]:
+            raise ValueError("the tokenizer's file and the ranks differ")
+        return ids
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(*files: str | None) -> Encoder:
     """One per Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if files not in _encoders:
+        _encoders[files] = Encoder(*files)
+    return _encoders[files]
 
 
 class Packer:
@@ -173,7 +170,7 @@ class Packer:
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, max_open: int = 1024) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW, end_id: int = END_ID, max_open: int = 1024) -> DataFrame:
     """One row per piece: where it stands in its document and in its sequence."""
     end = np.array([end_id], dtype="<u4").tobytes()
     kind = df.schema[id_col].dataType.simpleString()
@@ -192,7 +189,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
                 packer.finish()
                 yield from rows()
                 return
-            codes = encoder(tokenizer_path)
+            codes = encoder(tokenizer_path, ranks_path, pattern)
             for i in range(0, len(ids), 512):
                 for doc, b in zip(ids[i : i + 512], codes.encode([t or "" for t in texts[i : i + 512]]), strict=True):
                     packer.add(doc, b + end)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from . import chat, fmindex, jaccard, lattice, packing, quality, secrets, toxicity, urls
 from .common import id_remainder, table
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: A tokenizers file, the same vocabulary as ranks, and its splitting pattern.
+TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,7 +36,7 @@ def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack(table(spark, sf_dir, "documents"), **TOKENIZER)
 
 
 def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

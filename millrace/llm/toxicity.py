@@ -69,7 +69,7 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(feats, dtype=np.int64), np.array([*starts, len(feats)], dtype=np.int64), np.array([*docs, len(starts)], dtype=np.int64)
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = 12, batch: int = 200, rate: float = 0.3, shrink: float = 1e-4, least_docs: int = 3, seed: int = 0) -> Model:
+def train(texts: list[str], toxic: list[int], epochs: int = 25, batch: int = 200, rate: float = 1.0, shrink: float = 1e-4, least_docs: int = 3, toxic_weight: float = 4.0, seed: int = 0) -> Model:
     y_all = np.array(toxic, dtype=np.float64)
     model = Model(np.zeros(1 << BITS), -20.0)
     if not len(y_all) or y_all.min() == y_all.max():
@@ -97,7 +97,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 12, batch: int = 200
             p = 1 / (1 + np.exp(-z))
             none = np.exp(np.bincount(doc_of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(part)))
             y = y_all[part]
-            ratio = np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)
+            ratio = np.where(y > 0, -toxic_weight * none / np.maximum(1 - none, 1e-9), 1.0)
             dz = p * ratio[doc_of]
             grad = np.bincount(at, weights=dz[sent_of], minlength=1 << BITS) / len(part)
             grad = np.where(use, grad + shrink * w * (grad != 0), 0.0)
@@ -164,7 +164,7 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, te
     return [r[0] for r in got], [r[1] for r in got]
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = 4000) -> Model:
     return train(*labelled(docs, labels, usable, id_col, text_col, label_col, max_per_class))
 
 
