@@ -1,10 +1,671 @@
-"""Every query of the library by name, with SQL that gives the same rows."""
+"""Every query of the library by name, bound to the test tables, with SQL that gives the same rows.
+
+Bindings: user lines of ``conversations`` are the message spine, its assistant lines the bot's
+turns; ``customer`` are users and ``orders`` their records; ``embeddings`` labels users by number;
+``events`` carry time. Values that these tables lack are made from keys, alike on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from millrace.functions import canon as C
+from millrace.functions import text as X
+from millrace.functions import values as V
+from millrace.operators import aggregates as A
+from millrace.operators import clustering as K
+from millrace.operators import spine as S
+from millrace.operators import terms as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def pick(raw: list[str | None], key):
+    """A value by key, around the list."""
+    a = F.array(*[F.lit(x).cast("string") for x in raw])
+    return F.element_at(a, (key % len(raw)).cast("int") + 1)
+
+
+def pick_sql(raw: list[str | None], key: str) -> str:
+    return f"[{', '.join('NULL' if x is None else q(x) for x in raw)}][({key} % {len(raw)}) + 1]"
+
+
+def case_sql(table: dict, key: str, default: str = "NULL") -> str:
+    return f"CASE {key} {' '.join(f'WHEN {q(str(k))} THEN {q(v) if isinstance(v, str) else v}' for k, v in table.items())} ELSE {default} END"
+
+
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+FOLD = STRIP.format("lower(strip_accents({}))")
+
+
+def fold_sql(c: str) -> str:
+    return FOLD.format(c)
+
+
+SPINE = r"""s AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn, pos) - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS n_msgs_user
+  FROM (SELECT CAST(conv_id AS VARCHAR) AS user_id, turn, pos, regexp_replace(l[pos], '^\s+|\s+$', '', 'g') AS message
+    FROM (SELECT *, unnest(range(1, len(l) + 1)) AS pos
+      FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '\d{7,}', '[redacted]', 'g'), chr(10)) AS l FROM conversations WHERE role = 'user')))
+  WHERE length(trim(replace(message, '[redacted]', ''))) >= 3 AND NOT regexp_matches(trim(replace(message, '[redacted]', '')), '^\d+$')
+    AND lower(trim(replace(message, '[redacted]', ''))) NOT IN ('undefined', '?', '')),
+m AS (SELECT *, substr(sha1(user_id || chr(0) || CAST(seq AS VARCHAR) || chr(0) || message), 1, 16) AS message_id FROM s)"""
+
+
+def spine_of(spark, d) -> DataFrame:
+    rows = read(spark, d, "conversations").where("role = 'user'")
+    return S.message_spine(rows, "conv_id", ["turn"], "text")
+
+
+@query(f"WITH {SPINE} SELECT user_id, turn, seq, n_msgs_user, message, message_id FROM m")
+def spine(spark, d):
+    return spine_of(spark, d)
+
+
+@query("SELECT c_custkey, substr(sha256('salt' || regexp_replace(regexp_replace(trim(c_name), '\\.0+$', ''), '\\D', '', 'g')), 1, 12) AS user_id FROM customer")
+def pseudonymize(spark, d):
+    return read(spark, d, "customer").select("c_custkey", X.pseudonym(F.col("c_name"), "salt").alias("user_id"))
+
+
+@query(f"SELECT doc_id, md5({fold_sql('text')}) AS folded FROM documents")
+def fold_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"))
+
+
+CITIES = ["Medellin Antioquia", "Belén", "Belen de Umbria", "cali", "Calima", None, "123", "Colombia", "Bogotá D.C.", "santa marta centro", " Soacha ", "otra"]
+CITY_SQL = f"""CASE WHEN r IS NULL OR k IN ('', 'nan') OR regexp_matches(k, '^\\d+$') OR k IN ({', '.join(map(q, V.NOT_A_CITY))}) THEN 'Otra'
+  ELSE coalesce({case_sql(V.CITY, 'k')}, CASE {' '.join(f"WHEN starts_with(k, {q(a + ' ')}) THEN {q(b)}" for a, b in V.CITY.items() if a not in V.CITY_WHOLE_ONLY)} END, 'Otra') END"""
+
+
+@query(f"""SELECT c_custkey, city_canon, {case_sql(V.DEPARTMENT, 'city_canon')} AS department, reason FROM (
+  SELECT c_custkey, {CITY_SQL} AS city_canon, CASE WHEN r IS NULL OR k IN ('', 'nan') THEN 'missing' WHEN regexp_matches(k, '^\\d+$') THEN 'numeric token'
+    WHEN k IN ({', '.join(map(q, V.NOT_A_CITY))}) THEN 'country/region, not a city' ELSE '' END AS reason
+  FROM (SELECT c_custkey, r, {fold_sql('r')} AS k FROM (SELECT c_custkey, {pick_sql(CITIES, 'c_custkey')} AS r FROM customer)))""")
+def city_canon_prefix(spark, d):
+    raw = read(spark, d, "customer").select("c_custkey", pick(CITIES, F.col("c_custkey")).alias("r"))
+    return raw.select("c_custkey", C.city(F.col("r")).alias("city_canon"), C.not_a_city(F.col("r")).reason.alias("reason")).withColumn("department", C.department(F.col("city_canon")))
+
+
+@query("""SELECT c_custkey, band, CASE band WHEN '0-17' THEN 0 WHEN '18-24' THEN 1 WHEN '25-34' THEN 2 WHEN '35-44' THEN 3 WHEN '45-54' THEN 4 WHEN '55+' THEN 5 ELSE 6 END AS band_order, flag FROM (
+  SELECT c_custkey, CASE WHEN a >= 0 AND a < 18 THEN '0-17' WHEN a >= 18 AND a < 25 THEN '18-24' WHEN a >= 25 AND a < 35 THEN '25-34' WHEN a >= 35 AND a < 45 THEN '35-44'
+    WHEN a >= 45 AND a < 55 THEN '45-54' WHEN a >= 55 AND a < 150 THEN '55+' ELSE 'Not specified' END AS band, CASE WHEN a < 18 THEN 'unreliable_sub18' ELSE 'ok' END AS flag
+  FROM (SELECT c_custkey, TRY_CAST(CASE WHEN c_custkey % 11 = 0 THEN 'x' ELSE CAST(c_custkey % 80 AS VARCHAR) END AS DOUBLE) AS a FROM customer))""")
+def age_bucket(spark, d):
+    age = F.when(F.col("c_custkey") % 11 == 0, "x").otherwise((F.col("c_custkey") % 80).cast("string")).try_cast("double")
+    rows = read(spark, d, "customer").select("c_custkey", age.alias("a"))
+    return rows.select("c_custkey", C.age_band(F.col("a")).alias("band"), C.age_flag(F.col("a")).alias("flag")).withColumn("band_order", C.age_order(F.col("band")))
+
+
+GENDERS, FOUND, LANGS = ["Mujer", "hombre", " F ", "Transgénero", "x y", None, "Otro"], ["Redes sociales", "Otro migrante", "An NGO", "radio", None], ["es", " EN", "French", "xx", None]
+YES, SPANS = ["Sí", "si", "NO", "tal vez", None, ""], ["menos de 1 mes", "Entre 1 a 3 meses", "Hace más de 5 años", "mucho", None]
+GENDER_SQL = case_sql(V.GENDER, fold_sql("coalesce(g, '')"), q(V.GENDER_REST))
+
+
+@query(f"""SELECT c_custkey, CASE WHEN {fold_sql("coalesce(g, '')")} IN ('', 'nan', 'none') THEN '' ELSE {GENDER_SQL} END AS gender,
+  CASE WHEN f IS NULL THEN NULL WHEN f IN ({', '.join(q(x) for x in sorted(set(V.DISCOVERY.values())))}) THEN f ELSE {case_sql(V.DISCOVERY, 'f', q('Other'))} END AS discovery,
+  coalesce({case_sql(V.LANGUAGE, 'lower(trim(l))')}, CASE WHEN l IN ('English', 'French', 'Spanish') THEN l END, 'Not specified') AS language,
+  CASE WHEN {fold_sql("coalesce(y, '')")} IN ('', 'nan', 'none') THEN '' ELSE coalesce({case_sql(V.YES_NO, fold_sql('y'))}, trim(y)) END AS yes_no,
+  coalesce({case_sql({x: i for i, x in enumerate(['menos de 1 mes', 'entre 1 a 3 meses', 'entre 3 meses y 1 ano', 'entre 1 a 5 anos', 'hace mas de 5 anos'])}, fold_sql('a'))}, -1) AS away_order,
+  coalesce({case_sql(dict(zip(['menos de 1 mes', 'entre 1 a 3 meses', 'entre 3 meses y 1 ano', 'entre 1 a 5 anos', 'hace mas de 5 anos'], V.AWAY.values(), strict=True)), fold_sql('a'))}, 'Did not respond') AS away
+FROM (SELECT c_custkey, {pick_sql(GENDERS, 'c_custkey')} AS g, {pick_sql(FOUND, 'c_custkey')} AS f, {pick_sql(LANGS, 'c_custkey')} AS l, {pick_sql(YES, 'c_custkey')} AS y, {pick_sql(SPANS, 'c_custkey')} AS a FROM customer)""")
+def value_displays(spark, d):
+    k = F.col("c_custkey")
+    away = C.on_scale(V.AWAY, pick(SPANS, k))
+    label, order = C.or_no_answer(away.display, away.order)
+    return read(spark, d, "customer").select("c_custkey", C.gender(pick(GENDERS, k)).alias("gender"), C.discovery(pick(FOUND, k)).alias("discovery"), C.language(pick(LANGS, k)).alias("language"), C.yes_no(pick(YES, k)).alias("yes_no"), order.alias("away_order"), label.alias("away"))
+
+
+@query("""SELECT o_custkey, CASE WHEN o_orderpriority LIKE '1-%' THEN 'v1' ELSE 'v2' END AS cohort FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
+def cohort_first_record(spark, d):
+    first = S.first_row_per(read(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"])
+    return first.select("o_custkey", F.when(F.col("o_orderpriority").like("1-%"), "v1").otherwise("v2").alias("cohort"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY t DESC NULLS FIRST, o_orderkey DESC) AS rn
+  FROM (SELECT *, CASE WHEN o_orderkey % 97 <> 0 THEN o_orderdate END AS t FROM orders)) WHERE rn = 1""")
+def latest_per_user(spark, d):
+    rows = read(spark, d, "orders").withColumn("t", F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderdate")))
+    return S.latest_per(rows, "o_custkey", "t", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""SELECT user_id, arg_min(p, ROW(ts, event_id)) FILTER (WHERE p IS NOT NULL) AS first_purchase, arg_min(c, ROW(ts, event_id)) FILTER (WHERE c IS NOT NULL) AS first_click, min(ts) AS first_seen
+FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS p, CASE WHEN event_type = 'click' THEN event_id END AS c FROM events) GROUP BY user_id""")
+def first_non_null_profile(spark, d):
+    e = read(spark, d, "events").withColumn("p", F.when(F.col("event_type") == "purchase", F.col("value"))).withColumn("c", F.when(F.col("event_type") == "click", F.col("event_id")))
+    return e.groupBy("user_id").agg(S.first_value("p", "ts", "event_id").alias("first_purchase"), S.first_value("c", "ts", "event_id").alias("first_click"), F.min("ts").alias("first_seen"))
+
+
+def users_of(spark, d) -> DataFrame:
+    labels = read(spark, d, "embeddings").select(F.col("vec_id").alias("c_custkey"), F.col("label").alias("cluster_id"))
+    return S.with_labels(read(spark, d, "customer"), labels, "c_custkey", "cluster_id", V.NO_CLUSTER)
+
+
+USERS = "u AS (SELECT c.*, coalesce(e.label, -1) AS cluster_id FROM customer c LEFT JOIN embeddings e ON c.c_custkey = e.vec_id)"
+
+
+@query(f"WITH {USERS} SELECT c_custkey, cluster_id, CASE WHEN cluster_id = -1 THEN 'No conversation text' ELSE 'c' || cluster_id END AS cluster FROM u")
+def label_left_join_default(spark, d):
+    name = F.when(F.col("cluster_id") == V.NO_CLUSTER, V.NO_CLUSTER_NAME).otherwise(F.concat(F.lit("c"), F.col("cluster_id").cast("string")))
+    return users_of(spark, d).select("c_custkey", "cluster_id", name.alias("cluster"))
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS has_purchase FROM customer")
+def membership_flag(spark, d):
+    buyers = read(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("c_custkey"))
+    return S.member_flag(read(spark, d, "customer").select("c_custkey"), buyers, "c_custkey", "has_purchase")
+
+
+TOXIC = r"\b(?:idiot|moron|loser|scum|trash|clown)\b"
+GOLD = f"g AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' ELSE 'not_negative' END AS human, CASE WHEN regexp_matches(text, '(?i){TOXIC}') THEN 'negative' ELSE 'not_negative' END AS model FROM labels JOIN documents USING (doc_id))"
+
+
+def gold_of(spark, d) -> DataFrame:
+    labels, docs = read(spark, d, "labels"), read(spark, d, "documents")
+    if n := S.gate_unmatched(labels, docs, "doc_id"):
+        raise ValueError(f"{n} labels have no document")
+    word = lambda c: F.when(c, "negative").otherwise("not_negative")
+    return labels.join(docs, "doc_id").select("doc_id", word(F.col("toxic") == 1).alias("human"), word(X.probe(F.col("text"), TOXIC)).alias("model"))
+
+
+@query(f"WITH {GOLD} SELECT * FROM g")
+def gold_alignment(spark, d):
+    return gold_of(spark, d)
+
+
+@query("WITH " + GOLD + ", l AS (SELECT unnest(['negative', 'not_negative']) AS x) SELECT a.x AS human, b.x AS model, (SELECT count(*) FROM g WHERE human = a.x AND model = b.x) AS n FROM l a, l b")
+def confusion_full_grid(spark, d):
+    return A.confusion(gold_of(spark, d), "human", "model", ["negative", "not_negative"])
+
+
+@query(f"""WITH {GOLD}, t AS (SELECT count(*) AS n, avg(CASE WHEN human = model THEN 1.0 ELSE 0 END) AS p_o,
+  avg(CASE WHEN human = 'negative' THEN 1.0 ELSE 0 END) AS h, avg(CASE WHEN model = 'negative' THEN 1.0 ELSE 0 END) AS o FROM g)
+SELECT n, p_o, h * o + (1 - h) * (1 - o) AS p_e, (p_o - (h * o + (1 - h) * (1 - o))) / (1 - (h * o + (1 - h) * (1 - o))) AS kappa FROM t""")
+def cohens_kappa(spark, d):
+    return A.kappa(gold_of(spark, d), "human", "model")
+
+
+@query("""WITH c AS (SELECT lang AS a, quality AS b, count(*) AS o FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT a, sum(o) AS na FROM c GROUP BY a), k AS (SELECT b, sum(o) AS nb FROM c GROUP BY b), n AS (SELECT CAST(sum(o) AS DOUBLE) AS n FROM c),
+x AS (SELECT sum((coalesce(o, 0) - na * nb / n) ^ 2 / (na * nb / n)) AS chi2, min(na * nb / n) AS least_expected, any_value(n) AS n FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c USING (a, b)),
+s AS (SELECT chi2, least_expected, n, (SELECT count(*) FROM r) AS r, (SELECT count(*) FROM k) AS k FROM x),
+v AS (SELECT *, greatest(0, chi2 / n - (r - 1) * (k - 1) / (n - 1)) AS phi, r - (r - 1) ^ 2 / (n - 1) AS rc, k - (k - 1) ^ 2 / (n - 1) AS kc FROM s)
+SELECT chi2, (r - 1) * (k - 1) AS dof, least_expected, sqrt(phi / least(rc - 1, kc - 1)) AS cramers_v, 'chi2' AS test, sqrt(phi / least(rc - 1, kc - 1)) >= 0.1 AND least_expected >= 5 AS meaningful FROM v""")
+def cramers_v(spark, d):
+    return A.association(read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id"), "lang", "quality")
+
+
+REGISTRY = [("The", "institution", r"\bthe\b"), ("And", "institution", r"\band\b"), ("And", "institution", r"\bor\b"), ("Thing", "procedure", "thing"), ("Tion", "procedure", r"tion\w*\b"), ("Of", "procedure", r"\bof\b"), ("skip", "ignore", "")]
+ENTITY = " UNION ALL ".join(f"SELECT {q(e)} AS entity, {q(k)} AS kind, {q('|'.join(f'(?:{p})' for x, _, p in REGISTRY if x == e))} AS p" for e, k in dict((e, k) for e, k, _ in REGISTRY if k != "ignore").items())
+HITS = f"{SPINE}, e AS ({ENTITY}), x AS (SELECT user_id, message_id, entity, kind FROM m JOIN e ON regexp_matches({fold_sql('message')}, p))"
+
+
+@query(f"WITH {HITS} SELECT * FROM x")
+def entity_regex_join(spark, d):
+    return T.entity_rows(spine_of(spark, d), "message", REGISTRY, "user_id", "message_id")
+
+
+@query(f"WITH {HITS} SELECT kind, entity, count(*) AS n FROM x GROUP BY kind, entity")
+def entity_counts_by_kind(spark, d):
+    return T.entity_rows(spine_of(spark, d), "message", REGISTRY, "message_id").groupBy("kind", "entity").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {HITS} SELECT (SELECT count(DISTINCT message_id) FROM x) AS hit, (SELECT count(*) FROM m) AS total")
+def entity_coverage(spark, d):
+    return T.entity_coverage(spine_of(spark, d), "message", REGISTRY)
+
+
+@query(rf"""WITH {SPINE}, w AS (SELECT user_id, message_id, regexp_extract_all({fold_sql('message')}, '[\p{{L}}]+') AS w FROM m WHERE NOT regexp_matches({fold_sql('message')}, '\bthe\b')),
+t AS (SELECT user_id, message_id, unnest(list_filter(w, lambda x: length(x) >= 4)) AS term FROM w
+  UNION ALL SELECT user_id, message_id, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w) WHERE length(w[i]) >= 4 AND length(w[i + 1]) >= 4)
+SELECT term, count(*) AS n_msgs, count(DISTINCT user_id) AS n_users, min(message_id) AS example FROM t GROUP BY term HAVING count(DISTINCT user_id) >= 4 ORDER BY n_users DESC, term LIMIT 40""")
+def entity_candidates(spark, d):
+    return T.candidates(spine_of(spark, d), "user_id", "message", "message_id", REGISTRY[:1], [], 4, 40)
+
+
+PROBES = {"need": r"\b(?:need|the)\b", "tion": r"tion\b", "was": r"\bwas\b", "none": r"\bzzz\b"}
+
+
+@query(f"WITH {SPINE}, p AS (" + " UNION ALL ".join(f"SELECT {q(t)} AS theme, {q('(?i)' + p)} AS p" for t, p in PROBES.items()) + ") SELECT theme, count(*) AS n_messages, count(DISTINCT user_id) AS n_users FROM m JOIN p ON regexp_matches(message, p) GROUP BY theme")
+def theme_probes(spark, d):
+    return T.themes(spine_of(spark, d), "user_id", "message", PROBES)
+
+
+TFIDF = r"""k AS (SELECT lang AS label, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 3) AS t FROM documents),
+dd AS (SELECT term FROM (SELECT unnest(list_distinct(t)) AS term FROM k) GROUP BY term HAVING count(*) >= 5),
+tf AS (SELECT label, term, count(*) AS tf FROM (SELECT label, unnest(t) AS term FROM k) JOIN dd USING (term) GROUP BY label, term),
+wt AS (SELECT label, term, tf / sum(tf) OVER (PARTITION BY label) * ln((SELECT count(DISTINCT label) FROM k) / count(*) OVER (PARTITION BY term)) AS weight FROM tf),
+tt AS (SELECT label, rank, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, term) - 1 AS rank FROM wt) WHERE rank < 10)"""
+
+
+def terms_of(spark, d) -> DataFrame:
+    return T.ctfidf(read(spark, d, "documents"), "lang", "text", [])
+
+
+@query(f"WITH {TFIDF} SELECT label, rank, term, weight FROM tt")
+def ctfidf_terms(spark, d):
+    return terms_of(spark, d)
+
+
+@query(f"WITH {TFIDF}, o AS (SELECT *, count(*) OVER (PARTITION BY term) = 1 AS once FROM tt) SELECT label, rank, term, weight FROM (SELECT *, bool_or(once) OVER (PARTITION BY label) AS own FROM o) WHERE once OR NOT own")
+def exclusive_terms(spark, d):
+    return T.exclusive(terms_of(spark, d))
+
+
+@query(f"WITH {TFIDF}, h AS (SELECT label, source, term, weight FROM documents JOIN tt ON lang = label AND contains(lower(text), lower(term))) SELECT label, source, term, count(*) * any_value(weight) AS weight FROM h GROUP BY label, source, term")
+def term_contains_join(spark, d):
+    return T.term_users(terms_of(spark, d), read(spark, d, "documents").withColumnRenamed("lang", "label"), "label", "source", "text")
+
+
+@query(f"""WITH {TFIDF}, h AS (SELECT label, text, term, row_number() OVER (PARTITION BY label ORDER BY rank, source, doc_id) AS rn FROM documents JOIN tt ON lang = label AND contains(lower(text), lower(term)) WHERE length(text) BETWEEN 60 AND 400)
+SELECT l.label, coalesce(h.text, '—') AS quote, h.term FROM (SELECT DISTINCT label FROM tt) l LEFT JOIN h ON l.label = h.label AND rn = 1""")
+def voices_priority(spark, d):
+    return T.voices(read(spark, d, "documents").withColumnRenamed("lang", "label"), terms_of(spark, d), "label", "source", "doc_id", "text", 60, 400)
+
+
+@query(f"WITH {USERS} SELECT cluster_id, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM u GROUP BY cluster_id")
+def cluster_share(spark, d):
+    return A.share(users_of(spark, d), "cluster_id")
+
+
+@query(f"""WITH {USERS}, n AS (SELECT c_nationkey FROM u GROUP BY c_nationkey ORDER BY count(*) DESC, CAST(c_nationkey AS VARCHAR) LIMIT 5),
+t AS (SELECT CASE WHEN c_nationkey IN (SELECT c_nationkey FROM n) THEN CAST(c_nationkey AS VARCHAR) ELSE 'Other' END AS city, cluster_id FROM u)
+SELECT city, cluster_id, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY city) AS share FROM t GROUP BY city, cluster_id""")
+def city_cluster_mix(spark, d):
+    rows = users_of(spark, d).select(F.col("c_nationkey").cast("string").alias("city"), "cluster_id")
+    return A.share(A.top_or_rest(rows, "city", 5), "city", "cluster_id")
+
+
+EVENTS = "v AS (SELECT e.*, coalesce(x.label, -1) AS cluster_id FROM events e LEFT JOIN embeddings x ON e.user_id = x.vec_id)"
+
+
+def events_of(spark, d) -> DataFrame:
+    labels = read(spark, d, "embeddings").select(F.col("vec_id").alias("user_id"), F.col("label").alias("cluster_id"))
+    return S.with_labels(read(spark, d, "events"), labels, "user_id", "cluster_id", V.NO_CLUSTER)
+
+
+@query(f"WITH {EVENTS} SELECT date_trunc('week', ts) AS week, " + ", ".join(f"count(*) FILTER (WHERE cluster_id = {i}) AS c{i}" for i in range(10)) + " FROM v GROUP BY 1")
+def weekly_cluster_pivot(spark, d):
+    rows = events_of(spark, d).groupBy(F.date_trunc("week", "ts").alias("week")).pivot("cluster_id", list(range(10))).agg(F.count(F.lit(1)))
+    return rows.na.fill(0).withColumnsRenamed({str(i): f"c{i}" for i in range(10)})
+
+
+@query(f"WITH {EVENTS} SELECT date_trunc('week', ts) AS bucket, cluster_id, user_id, count(*) AS n FROM v GROUP BY ALL")
+def weekly_regrain(spark, d):
+    return S.regrain(events_of(spark, d), "ts", "week", "cluster_id", "user_id")
+
+
+@query("SELECT date_trunc('day', ts) AS bucket, user_id, count(*) AS n FROM events GROUP BY ALL")
+def daily_volume(spark, d):
+    return S.regrain(read(spark, d, "events"), "ts", "day", "user_id")
+
+
+RARE = "r AS (SELECT * FROM events WHERE event_id % 500 = 0)"
+
+
+@query(f"WITH {RARE}, b AS (SELECT unnest(generate_series((SELECT min(date_trunc('day', ts)) FROM r), (SELECT max(date_trunc('day', ts)) FROM r), INTERVAL 1 DAY)) AS bucket) SELECT bucket, nullif((SELECT count(*) FROM r WHERE date_trunc('day', ts) = bucket), 0) AS n FROM b")
+def daily_calendar_fill(spark, d):
+    return S.calendar(read(spark, d, "events").where("event_id % 500 = 0"), "ts", "day", F.count("*").alias("n"))
+
+
+@query(f"WITH {EVENTS}, w AS (SELECT date_trunc('week', ts) AS week, cluster_id, count(*) AS n FROM v GROUP BY ALL) SELECT *, avg(n) OVER (PARTITION BY cluster_id ORDER BY week ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM w")
+def rolling3_centered(spark, d):
+    weekly = S.regrain(events_of(spark, d), "ts", "week", "cluster_id").withColumnRenamed("bucket", "week")
+    return S.rolling3(weekly, ["cluster_id"], "week", "n", "smooth")
+
+
+@query("SELECT date_trunc('day', ts) AS bucket, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, bucket LIMIT 3")
+def top_days(spark, d):
+    return S.regrain(read(spark, d, "events"), "ts", "day").orderBy(F.desc("n"), "bucket").limit(3)
+
+
+FUN = f"{SPINE}, p AS (SELECT c.conv_id, n FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT user_id, any_value(n_msgs_user) AS n FROM m GROUP BY user_id) x ON CAST(c.conv_id AS VARCHAR) = x.user_id), h AS (SELECT CAST(ceil(quantile_cont(n, 0.9)) AS BIGINT) AS h FROM p)"
+
+
+def per_user_of(spark, d) -> DataFrame:
+    ids = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("user_id")).distinct()
+    return ids.join(spine_of(spark, d).groupBy("user_id").agg(F.first("n_msgs_user").alias("n")), "user_id", "left")
+
+
+@query(f"""WITH {FUN}, z AS (SELECT 0 AS stage_order, 'Arrived' AS stage, (SELECT count(*) FROM p) AS n UNION ALL SELECT 1, 'Sent a message', (SELECT count(*) FROM p WHERE n >= 1)
+  UNION ALL SELECT 2, 'Sent 2 or more messages', (SELECT count(*) FROM p WHERE n >= 2) UNION ALL SELECT 3, 'Sent ' || (SELECT h FROM h) || ' or more messages', (SELECT count(*) FROM p, h WHERE n >= h)
+  UNION ALL SELECT 4, 'Answered the survey', (SELECT count(*) FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system')))
+SELECT stage_order, stage, n, CASE WHEN stage_order < 4 THEN n / nullif(lag(n) OVER (ORDER BY stage_order), 0) END AS conversion FROM z""")
+def funnel_stages(spark, d):
+    surveyed = read(spark, d, "conversations").where("role = 'system'").select("conv_id").distinct().count()
+    return A.funnel(per_user_of(spark, d), "n", surveyed)
+
+
+@query(f"WITH {FUN} SELECT CAST(conv_id AS VARCHAR) AS user_id, unnest(CASE WHEN n >= h THEN [0, 1, 2, 3] WHEN n >= 2 THEN [0, 1, 2] WHEN n >= 1 THEN [0, 1] ELSE [0] END) AS stage_order FROM p, h")
+def funnel_regrain(spark, d):
+    users = per_user_of(spark, d)
+    heavy = users.agg(F.ceil(F.percentile("n", F.lit(0.9))).alias("h"))
+    n = F.col("n")
+    reached = F.filter(F.array(F.lit(0), F.when(n >= 1, 1), F.when(n >= 2, 2), F.when(n >= F.col("h"), 3)), lambda x: x.isNotNull())
+    return users.join(F.broadcast(heavy)).select("user_id", F.explode(reached).alias("stage_order"))
+
+
+REG = "r AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE o_orderstatus WHEN 'F' THEN 'registration completed' WHEN 'O' THEN 'in progress' ELSE 'abandoned' END AS status, CASE WHEN o_orderpriority LIKE '1-%' THEN 'v1' ELSE 'v2' END AS v FROM orders)"
+
+
+@query(f"WITH {REG}, f AS (SELECT *, first(v) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS cohort FROM r) SELECT o_custkey AS user_id, cohort, unnest([0, CASE status WHEN 'registration completed' THEN 1 WHEN 'abandoned' THEN 2 ELSE 3 END]) AS stage_order, unnest(['registration started', status]) AS stage FROM f")
+def registration_funnel(spark, d):
+    s = F.col("o_orderstatus")
+    rows = read(spark, d, "orders").withColumn("status", F.when(s == "F", "registration completed").when(s == "O", "in progress").otherwise("abandoned")).withColumn("v", F.when(F.col("o_orderpriority").like("1-%"), "v1").otherwise("v2"))
+    cohort = F.first("v").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    order = F.when(F.col("status") == "registration completed", 1).when(F.col("status") == "abandoned", 2).otherwise(3)
+    pair = F.array(F.struct(F.lit(0).alias("stage_order"), F.lit("registration started").alias("stage")), F.struct(order.alias("stage_order"), F.col("status").alias("stage")))
+    return rows.withColumn("cohort", cohort).select(F.col("o_custkey").alias("user_id"), "cohort", F.inline(pair))
+
+
+@query("SELECT DISTINCT source AS user_id, CASE lang WHEN 'es' THEN 'Spanish' WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE 'Not specified' END AS language FROM documents")
+def language_regrain(spark, d):
+    return read(spark, d, "documents").where("lang is not null").select(F.col("source").alias("user_id"), C.language(F.col("lang")).alias("language")).distinct()
+
+
+@query("WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, n, n >= (SELECT quantile_cont(n, 0.9) FROM c) AS is_repeat FROM c")
+def repeat_flag_p90(spark, d):
+    n = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.percentile("n", F.lit(0.9)).alias("p")))).select("user_id", "n", (F.col("n") >= F.col("p")).alias("is_repeat"))
+
+
+PRIORITY = f"""{EVENTS}, cu AS (SELECT cluster_id, user_id, count(*) AS n FROM v GROUP BY ALL), p AS (SELECT quantile_cont(n, 0.9) AS p FROM cu),
+g AS (SELECT cluster_id, sum(n) AS volume, count(*) AS users, avg(CASE WHEN n >= p THEN 100.0 ELSE 0 END) AS pct_repeat FROM cu, p GROUP BY cluster_id),
+t AS (SELECT cluster_id, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) AS negative, avg(value) AS rating FROM v GROUP BY cluster_id), y AS (SELECT * FROM g JOIN t USING (cluster_id))"""
+
+
+def z_sql(c: str) -> str:
+    return f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END"
+
+
+@query(f"WITH {PRIORITY} SELECT *, (z_pct_repeat + z_negative + z_rating) / 3 AS unmet_need FROM (SELECT *, {z_sql('pct_repeat')} AS z_pct_repeat, {z_sql('negative')} AS z_negative, {z_sql('rating')} AS z_rating FROM y)")
+def priority_matrix(spark, d):
+    v = events_of(spark, d)
+    per = v.groupBy("cluster_id", "user_id").agg(F.count("*").alias("n"))
+    p = per.agg(F.percentile("n", F.lit(0.9)).alias("p"))
+    g = per.join(F.broadcast(p)).groupBy("cluster_id").agg(F.sum("n").alias("volume"), F.count("*").alias("users"), F.avg(F.when(F.col("n") >= F.col("p"), 100.0).otherwise(0.0)).alias("pct_repeat"))
+    t = v.groupBy("cluster_id").agg(F.avg((F.col("event_type") == "error").cast("int")).alias("negative"), F.avg("value").alias("rating"))
+    return K.mean_axes(g.join(t, "cluster_id"), "pct_repeat", "negative", "rating")
+
+
+@query("""WITH u AS (SELECT user_id, avg(CASE WHEN event_type = 'purchase' THEN value END) AS a, avg(CASE WHEN event_type = 'error' AND value > 300 THEN value END) AS b, avg(CASE WHEN value > 489 THEN value END) AS c FROM events GROUP BY user_id),
+m AS (SELECT avg(a) AS a, avg(b) AS b, avg(c) AS c, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM u)
+SELECT user_id, list_avg(list_filter([(u.a - m.a) / nullif(sa, 0), (u.b - m.b) / nullif(sb, 0), (u.c - m.c) / nullif(sc, 0)], lambda x: x IS NOT NULL)) AS unmet_need FROM u, m""")
+def unmet_need_by_user(spark, d):
+    part = lambda c: F.avg(F.when(c, F.col("value")))
+    t, v = F.col("event_type"), F.col("value")
+    u = read(spark, d, "events").groupBy("user_id").agg(part(t == "purchase").alias("a"), part((t == "error") & (v > 300)).alias("b"), part(v > 489).alias("c"))
+    base = u.agg(*[F.avg(x).alias(f"m{x}") for x in "abc"], *[F.stddev_pop(x).alias(f"s{x}") for x in "abc"])
+    rows = u.join(F.broadcast(base))
+    for x in "abc":
+        rows = rows.withColumn(f"z{x}", F.try_divide(F.col(x) - F.col(f"m{x}"), F.col(f"s{x}")))
+    return rows.select("user_id", A.mean_of("za", "zb", "zc").alias("unmet_need"))
+
+
+@query(f"WITH {USERS}, g AS (SELECT cluster_id, count(*) AS n_users FROM u WHERE cluster_id >= 0 GROUP BY 1) SELECT cluster_id, n_users, row_number() OVER (ORDER BY n_users DESC, cluster_id) - 1 AS display_order FROM g UNION ALL SELECT -1, NULL, (SELECT count(*) FROM g)")
+def size_rank_sentinel(spark, d):
+    g = A.size_ranked(users_of(spark, d).where("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("n_users")), "cluster_id", "n_users")
+    last = g.agg(F.count("*").cast("int").alias("display_order")).select(F.lit(V.NO_CLUSTER).alias("cluster_id"), F.lit(None).cast("long").alias("n_users"), "display_order")
+    return g.unionByName(last)
+
+
+@query(f"WITH {SPINE} SELECT user_id, seq, message_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY message_id) AS rn FROM m WHERE length(message) BETWEEN 60 AND 190) WHERE rn <= 2")
+def sample_k_per_bucket(spark, d):
+    return S.sample_per_bucket(spine_of(spark, d), ["user_id"], "message_id", 2, F.length("message").between(60, 190)).select("user_id", "seq", "message_id")
+
+
+TONED = f"{SPINE}, z AS (SELECT *, CASE length(message) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS tone FROM m)"
+DOMINANT = "dd AS (SELECT user_id, arg_min(tone, ROW(-n, tone)) AS dominant FROM (SELECT user_id, tone, count(*) AS n FROM z GROUP BY ALL) GROUP BY user_id)"
+
+
+def toned(spark, d) -> DataFrame:
+    r = F.length("message") % 3
+    return spine_of(spark, d).withColumn("tone", F.when(r == 0, "negative").when(r == 1, "neutral").otherwise("positive"))
+
+
+@query(f"WITH {TONED}, {DOMINANT} SELECT user_id, string_agg(message, chr(10) || chr(10) ORDER BY seq) AS conversation, any_value(dominant) AS dominant, count(*) AS n_messages, arg_min(message, seq) AS first_message, arg_max(message, seq) AS last_message FROM z JOIN dd USING (user_id) GROUP BY user_id")
+def conversation_concat(spark, d):
+    return S.conversations_in_full(toned(spark, d), "user_id", "seq", "message", "tone")
+
+
+@query(f"WITH {TONED}, {DOMINANT} SELECT * FROM dd")
+def dominant_label(spark, d):
+    return toned(spark, d).groupBy("user_id").agg(F.mode("tone", True).alias("dominant"))
+
+
+@query(f"WITH {TONED} SELECT user_id, avg(CASE WHEN tone = 'negative' THEN 1.0 ELSE 0 END) AS negative_share FROM z GROUP BY user_id")
+def negative_by_group(spark, d):
+    return toned(spark, d).groupBy("user_id").agg(F.avg((F.col("tone") == "negative").cast("int")).alias("negative_share"))
+
+
+TURNS = r"""tu AS (SELECT CAST(conv_id AS VARCHAR) AS user_id, turn AS msg_turn, u AS user_message, text AS bot_reply, substr(sha1(k), 1, 16) AS reply_key,
+  substr(sha1(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR) || '|' || substr(sha1(k), 1, 16)), 1, 16) AS turn_id
+FROM (SELECT *, lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS k, lag(CASE WHEN role = 'user' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM conversations) WHERE role = 'assistant'),
+gp AS (SELECT *, regexp_matches(bot_reply, '(?i)\bwas\b') AS gap_flag, regexp_matches(bot_reply, '(?i)\bwith\b') AS handoff_flag FROM tu)"""
+
+
+def turns_of(spark, d) -> DataFrame:
+    t = S.bot_turns(read(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    return t.withColumn("gap_flag", X.probe(F.col("bot_reply"), r"\bwas\b")).withColumn("handoff_flag", X.probe(F.col("bot_reply"), r"\bwith\b"))
+
+
+@query(f"WITH {TURNS} SELECT user_id, msg_turn, turn_id, reply_key, user_message, gap_flag, handoff_flag FROM gp")
+def bot_turns(spark, d):
+    return turns_of(spark, d).select("user_id", "msg_turn", "turn_id", "reply_key", "user_message", "gap_flag", "handoff_flag")
+
+
+@query(f"""WITH {TURNS}, k AS (SELECT count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE gap_flag) AS g, count(DISTINCT user_id) FILTER (WHERE gap_flag) AS gu, count(*) FILTER (WHERE handoff_flag) AS h, count(DISTINCT user_id) FILTER (WHERE handoff_flag) AS hu FROM gp)
+SELECT 'coverage_gap' AS metric, 'turn' AS grain, g AS hits, n AS total, 100.0 * g / n AS rate_pct FROM k UNION ALL SELECT 'coverage_gap', 'user', gu, users, 100.0 * gu / users FROM k
+UNION ALL SELECT 'handoff', 'turn', h, n, NULL FROM k UNION ALL SELECT 'handoff', 'user', hu, users, NULL FROM k""")
+def coverage_gap_rates(spark, d):
+    k = turns_of(spark, d).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), *[f for p, c in (("g", "gap_flag"), ("h", "handoff_flag")) for f in (F.count_if(c).alias(p), F.count_distinct(F.when(F.col(c), F.col("user_id"))).alias(p + "u"))])
+    rows = [F.struct(F.lit(m).alias("metric"), F.lit(g).alias("grain"), F.col(a).alias("hits"), F.col(b).alias("total"), A.quotable(100 * F.col(a) / F.col(b), F.lit(ok)).alias("rate_pct")) for m, p, ok in (("coverage_gap", "g", True), ("handoff", "h", False)) for g, a, b in (("turn", p, "n"), ("user", p + "u", "users"))]
+    return k.select(F.inline(F.array(*rows)))
+
+
+@query(f"WITH {TURNS}, e AS ({ENTITY}), x AS (SELECT entity, kind, gap_flag FROM gp JOIN e ON regexp_matches({fold_sql('user_message')}, p)) SELECT kind, entity, count(*) AS n, count(*) FILTER (WHERE gap_flag) AS n_gap, 100.0 * count(*) FILTER (WHERE gap_flag) / count(*) AS pct_gap FROM x GROUP BY kind, entity HAVING count(*) >= 5")
+def gap_entities_floor(spark, d):
+    rows = T.entity_rows(turns_of(spark, d), "user_message", REGISTRY, "gap_flag")
+    return rows.groupBy("kind", "entity").agg(F.count("*").alias("n"), F.count_if("gap_flag").alias("n_gap")).where("n >= 5").withColumn("pct_gap", 100 * F.col("n_gap") / F.col("n"))
+
+
+@query(f"""WITH {GOLD}, k AS (SELECT count(*) FILTER (WHERE model = 'negative' AND human = 'negative') AS tp, count(*) FILTER (WHERE model = 'negative' AND human <> 'negative') AS fp,
+  count(*) FILTER (WHERE model <> 'negative' AND human = 'negative') AS miss, count(*) FILTER (WHERE model <> 'negative') AS sampled FROM g),
+w AS (SELECT *, miss / sampled AS p, 1 + 1.96 * 1.96 / sampled AS dd FROM k), i AS (SELECT *, greatest(0, (p + 1.96 * 1.96 / (2 * sampled)) / dd - 1.96 / dd * sqrt(p * (1 - p) / sampled + 1.96 * 1.96 / (4 * sampled * sampled))) AS lo,
+  least(1, (p + 1.96 * 1.96 / (2 * sampled)) / dd + 1.96 / dd * sqrt(p * (1 - p) / sampled + 1.96 * 1.96 / (4 * sampled * sampled))) AS hi FROM w)
+SELECT tp, fp, miss, sampled, tp / (tp + fp) AS precision, tp / (tp + p * 1000) AS recall, tp / (tp + hi * 1000) AS recall_lo, tp / (tp + lo * 1000) AS recall_hi, miss > 0 AS is_floor, tp / (tp + fp) >= 0.9 AS passed FROM i""")
+def probe_report_wilson(spark, d):
+    g = gold_of(spark, d).select(F.when(F.col("model") == "negative", "matched").otherwise("unmatched").alias("stratum"), F.when(F.col("human") == "negative", "gap").otherwise("not_gap").alias("label"))
+    return A.probe_report(g, "stratum", "label", 1000)
+
+
+PROBS = "[" + ", ".join(f"{{'label': '{e}', 'p': ((doc_id * {7 + 3 * i} + {i}) % 13 + 0.01 * {i}) / 13}}" for i, e in enumerate(V.EMOTIONS)) + "]"
+
+
+@query(f"""WITH p AS (SELECT doc_id, text, list_sort(list_transform(list_filter({PROBS}, lambda x: x.label NOT IN ('surprise', 'disgust')), lambda x: {{'p': x.p, 'label': x.label}}), 'DESC') AS r FROM documents),
+l AS (SELECT *, CASE WHEN r[1].label = 'others' AND r[2].label IN ('sadness', 'fear', 'anger') AND r[1].p - r[2].p < 0.15 THEN r[2].label ELSE r[1].label END AS label FROM p)
+SELECT doc_id, CASE WHEN label = 'others' THEN CASE {' '.join(f"WHEN contains(lower(text), {q(w)}) THEN {q(e)}" for w, e in V.EMOTION_MARKERS)} ELSE label END ELSE label END AS emotion FROM l""")
+def emotion_resolution(spark, d):
+    k = F.col("doc_id")
+    probs = F.array(*[F.struct(F.lit(e).alias("label"), (((k * (7 + 3 * i) + i) % 13 + 0.01 * i) / 13).cast("double").alias("p")) for i, e in enumerate(V.EMOTIONS)])
+    return read(spark, d, "documents").select("doc_id", C.resolve_emotion(probs, F.col("text")).alias("emotion"))
+
+
+LOW = ["hola", "Hola, muchas gracias!", "Bogotá Cali", "no si", "necesito ayuda", "", "Santa Marta.", "¿hola?", "buenas tardes sami"]
+
+
+@query("SELECT c_custkey, " + pick_sql(LOW, "c_custkey") + " AS text, " + pick_sql(["true", "true", "true", "false", "false", "true", "true", "true", "true"], "c_custkey") + "::BOOLEAN AS low FROM customer")
+def low_content_filter(spark, d):
+    t = pick(LOW, F.col("c_custkey"))
+    return read(spark, d, "customer").select("c_custkey", t.alias("text"), X.is_low_content(t).alias("low"))
+
+
+SELF = ["me llamo ana", "Soy andrea y busco", "soy venezolana", "la señora perez", "mi hija tiene 5", "Mi  nombre es X", "somos tres"]
+
+
+@query("SELECT c_custkey, " + pick_sql(["true", "true", "false", "true", "false", "true", "false"], "c_custkey") + "::BOOLEAN AS named FROM customer")
+def self_id_filter(spark, d):
+    return read(spark, d, "customer").select("c_custkey", X.names_self(pick(SELF, F.col("c_custkey")), ["venezolana", "migrante"]).alias("named"))
+
+
+@query(r"SELECT 'text' AS field, bool_or(regexp_matches(text, '(?i)whatsapp:|\b\d{7,}\b')) AS hit FROM documents UNION ALL SELECT 'lang', bool_or(regexp_matches(lang, '(?i)whatsapp:|\b\d{7,}\b')) FROM documents UNION ALL SELECT 'source', bool_or(regexp_matches(source, '(?i)whatsapp:|\b\d{7,}\b')) FROM documents")
+def pii_scan(spark, d):
+    return A.pii_scan(read(spark, d, "documents"), X.PII)
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '\d{7,}', '[redacted]', 'g')) AS redacted FROM documents")
+def pii_redact(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(X.redact_digits(F.col("text"))).alias("redacted"))
+
+
+RECON = f"{SPINE}, k AS (SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS users, (SELECT count(*) FROM conversations) AS records, (SELECT count(*) FROM m) AS messages, (SELECT count(DISTINCT user_id) FROM m) AS users_with_text)"
+
+
+def reconciliation_of(spark, d) -> DataFrame:
+    c, m = read(spark, d, "conversations"), spine_of(spark, d)
+    one = c.agg(F.count_distinct("conv_id").alias("users"), F.count("*").alias("records")).join(F.broadcast(m.agg(F.count("*").alias("messages"), F.count_distinct("user_id").alias("users_with_text"))))
+    return one.select(*[F.col(x).cast("string") for x in one.columns]).unpivot([], one.columns, "metric", "value")
+
+
+@query(f"WITH {RECON} UNPIVOT (SELECT CAST(users AS VARCHAR) AS users, CAST(records AS VARCHAR) AS records, CAST(messages AS VARCHAR) AS messages, CAST(users_with_text AS VARCHAR) AS users_with_text FROM k) ON COLUMNS(*) INTO NAME metric VALUE value".replace("UNPIVOT (", "SELECT metric, value FROM (UNPIVOT (").replace("VALUE value", "VALUE value)"))
+def reconciliation(spark, d):
+    return reconciliation_of(spark, d)
+
+
+@query(f"WITH {RECON} SELECT unnest(['messages', 'users', 'users_with_text']) AS metric, unnest([messages, users, users_with_text]) AS exported, true AS match FROM k")
+def parity_check(spark, d):
+    """Exported counts held against an independent count."""
+    users = per_user_of(spark, d)
+    out = users.agg(F.sum("n").alias("messages"), F.count("*").alias("users"), F.count("n").alias("users_with_text")).unpivot([], ["messages", "users", "users_with_text"], "metric", "exported")
+    return out.join(reconciliation_of(spark, d), "metric").select("metric", "exported", (F.col("exported").cast("string") == F.col("value")).alias("match"))
+
+
+@query("SELECT CAST(floor(value / 25) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1")
+def histogram(spark, d):
+    return read(spark, d, "events").groupBy(F.floor(F.col("value") / 25).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n, count(*) AS users FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) GROUP BY n")
+def gap_spread(spark, d):
+    return read(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("users"))
+
+
+@query(r"SELECT hit, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), 'th[a-z]{2}|[a-z]ing')) AS hit FROM documents) GROUP BY hit")
+def match_counter(spark, d):
+    return read(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(th[a-z]{2}|[a-z]ing)"), 1)).alias("hit")).groupBy("hit").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'text' AS field, avg(CASE WHEN text IS NULL OR lower(text) IN ('', 'nan') THEN 0.0 ELSE 100 END) AS pct FROM documents UNION ALL SELECT 'lang', avg(CASE WHEN lang IS NULL OR lower(lang) IN ('', 'nan') THEN 0.0 ELSE 100 END) FROM documents")
+def field_completeness(spark, d):
+    return A.completeness(read(spark, d, "documents"), ["text", "lang"])
+
+
+@query("SELECT user_id, median(value) AS med, arg_min(event_type, ROW(-n, event_type)) AS top FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) GROUP BY user_id")
+def median_and_mode(spark, d):
+    return read(spark, d, "events").groupBy("user_id").agg(F.median("value").alias("med"), F.mode("event_type", True).alias("top"))
+
+
+@query("""WITH s AS (SELECT lang, greatest(1, floor(count(*) * 100 / (SELECT count(*) FROM documents))) AS k FROM documents GROUP BY lang)
+SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1('0:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents) JOIN s USING (lang) WHERE rn <= k""")
+def stratified_sample(spark, d):
+    return S.stratified_sample(read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 100)
+
+
+@query("""SELECT o_orderkey, CASE WHEN m >= 0 THEN m END AS minutes FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN (epoch_us(CASE WHEN o_orderkey % 3 = 1 THEN o_orderdate + INTERVAL 90 MINUTE ELSE o_orderdate - INTERVAL 5 MINUTE END) - epoch_us(o_orderdate)) / 60e6 END AS m FROM orders)""")
+def session_minutes(spark, d):
+    k, t = F.col("o_orderkey"), F.col("o_orderdate")
+    iso = F.date_format(F.when(k % 3 == 1, t + F.expr("interval 90 minutes")).otherwise(t - F.expr("interval 5 minutes")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    last = F.when(k % 3 == 0, F.date_format(t, "yyyy-MM-dd HH:mm")).otherwise(iso)
+    return read(spark, d, "orders").select("o_orderkey", C.session_minutes(t, last).alias("minutes"))
+
+
+RATES = ["Muy útil", "Útil", "Medianamente útil", "Poco útil", "Nada útil", None, "otro"]
+
+
+@query(f"SELECT c_custkey, {case_sql(V.RATING, 'r')} AS rating_num, coalesce(r IN ('Medianamente útil', 'Poco útil', 'Nada útil') AND why IS NOT NULL, false) AS reason_is_valid FROM (SELECT c_custkey, {pick_sql(RATES, 'c_custkey')} AS r, CASE WHEN c_custkey % 2 = 0 THEN 'x' END AS why FROM customer)")
+def rating_map(spark, d):
+    r = pick(RATES, F.col("c_custkey"))
+    rows = read(spark, d, "customer").select("c_custkey", r.alias("r"), F.when(F.col("c_custkey") % 2 == 0, "x").alias("why"))
+    low = [k for k, v in V.RATING.items() if v <= 3]
+    return rows.select("c_custkey", C.lookup(V.RATING, F.col("r")).alias("rating_num"), F.coalesce(F.col("r").isin(low) & F.col("why").isNotNull(), F.lit(False)).alias("reason_is_valid"))
+
+
+@query("SELECT 'both' AS side, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' INTERSECT SELECT DISTINCT user_id FROM events WHERE value > 489) UNION ALL SELECT 'left', count(*) FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT DISTINCT user_id FROM events WHERE value > 489)")
+def set_operations(spark, d):
+    e = read(spark, d, "events")
+    a, b = e.where("event_type = 'error'").select("user_id").distinct(), e.where("value > 489").select("user_id").distinct()
+    return a.intersect(b).agg(F.lit("both").alias("side"), F.count("*").alias("n")).unionByName(a.subtract(b).agg(F.lit("left").alias("side"), F.count("*").alias("n")))
+
+
+@query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), b AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM c),
+x AS (SELECT sum(m * (m - 1) / 2) AS s FROM (SELECT sum(n) AS m FROM c GROUP BY lang)), y AS (SELECT sum(m * (m - 1) / 2) AS s FROM (SELECT sum(n) AS m FROM c GROUP BY source))
+SELECT (b.s - x.s * y.s / (t * (t - 1) / 2)) / ((x.s + y.s) / 2 - x.s * y.s / (t * (t - 1) / 2)) AS ari FROM b, x, y""")
+def adjusted_rand_index(spark, d):
+    return A.rand_index(read(spark, d, "documents"), "lang", "source")
+
+
+@query(f"""WITH {USERS}, o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT cluster_id, count(*) AS n_users, CAST(coalesce(sum(o.n), 0) AS BIGINT) AS n_messages, median(CASE WHEN c_custkey % 80 >= 18 THEN CAST(c_custkey % 80 AS DOUBLE) END) AS median_age,
+  (SELECT arg_min(c_mktsegment, ROW(-k, c_mktsegment)) FROM (SELECT c_mktsegment, count(*) AS k FROM u x WHERE x.cluster_id = u.cluster_id GROUP BY 1)) AS top_segment
+FROM u LEFT JOIN o ON c_custkey = o_custkey GROUP BY cluster_id""")
+def archetype_profiles(spark, d):
+    orders = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    age = F.col("c_custkey") % 80
+    return users_of(spark, d).join(orders, "c_custkey", "left").groupBy("cluster_id").agg(F.count("*").alias("n_users"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_messages"), F.median(F.when(age >= 18, age.cast("double"))).alias("median_age"), F.mode("c_mktsegment", True).alias("top_segment"))
+
+
+@query("WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT e.user_id, event_type, count(*) AS n FROM events e JOIN c USING (user_id) WHERE c.n >= (SELECT quantile_cont(n, 0.9) FROM c) GROUP BY ALL")
+def heavy_users(spark, d):
+    e = read(spark, d, "events")
+    flagged = repeat_flag_p90(spark, d).where("is_repeat").select("user_id")
+    return e.join(flagged, "user_id").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query()
+def kmeans_labels(spark, d):
+    return K.kmeans(read(spark, d, "embeddings"), "vec_id", "embedding", 4)
+
+
+@query()
+def stability_scan(spark, d):
+    return K.k_scan(read(spark, d, "embeddings"), "vec_id", "embedding", [3, 4], boots=6)
+
+
+@query()
+def subclusters(spark, d):
+    e = read(spark, d, "embeddings")
+    return K.split_parents(e.join(K.kmeans(e, "vec_id", "embedding", 3), "vec_id"), "vec_id", "embedding", "cluster_id", boots=4)
+
+
+@query()
+def pca_projection(spark, d):
+    return K.project(read(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def bootstrap_mean(spark, d):
+    return K.bootstrap_ci(read(spark, d, "events"), "value", 400)
