@@ -111,7 +111,8 @@ class FMIndex:
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of suffixes that begin with each phrase; phrases: one a row, filled with -1 on the left."""
         lo, hi = np.zeros(len(phrases), dtype=np.int64), np.full(len(phrases), self.n, dtype=np.int64)
-        live = np.arange(len(phrases))
+        live = np.flatnonzero(phrases.max(axis=1, initial=0) < len(self.before) - 1)  # others hold a symbol that the text lacks
+        hi[np.setdiff1d(np.arange(len(phrases)), live)] = 0
         for back in range(1, phrases.shape[1] + 1):
             live = live[(hi[live] > lo[live]) & (lengths[live] >= back)]
             if not len(live):
