@@ -12,8 +12,10 @@ Every pair that is similar therefore shares a key; there is no cap on a key's cl
 Frequent are shingles found ``frequent`` times or more in hash-ordered prefixes of all documents,
 up to collisions in a bitmap of fixed size; that affects the number of candidates only.
 
-A key's classes are not paired all with all. Rounds link each class to its key's leader, verify
-exactly, and find components; then only classes of a key that are in different components are
+A key's classes are not paired all with all. Rounds link each class to its key's leader and find
+components. A pair is first held against sketches, shingle counts in 256 ranges of hashes, which
+bound the intersection from above; pairs that can still be similar are verified exactly, on the
+sets of the whole texts. In the end only classes of a key that are in different components are
 paired, in full. Keys with equal classes are merged first. A key that is frequent inside one task
 is spread by the task, so no task receives a hot key's classes.
 
@@ -33,6 +35,7 @@ from .common import arrow_map, cut
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 MAP_BITS = 24
+SMALL_SET = 40
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,13 +85,32 @@ def index_keys(s: np.ndarray, heavy: np.ndarray, threshold: int, k: int) -> np.n
     if len(rare) > spare:  # its prefix is rare throughout
         return single
     breaks = n * (100 - threshold) // threshold  # shingles that either set has alone
-    within = often[: spare + (k - 1) * (breaks + 1) + 1 - len(rare)]
-    if len(within) < k:
-        return single
-    combo = within[: len(within) - k + 1]
-    for i in range(1, k):
-        combo = combo * MIX[1] + within[i : len(within) - k + 1 + i]
-    return np.concatenate([single, np.unique(mix(combo + MIX[2]))])
+    out = [single]
+    for j in sorted({2, k}):  # small sets may not share enough for k > 2; similar sets agree on one of the two
+        if j < k and n >= SMALL_SET * 8 // 5 or j > 2 and n < SMALL_SET:
+            continue
+        within = often[: spare + (j - 1) * (breaks + 1) + 1 - len(rare)]
+        if len(within) >= j:
+            combo = within[: len(within) - j + 1]
+            for i in range(1, j):
+                combo = combo * MIX[1] + within[i : len(within) - j + 1 + i]
+            out.append(np.unique(mix(combo + MIX[2] * np.uint64(j - 1))))
+    return np.concatenate(out)
+
+
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """Shingles in each of 256 ranges of hashes; 255 stands for that many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8)
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """At least the size of the intersection of the sets of two sketches."""
+    low = np.minimum(a, b)
+    return 1 << 40 if (low == 255).any() else int(low.sum())
+
+
+def similar(common: int, n: int, m: int, threshold: int) -> bool:
+    return 100 * common >= threshold * (n + m - common)
 
 
 def class_of(s: np.ndarray) -> int:
@@ -162,7 +184,7 @@ def heavy_bits(counts: DataFrame, frequent: int, partitions: int) -> np.ndarray:
     return np.packbits(bits)
 
 
-PARTS = "kind int, bucket int, ids array<{id}>, keys binary, cls binary, n binary"
+PARTS = "kind int, bucket int, ids array<{id}>, keys binary, cls binary, n binary, sketch binary"
 
 
 def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int, k: int, bits: np.ndarray, buckets: int, chunk: int = 1_500_000, hot: int = 16) -> DataFrame:
@@ -171,20 +193,20 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
 
     def start():
         shingler, heavy = Shingler(size), np.unpackbits(shared.value).astype(bool)
-        ids, classes, sizes, held, owners, n = [], [], [], [], [], 0
+        ids, classes, sizes, held, owners, sketches, n = [], [], [], [], [], [], 0
 
         def flush():
-            nonlocal ids, classes, sizes, held, owners, n
+            nonlocal ids, classes, sizes, held, owners, sketches, n
             if not ids:
                 return
             cls, sz = np.array(classes, dtype=np.uint64), np.array(sizes, dtype=np.int64)
-            rows = {c: [] for c in ("kind", "bucket", "ids", "keys", "cls", "n")}
+            rows = {c: [] for c in ("kind", "bucket", "ids", "keys", "cls", "n", "sketch")}
 
-            def row(kind, bucket=0, i=None, keys=None, at=None):
-                for c, v in zip(rows, (kind, bucket, i, keys, cls[at].tobytes(), sz[at].tobytes()), strict=True):
+            def row(kind, bucket, i, keys, at, n, sketch=None):
+                for c, v in zip(rows, (kind, bucket, i, keys, cls[at].tobytes(), n.tobytes(), sketch), strict=True):
                     rows[c].append(v)
 
-            row(0, i=ids, at=np.arange(len(ids)))
+            row(0, 0, ids, None, np.arange(len(ids)), sz, np.concatenate(sketches).tobytes())
             if held:
                 key = np.concatenate(held)
                 at = np.repeat(np.array(owners), [len(x) for x in held])
@@ -196,16 +218,15 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
                 count = np.diff(np.r_[np.flatnonzero(head), len(key)])
                 many = np.repeat(count >= hot, count)
                 if many.any():
-                    row(2, keys=key[many].tobytes(), at=at[many])
+                    row(2, 0, None, key[many].tobytes(), at[many], sz[at[many]])
                 send = ~many | head
                 flag = many[send].astype(np.int64)
                 key, at = key[send], at[send]
                 cuts = np.searchsorted(deal(key, buckets), np.arange(buckets + 1))
                 for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                     x = slice(cuts[b], cuts[b + 1])
-                    for c, v in zip(rows, (1, b, None, key[x].tobytes(), cls[at[x]].tobytes(), (sz[at[x]] * 2 + flag[x]).tobytes()), strict=True):
-                        rows[c].append(v)
-            ids, classes, sizes, held, owners, n = [], [], [], [], [], 0
+                    row(1, b, None, key[x].tobytes(), at[x], sz[at[x]] * 2 + flag[x])
+            ids, classes, sizes, held, owners, sketches, n = [], [], [], [], [], [], 0
             yield rows
 
         def step(i, texts):
@@ -218,6 +239,7 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
                 ids.append(d)
                 classes.append(class_of(s))
                 sizes.append(len(s))
+                sketches.append(sketch_of(s))
                 if len(s) > 1:
                     keys = index_keys(s, heavy[(s >> np.uint64(40)).astype(np.int64)], threshold, k)
                     held.append(keys)
@@ -296,42 +318,80 @@ def documents_of(parts: DataFrame, id_kind: str) -> DataFrame:
     return arrow_map(parts.where("kind = 0"), ["ids", "cls", "n"], f"id {id_kind}, cls long, n long", start)
 
 
-def sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(cls, s): the set of each wanted (id, cls), from its text."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id")
+def sketches_of(parts: DataFrame) -> DataFrame:
+    """(cls, n, sketch) of every class."""
 
     def start():
-        shingler = Shingler(size)
+        def step(cls, n, sketch):
+            for c, z, k in zip(cls or (), n or (), sketch or (), strict=True):
+                c, at = np.unique(np.frombuffer(c, dtype=np.int64), return_index=True)
+                yield {"cls": c, "n": np.frombuffer(z, dtype=np.int64)[at], "sketch": [k[256 * i : 256 * (i + 1)] for i in at.tolist()]}
+
+        return step
+
+    return arrow_map(parts.where("kind = 0"), ["cls", "n", "sketch"], "cls long, n long, sketch binary", start).dropDuplicates(["cls"])
+
 
-        def step(cls, texts):
-            if cls is None:
+def paired(pairs: DataFrame, of: DataFrame, *cols: str) -> DataFrame:
+    """pairs (a, b) with the columns of class a under their names and an x, of class b with a y."""
+    out = pairs
+    for side, mark in (("a", "x"), ("b", "y")):
+        out = out.join(of.select(F.col("cls").alias(side), *[F.col(c).alias(c + mark) for c in cols]), side)
+    return out
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that their sketches don't rule out."""
+
+    def start():
+        def step(a, b, n, m, x, y):
+            if a is None:
                 return
-            got = [(c, s) for c, t in zip(cls, texts, strict=True) for s in [shingler.shingles(t)] if np.uint64(class_of(s)).astype(np.int64) == c]
-            yield {"cls": [c for c, _ in got], "s": [s.tobytes() for _, s in got]}
+            ok = [similar(most_common(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)), i, j, threshold) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield {"a": [v for v, k in zip(a, ok, strict=True) if k], "b": [v for v, k in zip(b, ok, strict=True) if k]}
 
         return step
 
-    return arrow_map(rows, ["cls", "t"], "cls long, s binary", start).dropDuplicates(["cls"])
+    both = paired(pairs, sketches, "n", "sketch")
+    return arrow_map(both, ["a", "b", "nx", "ny", "sketchx", "sketchy"], "a long, b long", start)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole sets."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
+PLACES = 1 << 20
+
+
+def texts_of(df: DataFrame, docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cls, t): a text of each class in pairs. Texts that can't be wanted are left out before the shuffle, by PLACES hashed ids at most."""
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = cut(docs.where(F.col("id").isNotNull()).join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id")))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES)).alias("place")
+    places = F.broadcast(wanted.select(place("id")).distinct())
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), place(id_col)).join(places, "place", "left_semi")
+    return rows.select("id", "t").join(wanted, "id").select("cls", "t")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
+    """The pairs (a, b) that are similar, by the sets of their whole texts."""
 
     def start():
+        shingler, last = Shingler(size), (None, None)
+
         def step(a, b, x, y):
+            nonlocal last
             if a is None:
                 return
             ok = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * common >= threshold * (len(p) + len(q) - common))
+            for c, d, t, u in zip(a, b, x, y, strict=True):
+                if last[0] != d:  # a leader comes many times in a row
+                    last = (d, shingler.shingles(u))
+                p, q = shingler.shingles(t), last[1]
+                same_doc = np.uint64(class_of(p)).astype(np.int64) == c and np.uint64(class_of(q)).astype(np.int64) == d  # ids may repeat
+                common = len(np.intersect1d(p, q, assume_unique=True)) if same_doc else 0
+                ok.append(similar(common, len(p), len(q), threshold) if same_doc else False)
             yield {"a": [v for v, k in zip(a, ok, strict=True) if k], "b": [v for v, k in zip(b, ok, strict=True) if k]}
 
         return step
 
-    return arrow_map(both, ["a", "b", "x", "y"], "a long, b long", start)
+    return arrow_map(paired(pairs, texts, "t"), ["a", "b", "tx", "ty"], "a long, b long", start)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -368,14 +428,15 @@ def near(threshold: int):
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, size: int = 5, k: int = 2, frequent: int = 8, rounds: int = 3, bucket_chars: int = 8_000_000) -> DataFrame:
     """id, n_shingles, component (least id reachable by links), one row per input row."""
+    if k not in (2, 3) or threshold < 80:
+        raise ValueError("combinations of 2 or 3 shingles, for thresholds of 80 or more")
     buckets = buckets_for(df, text_col, bucket_chars)
     bits = heavy_bits(prefix_counts(df, text_col, threshold, size, buckets), frequent, buckets)
     parts = cut(index(df, id_col, text_col, threshold, size, k, bits, buckets))
     kind = df.schema[id_col].dataType.simpleString()
     docs = documents_of(parts, kind)
     members = cut(shared_keys(parts, buckets))
-    wanted = docs.where(F.col("id").isNotNull()).join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    sets = cut(sets_of(df, wanted, id_col, text_col, size))
+    sketches = sketches_of(parts)
     comps, links = None, None
     for r in range(rounds + 1):
         left = with_components(members, comps)
@@ -386,7 +447,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             other = left.select("key", F.col("cls").alias("with"), F.col("n").alias("m"), F.col("comp").alias("other"))
             pairs = left.join(other, "key").where(F.col("cls") < F.col("with"))
         pairs = pairs.where(near(threshold)).select(F.least("cls", "with").alias("a"), F.greatest("cls", "with").alias("b")).distinct()
-        found = cut(verified(pairs, sets, threshold))
+        pairs = cut(possible(pairs, sketches, threshold))
+        found = cut(verified(pairs, texts_of(df, docs, pairs, id_col, text_col), threshold, size))
         links = found if links is None else links.unionByName(found)
         comps = components(links)
     named = docs.join(comps, "cls", "left").withColumn("g", F.coalesce("comp", "cls"))
