@@ -1,12 +1,12 @@
 """Scalar text functions as column expressions: all stay in the JVM."""
 
-from __future__ import annotations
-
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import values as V
 
@@ -36,8 +36,8 @@ def fold(c: Column) -> Column:
     return strip(F.lower(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), COMBINING, "")))
 
 
-@F.pandas_udf("string")
-def fold_any(s):
+@F.pandas_udf(StringType())
+def fold_any(s: pd.Series) -> pd.Series:
     """fold by full compatibility decomposition, letters that become several included."""
     return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).strip().lower())
 
