@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fmindex, jaccard, lattice, packing, quality, secrets, toxicity, urls
+from . import chat, fmindex, jaccard, lattice, packing, quality, secrets, toxicity, urls, warc
 from .common import id_remainder, table
 
 #: A tokenizers file, the same vocabulary as ranks, and its splitting pattern.
@@ -35,6 +35,10 @@ def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_offending", "offending")
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **TOKENIZER)
 
@@ -123,6 +127,6 @@ FROM e GROUP BY conv_id""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_secret_links, op3_noisy_or_toxicity, op5_sum_of_squares_packing, op6_fm_index_decontamination,
+    op1_ngram_jaccard, op2_secret_links, op3_noisy_or_toxicity, op4_warc_derivatives, op5_sum_of_squares_packing, op6_fm_index_decontamination,
     op7_lattice_likelihood, op8_host_segmentation, op9_decision_list, op10_event_sourced_chat,
 )}

@@ -1,7 +1,9 @@
 """The operators' own parts against brute force; no Spark."""
 
+import gzip
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -11,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from millrace.llm import chat, fmindex, jaccard, lattice, packing, quality, secrets, toxicity, urls
+from millrace.llm import chat, fmindex, jaccard, lattice, packing, quality, secrets, toxicity, urls, warc
 
 rng = random.Random(7)
 
@@ -234,3 +236,28 @@ def test_chat_round_trip(role):
 
 def test_digests_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == chat.Digest(1).row()["turns_sha256"]
+
+
+def test_warc_records_are_linked_and_round_trip():
+    page = """<!DOCTYPE html><html><head><title>A &amp; b</title><style>p{x}</style></head><!-- <a href="/no"> --><body>
+    <p>One<br>two <b>b</b>old&nbsp;x</p><script>var t="</p>";</script><a class=x href='/c?d=1&amp;e'>link</a><img src=i.png></body></html>"""
+    source = warc.response(5, "http://h.org/a/b", page, "2024-01-01T00:00:00Z")
+    head, block = warc.parse(source)
+    assert warc.get(head, "WARC-Payload-Digest") == warc.digest(page.encode()) and warc.get(head, "WARC-Block-Digest") == warc.digest(block)
+    made = {k: warc.parse(warc.write(h, b)) for k, h, b in warc.derive(source)}
+    for k, (h, b) in made.items():
+        assert warc.get(h, "WARC-Refers-To") == warc.get(head, "WARC-Record-ID") and warc.get(h, "WARC-Target-URI") == "http://h.org/a/b"
+        assert warc.get(h, "WARC-Source-Payload-Digest") == warc.get(head, "WARC-Payload-Digest") and warc.get(h, "WARC-Block-Digest") == warc.digest(b)
+        assert warc.get(h, "WARC-Record-ID") == warc.record_id(k, warc.get(head, "WARC-Record-ID"))
+    assert made["conversion"][1].decode() == "A & b\nOne\ntwo bold x\nlink"
+    meta = json.loads(made["metadata"][1])["Envelope"]
+    assert meta["WARC-Header-Metadata"] == dict(head) and meta["Declared-Digest-Matches"]
+    inner = meta["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert inner["Headers"]["Content-Type"] == "text/html; charset=utf-8" and inner["HTML-Metadata"]["Head"]["Title"] == "A & b"
+    assert [x["url"] for x in inner["HTML-Metadata"]["Links"]] == ["http://h.org/c?d=1&e", "http://h.org/a/i.png"]
+    for data in (source + source, gzip.compress(source) + gzip.compress(source)):
+        assert [warc.parse(x) for x in warc.records(data)] == [(head, block)] * 2
+    assert warc.derive(warc.write([("WARC-Type", "request")], b"GET / HTTP/1.1")) == []
+    empty = warc.derive(warc.response(None, None, None, "d"))
+    assert [len(b) > 0 for _, _, b in empty] == [True, False] and warc.get(empty[0][1], "WARC-Target-URI") is None
+    assert warc.uri("http://x/a b\r\nX: y") == "http://x/a%20b%0D%0AX:%20y"

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, fmindex, jaccard, lattice, packing, quality, secrets, toxicity, urls
+from millrace.llm import chat, fmindex, jaccard, lattice, packing, quality, secrets, toxicity, urls, warc
 
 rng = random.Random(3)
 WORDS = [f"word{i}" for i in range(400)]
@@ -197,3 +197,11 @@ def test_pipeline(spark, tmp_path):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     kept = {r.doc_id for r in out.select("doc_id").collect()}
     assert {r.doc_id for r in P.run(spark, src).select("doc_id").distinct().collect()} == kept
+
+
+def test_warc_rows(spark):
+    pages = spark.createDataFrame([(1, "http://a/b", "<p>x</p>", "r"), (None, None, None, None), (1, "http://a/b", "<p>x</p>", "r"), (2, "", "y" * 10**6, "r")], "page_id long, url string, html string, record string")
+    rows = warc.derivatives(warc.responses(pages)).collect()
+    assert len(rows) == 8 and len({r.record_id for r in rows}) == 6
+    assert all(bytes(r.record).startswith(b"WARC/1.1") and r.refers_to for r in rows)
+    assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
