@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.workers import importable
+
 from . import aggregates as A
 
 SMALL = 20_000
@@ -98,6 +100,7 @@ def kmeans(df: DataFrame, key: str, vec: str, k: int, seed: int = 0) -> DataFram
 def k_scan(df: DataFrame, key: str, vec: str, ks: Iterable[int], boots: int = 20, share: float = 0.8, seed: int = 0) -> DataFrame:
     """One row a k: silhouette, Davies-Bouldin, mean and spread of pairwise ARI of subsample fits. For at most SMALL rows."""
     spark = df.sparkSession
+    importable(spark)
     if df.count() > SMALL:
         raise ValueError(f"more than {SMALL} rows; sample them first")
     shared = spark.sparkContext.broadcast(matrix(df, key, vec)[1])
@@ -141,6 +144,7 @@ def split_parents(df: DataFrame, key: str, vec: str, parent: str, least: int = 3
     from pandas import DataFrame as P
 
     kind = df.schema[key].dataType.simpleString()
+    importable(df.sparkSession)
 
     def stable(x: np.ndarray, k: int) -> bool:
         from itertools import combinations
@@ -205,6 +209,7 @@ def bootstrap_ci(df: DataFrame, value: str, boots: int = 1000, level: float = 0.
     """(mean, lo, hi) by the percentile bootstrap: each row gets a Poisson weight a replicate, so no row is shuffled."""
     from pandas import DataFrame as P
 
+    importable(df.sparkSession)
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
 
     def run(frames):
