@@ -9,8 +9,8 @@ the prefix is extended until it holds more shared shingles than a similar set ca
 ``k`` consecutive frequent shingles stand in both, and only these combinations are indexed.
 Every pair that is similar therefore shares a key; there is no cap on a key's classes.
 
-Frequent are shingles found ``frequent`` times or more in hash-ordered prefixes of all documents,
-up to collisions in a bitmap of fixed size; that affects the number of candidates only.
+Frequent are shingles of ``frequent`` documents or more, counted over all, up to collisions in a
+bitmap of fixed size; that affects the number of candidates only.
 
 A key's classes are not paired all with all. Rounds link each class to its key's leader and find
 components. A pair is first held against sketches, shingle counts in 256 ranges of hashes, which
@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut
@@ -76,14 +77,14 @@ def least_overlap(n: int, threshold: int) -> int:
     return (threshold * n + 99) // 100
 
 
-def index_keys(s: np.ndarray, heavy: np.ndarray, threshold: int, k: int) -> np.ndarray:
-    """The keys of a sorted set: rare shingles of the prefix, and combinations of k frequent ones."""
+def index_keys(s: np.ndarray, heavy: np.ndarray, threshold: int, k: int) -> tuple[np.ndarray, int]:
+    """The keys of a sorted set: rare shingles of the prefix, and combinations of k frequent ones; how many are of the first kind."""
     n = len(s)
     rare, often = s[~heavy], s[heavy]
     spare = n - least_overlap(n, threshold)
     single = rare[: spare + 1]
     if len(rare) > spare:  # its prefix is rare throughout
-        return single
+        return single, len(single)
     breaks = n * (100 - threshold) // threshold  # shingles that either set has alone
     out = [single]
     for j in sorted({2, k}):  # small sets may not share enough for k > 2; similar sets agree on one of the two
@@ -95,7 +96,7 @@ def index_keys(s: np.ndarray, heavy: np.ndarray, threshold: int, k: int) -> np.n
             for i in range(1, j):
                 combo = combo * MIX[1] + within[i : len(within) - j + 1 + i]
             out.append(np.unique(mix(combo + MIX[2] * np.uint64(j - 1))))
-    return np.concatenate(out)
+    return np.concatenate(out), len(single)
 
 
 def sketch_of(s: np.ndarray) -> np.ndarray:
@@ -127,8 +128,8 @@ def deal(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(MAP_BITS)).astype(np.int64)
 
 
-def prefix_counts(df: DataFrame, text_col: str, threshold: int, size: int, buckets: int, chunk: int = 2_000_000) -> DataFrame:
-    """(bucket, keys, counts): occurrences of shingles in hash-ordered prefixes, summed within a task."""
+def shingle_counts(df: DataFrame, text_col: str, size: int, buckets: int, chunk: int = 2_000_000) -> DataFrame:
+    """(bucket, keys, counts): documents with each shingle, by 32 bits of its hash, summed within a task; about two bytes a shingle."""
 
     def start():
         shingler, held, n = Shingler(size), [], 0
@@ -137,9 +138,11 @@ def prefix_counts(df: DataFrame, text_col: str, threshold: int, size: int, bucke
             nonlocal held, n
             if held:
                 keys, counts = np.unique(np.concatenate(held), return_counts=True)
-                cuts = np.searchsorted(deal(keys, buckets), np.arange(buckets + 1))
+                cuts = np.searchsorted(deal(keys.astype(np.uint64) << np.uint64(32), buckets), np.arange(buckets + 1))
                 used = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
-                yield {"bucket": used, "keys": [keys[cuts[b] : cuts[b + 1]].tobytes() for b in used], "counts": [np.minimum(counts[cuts[b] : cuts[b + 1]], 255).astype(np.uint8).tobytes() for b in used]}
+                squeeze = zstandard.ZstdCompressor(level=1).compress
+                parts = [slice(cuts[b], cuts[b + 1]) for b in used]
+                yield {"bucket": used, "keys": [squeeze(np.diff(keys[x], prepend=np.uint32(0)).tobytes()) for x in parts], "counts": [squeeze(np.minimum(counts[x], 255).astype(np.uint8).tobytes()) for x in parts]}
             held, n = [], 0
 
         def step(texts):
@@ -150,8 +153,8 @@ def prefix_counts(df: DataFrame, text_col: str, threshold: int, size: int, bucke
             for t in texts:
                 s = shingler.shingles(t)
                 if len(s) > 1:
-                    held.append(s[: len(s) - least_overlap(len(s), threshold) + 1])
-                    n += len(held[-1])
+                    held.append((s >> np.uint64(32)).astype(np.uint32))
+                    n += len(s)
                     if n >= chunk:
                         yield from flush()
 
@@ -164,21 +167,32 @@ def heavy_bits(counts: DataFrame, frequent: int, partitions: int) -> np.ndarray:
     """A bitmap of 2**MAP_BITS bits, set where a shingle is frequent."""
 
     def start():
-        keys, sums = [], []
+        keys, sums, now = [], [], None
+
+        def summed():
+            u, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate(sums))
+            return {"bits": np.unique(u[total >= frequent] >> np.uint32(32 - MAP_BITS)).tolist()}
 
         def step(bucket, k, c):
+            nonlocal keys, sums, now
             if bucket is None:
                 if keys:
-                    u, back = np.unique(np.concatenate(keys), return_inverse=True)
-                    total = np.bincount(back, weights=np.concatenate(sums))
-                    yield {"bits": np.unique(u[total >= frequent] >> np.uint64(40)).astype(np.int64).tolist()}
+                    yield summed()
                 return
-            keys.extend(np.frombuffer(x, dtype=np.uint64) for x in k)
-            sums.extend(np.frombuffer(x, dtype=np.uint8) for x in c)
+            spread = zstandard.ZstdDecompressor().decompress
+            for b, x, y in zip(bucket, k, c, strict=True):
+                if now != b and keys:
+                    yield summed()
+                    keys, sums = [], []
+                now = b
+                keys.append(np.cumsum(np.frombuffer(spread(x), dtype=np.uint32), dtype=np.uint32))
+                sums.append(np.frombuffer(spread(y), dtype=np.uint8))
 
         return step
 
-    found = arrow_map(counts.repartition(partitions, "bucket"), ["bucket", "keys", "counts"], "bits int", start)
+    dealt = counts.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    found = arrow_map(dealt, ["bucket", "keys", "counts"], "bits int", start)
     bits = np.zeros(1 << MAP_BITS, dtype=bool)
     bits[[r.bits for r in found.distinct().collect()]] = True  # at most 2**MAP_BITS, however large the input
     return np.packbits(bits)
@@ -193,10 +207,10 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
 
     def start():
         shingler, heavy = Shingler(size), np.unpackbits(shared.value).astype(bool)
-        ids, classes, sizes, held, owners, sketches, n = [], [], [], [], [], [], 0
+        ids, classes, sizes, held, able, owners, sketches, n = [], [], [], [], [], [], [], 0
 
         def flush():
-            nonlocal ids, classes, sizes, held, owners, sketches, n
+            nonlocal ids, classes, sizes, held, able, owners, sketches, n
             if not ids:
                 return
             cls, sz = np.array(classes, dtype=np.uint64), np.array(sizes, dtype=np.int64)
@@ -211,22 +225,21 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
                 key = np.concatenate(held)
                 at = np.repeat(np.array(owners), [len(x) for x in held])
                 order = np.lexsort((cls[at], key))
-                key, at = key[order], at[order]
+                key, at, most = key[order], at[order], np.concatenate(able)[order]
                 new = np.r_[True, (key[1:] != key[:-1]) | (cls[at[1:]] != cls[at[:-1]])]
-                key, at = key[new], at[new]
+                key, at, packed = key[new], at[new], (sz[at] << 32 | most << 1)[new]
                 head = np.r_[True, key[1:] != key[:-1]]
                 count = np.diff(np.r_[np.flatnonzero(head), len(key)])
                 many = np.repeat(count >= hot, count)
                 if many.any():
-                    row(2, 0, None, key[many].tobytes(), at[many], sz[at[many]])
+                    row(2, 0, None, key[many].tobytes(), at[many], packed[many])
                 send = ~many | head
-                flag = many[send].astype(np.int64)
-                key, at = key[send], at[send]
+                key, at, packed = key[send], at[send], packed[send] | many[send]
                 cuts = np.searchsorted(deal(key, buckets), np.arange(buckets + 1))
                 for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                     x = slice(cuts[b], cuts[b + 1])
-                    row(1, b, None, key[x].tobytes(), at[x], sz[at[x]] * 2 + flag[x])
-            ids, classes, sizes, held, owners, sketches, n = [], [], [], [], [], [], 0
+                    row(1, b, None, key[x].tobytes(), at[x], packed[x])
+            ids, classes, sizes, held, able, owners, sketches, n = [], [], [], [], [], [], [], 0
             yield rows
 
         def step(i, texts):
@@ -241,8 +254,10 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
                 sizes.append(len(s))
                 sketches.append(sketch_of(s))
                 if len(s) > 1:
-                    keys = index_keys(s, heavy[(s >> np.uint64(40)).astype(np.int64)], threshold, k)
+                    often = heavy[(s >> np.uint64(40)).astype(np.int64)]
+                    keys, single = index_keys(s, often, threshold, k)
                     held.append(keys)
+                    able.append(np.r_[np.full(single, len(s)), np.full(len(keys) - single, np.count_nonzero(often))])
                     owners.append(len(ids) - 1)
                     n += len(keys) + 8
                 if n >= chunk or len(ids) >= 100_000:
@@ -254,7 +269,11 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
 
 
 def shared_keys(parts: DataFrame, partitions: int) -> DataFrame:
-    """(key, cls, n) of keys that several classes have; keys with equal classes become one."""
+    """(key, cls, n, most) of keys that several classes have; keys with equal classes become one.
+
+    most: shingles that can be shared with another class of the key: all, or the frequent ones for
+    a combination, since sets that share a rare shingle too have a key of its own in common.
+    """
 
     def start():
         keys, classes, sizes = [], [], []
@@ -267,7 +286,7 @@ def shared_keys(parts: DataFrame, partitions: int) -> DataFrame:
             for t, x, y, z in zip(kind, k, c, n, strict=True):
                 x, y, z = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64), np.frombuffer(z, dtype=np.int64)
                 if t == 2:
-                    yield {"key": x, "cls": y, "n": z}
+                    yield {"key": x, "cls": y, "n": z >> 32, "most": (z & 0xFFFFFFFF) >> 1}
                 else:
                     keys.append(x)
                     classes.append(y)
@@ -277,7 +296,7 @@ def shared_keys(parts: DataFrame, partitions: int) -> DataFrame:
             key, cls, n = np.concatenate(keys), np.concatenate(classes), np.concatenate(sizes)
             order = np.lexsort((cls, key))
             key, cls, n = key[order], cls[order], n[order]
-            flag, n = n & 1, n >> 1
+            flag, most, n = n & 1, (n & 0xFFFFFFFF) >> 1, n >> 32
             head = np.r_[True, key[1:] != key[:-1]]
             at = np.flatnonzero(head)
             lists = np.cumsum(head) - 1
@@ -291,18 +310,19 @@ def shared_keys(parts: DataFrame, partitions: int) -> DataFrame:
             member = mix(cls.view(np.uint64) * MIX[0] + MIX[1]) * new.astype(np.uint64)
             name = mix(np.add.reduceat(member, at)).view(np.int64)
             name = np.where(flagged, key[at], name)[lists][keep]
-            cls, n = cls[keep], n[keep]
-            order = np.lexsort((cls, name))
-            name, cls, n = name[order], cls[order], n[order]
+            cls, n, most = cls[keep], n[keep], most[keep]
+            order = np.lexsort((-most, cls, name))
+            name, cls, n, most = name[order], cls[order], n[order], most[order]
             new = np.r_[True, (name[1:] != name[:-1]) | (cls[1:] != cls[:-1])]
             for s in range(0, int(new.sum()), 100_000):
                 x = slice(s, s + 100_000)
-                yield {"key": name[new][x], "cls": cls[new][x], "n": n[new][x]}
+                yield {"key": name[new][x], "cls": cls[new][x], "n": n[new][x], "most": most[new][x]}
 
         return step
 
     dealt = parts.where("kind > 0").repartition(partitions, F.when(F.col("kind") == 1, F.col("bucket")).otherwise(F.xxhash64("keys")))
-    return arrow_map(dealt, ["kind", "keys", "cls", "n"], "key long, cls long, n long", start).distinct()
+    every = arrow_map(dealt, ["kind", "keys", "cls", "n"], "key long, cls long, n long, most long", start)
+    return every.groupBy("key", "cls", "n").agg(F.max("most").alias("most"))
 
 
 def documents_of(parts: DataFrame, id_kind: str) -> DataFrame:
@@ -422,16 +442,19 @@ def with_components(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return every.join(mixed, "key")
 
 
-def near(threshold: int):
-    return (100 * F.least("n", "m") >= threshold * F.greatest("n", "m")) & (F.col("comp") != F.col("other"))
+def near(threshold: int) -> Column:
+    """Whether sizes, and what a key leaves to be shared, allow the pair; classes of one component need no other link."""
+    sizes = 100 * F.least("n", "m") >= threshold * F.greatest("n", "m")
+    shared = (100 + threshold) * F.least("most", "most2") >= threshold * (F.col("n") + F.col("m"))
+    return sizes & shared & (F.col("comp") != F.col("other"))
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, size: int = 5, k: int = 2, frequent: int = 8, rounds: int = 3, bucket_chars: int = 8_000_000) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, size: int = 5, k: int = 2, frequent: int = 16, rounds: int = 2, bucket_chars: int = 8_000_000) -> DataFrame:
     """id, n_shingles, component (least id reachable by links), one row per input row."""
     if k not in (2, 3) or threshold < 80:
         raise ValueError("combinations of 2 or 3 shingles, for thresholds of 80 or more")
     buckets = buckets_for(df, text_col, bucket_chars)
-    bits = heavy_bits(prefix_counts(df, text_col, threshold, size, buckets), frequent, buckets)
+    bits = heavy_bits(shingle_counts(df, text_col, size, buckets), frequent, buckets)
     parts = cut(index(df, id_col, text_col, threshold, size, k, bits, buckets))
     kind = df.schema[id_col].dataType.simpleString()
     docs = documents_of(parts, kind)
@@ -441,12 +464,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for r in range(rounds + 1):
         left = with_components(members, comps)
         if r < rounds:  # each class against its key's leader, another one each round
-            first = left.groupBy("key").agg(F.min_by(F.struct("cls", "n", "comp"), F.struct(F.xxhash64("cls", F.lit(r)), "cls")).alias("l"))
-            pairs = left.join(first, "key").withColumn("m", F.col("l.n")).withColumn("other", F.col("l.comp")).withColumn("with", F.col("l.cls"))
+            first = left.groupBy("key").agg(F.min_by(F.struct("cls", "n", "comp", "most"), F.struct(F.xxhash64("cls", F.lit(r)), "cls")).alias("l"))
+            others = first.select(F.col("key").alias("key2"), F.col("l.cls").alias("with"), F.col("l.n").alias("m"), F.col("l.comp").alias("other"), F.col("l.most").alias("most2"))
+            on = F.col("cls") != F.col("with")
         else:  # what is left, in full
-            other = left.select("key", F.col("cls").alias("with"), F.col("n").alias("m"), F.col("comp").alias("other"))
-            pairs = left.join(other, "key").where(F.col("cls") < F.col("with"))
-        pairs = pairs.where(near(threshold)).select(F.least("cls", "with").alias("a"), F.greatest("cls", "with").alias("b")).distinct()
+            others = left.select(F.col("key").alias("key2"), F.col("cls").alias("with"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("most").alias("most2"))
+            on = F.col("cls") < F.col("with")
+        pairs = left.join(others, (F.col("key") == F.col("key2")) & on & near(threshold)).select(F.least("cls", "with").alias("a"), F.greatest("cls", "with").alias("b")).distinct()
         pairs = cut(possible(pairs, sketches, threshold))
         found = cut(verified(pairs, texts_of(df, docs, pairs, id_col, text_col), threshold, size))
         links = found if links is None else links.unionByName(found)
