@@ -449,6 +449,69 @@ def near(threshold: int) -> Column:
     return sizes & shared & (F.col("comp") != F.col("other"))
 
 
+BLOCK = 512
+
+
+def residual(left: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """Possible pairs (a, b) of every key's classes that are in different components.
+
+    A key's classes are dealt into blocks of about BLOCK; each pair of blocks is a task's group of
+    its own, so a key of any size is spread, and only pairs that sizes and sketches allow come out.
+    """
+    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    rows = left.join(blocks, "key").join(sketches.select("cls", "sketch"), "cls").withColumn("own", own)
+    rows = rows.select("key", "cls", "n", "most", "comp", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "most", "comp", "sketch")
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cls")
+
+    def start():
+        now, held, told = None, [], set()
+
+        def pairs():
+            cls, n, most, comp, own = (np.array([h[i] for h in held], dtype=np.int64) for i in (0, 1, 2, 3, 5))
+            sketch = np.frombuffer(b"".join(h[4] for h in held), dtype=np.uint8).reshape(-1, 256)
+            inside = now[1] == now[2]
+            a, b = [], []
+            for i in range(len(cls)):
+                j = np.arange(i + 1, len(cls))
+                ok = comp[j] != comp[i]
+                if not inside:
+                    ok &= own[j] != own[i]
+                ok &= 100 * np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i])
+                ok &= (100 + threshold) * np.minimum(most[j], most[i]) >= threshold * (n[j] + n[i])
+                j = j[ok]
+                if not len(j):
+                    continue
+                low = np.minimum(sketch[j], sketch[i])
+                bound = np.where((low == 255).any(axis=1), 1 << 40, low.sum(axis=1, dtype=np.int64))
+                j = j[100 * bound >= threshold * (n[j] + n[i] - bound)]
+                for x in cls[j].tolist():
+                    p = (min(x, int(cls[i])), max(x, int(cls[i])))
+                    if p not in told:
+                        told.add(p)
+                        a.append(p[0])
+                        b.append(p[1])
+            if len(told) > 500_000:  # only saves repeats
+                told.clear()
+            return {"a": a, "b": b}
+
+        def step(key, lo, hi, own, cls, n, most, comp, sketch):
+            nonlocal now, held
+            for row in zip(key or (), lo or (), hi or (), own or (), cls or (), n or (), most or (), comp or (), sketch or (), strict=True):
+                if now != row[:3]:
+                    if len(held) > 1:
+                        yield pairs()
+                    now, held = row[:3], []
+                held.append((row[4], row[5], row[6], row[7], row[8], row[3]))
+            if key is None and len(held) > 1:
+                yield pairs()
+
+        return step
+
+    return arrow_map(dealt, ["key", "lo", "hi", "own", "cls", "n", "most", "comp", "sketch"], "a long, b long", start).distinct()
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, size: int = 5, k: int = 2, frequent: int = 16, rounds: int = 2, bucket_chars: int = 8_000_000) -> DataFrame:
     """id, n_shingles, component (least id reachable by links), one row per input row."""
     if k not in (2, 3) or threshold < 80:
@@ -465,13 +528,12 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left = with_components(members, comps)
         if r < rounds:  # each class against its key's leader, another one each round
             first = left.groupBy("key").agg(F.min_by(F.struct("cls", "n", "comp", "most"), F.struct(F.xxhash64("cls", F.lit(r)), "cls")).alias("l"))
-            others = first.select(F.col("key").alias("key2"), F.col("l.cls").alias("with"), F.col("l.n").alias("m"), F.col("l.comp").alias("other"), F.col("l.most").alias("most2"))
-            on = F.col("cls") != F.col("with")
-        else:  # what is left, in full
-            others = left.select(F.col("key").alias("key2"), F.col("cls").alias("with"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("most").alias("most2"))
-            on = F.col("cls") < F.col("with")
-        pairs = left.join(others, (F.col("key") == F.col("key2")) & on & near(threshold)).select(F.least("cls", "with").alias("a"), F.greatest("cls", "with").alias("b")).distinct()
-        pairs = cut(possible(pairs, sketches, threshold))
+            leaders = first.select(F.col("key").alias("key2"), F.col("l.cls").alias("with"), F.col("l.n").alias("m"), F.col("l.comp").alias("other"), F.col("l.most").alias("most2"))
+            met = left.join(leaders, (F.col("key") == F.col("key2")) & (F.col("cls") != F.col("with")) & near(threshold))
+            pairs = possible(met.select(F.least("cls", "with").alias("a"), F.greatest("cls", "with").alias("b")).distinct(), sketches, threshold)
+        else:
+            pairs = residual(left, sketches, threshold)
+        pairs = cut(pairs)
         found = cut(verified(pairs, texts_of(df, docs, pairs, id_col, text_col), threshold, size))
         links = found if links is None else links.unionByName(found)
         comps = components(links)
