@@ -515,13 +515,13 @@ def emotion_resolution(spark, d):
     return read(spark, d, "documents").select("doc_id", C.resolve_emotion(probs, F.col("text")).alias("emotion"))
 
 
-LOW = ["hola", "Hola, muchas gracias!", "Bogotá Cali", "no si", "necesito ayuda", "", "Santa Marta.", "¿hola?", "buenas tardes sami"]
+LOW = ["hola", "Hola, muchas gracias!", "Bogotá Cali", "no si", "necesito ayuda", "", "Santa Marta.", "¿hola?", "buenas tardes bot"]
 
 
 @query("SELECT c_custkey, " + pick_sql(LOW, "c_custkey") + " AS text, " + pick_sql(["true", "true", "true", "false", "false", "true", "true", "true", "true"], "c_custkey") + "::BOOLEAN AS low FROM customer")
 def low_content_filter(spark, d):
     t = pick(LOW, F.col("c_custkey"))
-    return read(spark, d, "customer").select("c_custkey", t.alias("text"), X.is_low_content(t).alias("low"))
+    return read(spark, d, "customer").select("c_custkey", t.alias("text"), X.is_low_content(t, ["bot"]).alias("low"))
 
 
 SELF = ["me llamo ana", "Soy andrea y busco", "soy venezolana", "la señora perez", "mi hija tiene 5", "Mi  nombre es X", "somos tres"]

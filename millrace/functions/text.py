@@ -96,11 +96,11 @@ def folded_tokens(c: Column) -> Column:
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
 
 
-def is_low_content(c: Column) -> Column:
-    """One word at most, nothing but greeting and filler words, or nothing but city names."""
+def is_low_content(c: Column, bot_names: list[str] = ()) -> Column:
+    """One word at most, nothing but greeting and filler words (the bot's own names too), or nothing but city names."""
     t = folded_tokens(c)
     cities = sorted({w for k in V.CITY for w in k.split()})
-    greets = F.forall(t, lambda w: w.isin(V.GREETINGS + V.GREETING_FILL)) & F.exists(t, lambda w: w.isin(V.GREETINGS))
+    greets = F.forall(t, lambda w: w.isin(V.GREETINGS + V.GREETING_FILL + list(bot_names))) & F.exists(t, lambda w: w.isin(V.GREETINGS))
     return (F.size(t) <= 1) | greets | F.forall(t, lambda w: w.isin(cities))
 
 

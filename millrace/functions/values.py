@@ -52,7 +52,7 @@ NO_ANSWER, NO_ANSWER_ORDER = "Did not respond", -1
 NO_CLUSTER, NO_CLUSTER_NAME, NO_SUBCLUSTER = -1, "No conversation text", -10
 # --- fixed values: words of messages -------------------------------------------------
 GREETINGS = ["hola", "hi", "hey", "hello", "buenas", "buenos", "buen", "dia", "dias", "día", "días", "tarde", "tardes", "noche", "noches", "saludos", "saludo", "que", "qué", "tal", "cordial", "cordiales", "cordialmente", "gracias"]
-GREETING_FILL = ["muchas", "mucho", "muy", "bueno", "buena", "buenisimo", "excelente", "ok", "okay", "vale", "amable", "no", "si", "sí", "sami"]
+GREETING_FILL = ["muchas", "mucho", "muy", "bueno", "buena", "buenisimo", "excelente", "ok", "okay", "vale", "amable", "no", "si", "sí"]
 NOISE = ["undefined", "?", ""]
 # --- fixed values: emotions ----------------------------------------------------------
 EMOTIONS = ["others", "joy", "sadness", "anger", "surprise", "disgust", "fear"]
