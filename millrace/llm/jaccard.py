@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of a text; remembers words' hashes."""
 
-    def __init__(self, size: int = 5, keep: int = 500_000):
+    def __init__(self, size: int = 5, keep: int = 200_000):
         self.size, self.keep = size, keep
 
         class Known(dict):
@@ -128,7 +128,7 @@ def deal(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(MAP_BITS)).astype(np.int64)
 
 
-def shingle_counts(df: DataFrame, text_col: str, size: int, buckets: int, chunk: int = 2_000_000) -> DataFrame:
+def shingle_counts(df: DataFrame, text_col: str, size: int, buckets: int, chunk: int = 1_000_000) -> DataFrame:
     """(bucket, keys, counts): documents with each shingle, by 32 bits of its hash, summed within a task; about two bytes a shingle."""
 
     def start():
@@ -201,7 +201,7 @@ def heavy_bits(counts: DataFrame, frequent: int, partitions: int) -> np.ndarray:
 PARTS = "kind int, bucket int, ids array<{id}>, keys binary, cls binary, n binary, sketch binary"
 
 
-def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int, k: int, bits: np.ndarray, buckets: int, chunk: int = 1_500_000, hot: int = 16) -> DataFrame:
+def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int, k: int, bits: np.ndarray, buckets: int, chunk: int = 1_000_000, hot: int = 16) -> DataFrame:
     """Packed rows. kind 0: documents' ids, classes and sizes; 1: keys by bucket; 2: keys already known to have several classes."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
