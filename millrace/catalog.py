@@ -329,7 +329,7 @@ RARE = "r AS (SELECT * FROM events WHERE event_id % 500 = 0)"
 
 @query(f"WITH {RARE}, b AS (SELECT unnest(generate_series((SELECT min(date_trunc('day', ts)) FROM r), (SELECT max(date_trunc('day', ts)) FROM r), INTERVAL 1 DAY)) AS bucket) SELECT bucket, nullif((SELECT count(*) FROM r WHERE date_trunc('day', ts) = bucket), 0) AS n FROM b")
 def daily_calendar_fill(spark, d):
-    return S.calendar(read(spark, d, "events").where("event_id % 500 = 0"), "ts", "day", F.count("*").alias("n"))
+    return S.calendar(read(spark, d, "events"), "ts", "day", F.count("*").alias("n"))
 
 
 @query(f"WITH {EVENTS}, w AS (SELECT date_trunc('week', ts) AS week, cluster_id, count(*) AS n FROM v GROUP BY ALL) SELECT *, avg(n) OVER (PARTITION BY cluster_id ORDER BY week ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM w")
