@@ -652,13 +652,13 @@ def kmeans_labels(spark, d):
 
 @query()
 def stability_scan(spark, d):
-    return K.k_scan(read(spark, d, "embeddings"), "vec_id", "embedding", [3, 4], boots=6)
+    return K.k_scan(read(spark, d, "embeddings"), "vec_id", "embedding", range(3, 13), boots=30)
 
 
 @query()
 def subclusters(spark, d):
     e = read(spark, d, "embeddings")
-    return K.split_parents(e.join(K.kmeans(e, "vec_id", "embedding", 3), "vec_id"), "vec_id", "embedding", "cluster_id", boots=4)
+    return K.split_parents(e.join(K.kmeans(e, "vec_id", "embedding", 3), "vec_id"), "vec_id", "embedding", "cluster_id", boots=20)
 
 
 @query()
@@ -668,4 +668,4 @@ def pca_projection(spark, d):
 
 @query()
 def bootstrap_mean(spark, d):
-    return K.bootstrap_ci(read(spark, d, "events"), "value", 400)
+    return K.bootstrap_ci(read(spark, d, "events"), "value", 1000)

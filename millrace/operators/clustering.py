@@ -24,20 +24,21 @@ def lloyd(x: np.ndarray, k: int, seed: int, steps: int = 100) -> tuple[np.ndarra
     """(labels, centres, inertia) of one k-means++ start."""
     rng = np.random.default_rng(seed)
     c = x[[rng.integers(len(x))]]
+    near = np.full(len(x), np.inf)
     for _ in range(1, k):
-        d = ((x[:, None] - c[None]) ** 2).sum(-1).min(1)
-        c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum() if d.sum() > 0 else None)]])
-    label = None
+        near = np.minimum(near, ((x - c[-1]) ** 2).sum(1))
+        c = np.vstack([c, x[rng.choice(len(x), p=near / near.sum() if near.sum() > 0 else None)]])
+    label, norm = None, (x**2).sum(1)
     for _ in range(steps):
-        d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
+        d = x @ (-2 * c.T) + (c**2).sum(1)
         new = d.argmin(1)
         if label is not None and (new == label).all():
             break
         label = new
-        for j in range(k):
-            if (label == j).any():
-                c[j] = x[label == j].mean(0)
-    return label, c, float(np.maximum(d.min(1), 0).sum())
+        of = (label[:, None] == np.arange(k)).astype(x.dtype)
+        n = of.sum(0)
+        c = np.where(n[:, None] > 0, of.T @ x / np.maximum(n, 1)[:, None], c)
+    return label, c, float(np.maximum(norm + d.min(1), 0).sum())
 
 
 def best_fit(x: np.ndarray, k: int, seed: int = 0, starts: int = 10) -> tuple[np.ndarray, np.ndarray, float]:
@@ -117,7 +118,7 @@ def k_scan(df: DataFrame, key: str, vec: str, ks: Iterable[int], boots: int = 20
                     yield pd.DataFrame({"k": [k], "boot": [b], "row": [-1], "c": [-1], "silhouette": [silhouette(x, label)], "davies_bouldin": [davies_bouldin(x, label)]})
                     continue
                 at = np.random.default_rng([seed, k, b]).choice(len(x), int(share * len(x)), replace=False)
-                yield pd.DataFrame({"k": k, "boot": b, "row": at, "c": best_fit(x[at], k, seed, 3)[0], "silhouette": np.nan, "davies_bouldin": np.nan})
+                yield pd.DataFrame({"k": k, "boot": b, "row": at, "c": best_fit(x[at], k, seed)[0], "silhouette": np.nan, "davies_bouldin": np.nan})
 
     fits = jobs.repartition(len(list(ks)) * 4, "k", "boot").mapInPandas(run, "k int, boot int, row long, c int, silhouette double, davies_bouldin double").persist()
     a, b = (fits.where("boot >= 0").select("k", "row", F.col("boot").alias(f"{x}b"), F.col("c").alias(f"{x}c")) for x in "xy")
@@ -153,7 +154,7 @@ def split_parents(df: DataFrame, key: str, vec: str, parent: str, least: int = 3
         for b in range(boots):
             at = np.random.default_rng([seed, k, b]).choice(len(x), int(0.8 * len(x)), replace=False)
             full = np.full(len(x), -1)
-            full[at] = best_fit(x[at], k, seed, 2)[0]
+            full[at] = best_fit(x[at], k, seed)[0]
             fits.append(full)
         return float(np.mean([ari(a, b) for a, b in combinations(fits, 2)])) >= gate
 

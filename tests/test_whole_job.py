@@ -2,7 +2,10 @@
 
 from datetime import datetime
 
+import numpy as np
+
 from millrace import catalog
+from millrace.operators import clustering as K
 
 
 def test_calendar_counts_every_event(spark, tmp_path):
@@ -11,3 +14,26 @@ def test_calendar_counts_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.bucket.day: r.n for r in catalog.QUERIES["daily_calendar_fill"](spark, str(tmp_path)).collect()}
     assert got == {1: 3, 2: 1, 3: None, 4: None, 5: 2}
+
+
+def embeddings(spark, tmp_path, n):
+    x = np.random.default_rng(1).normal(size=(n, 4))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path)
+
+
+def test_stability_scan_tries_every_k(spark, tmp_path):
+    rows = catalog.QUERIES["stability_scan"](spark, embeddings(spark, tmp_path, 60)).collect()
+    assert sorted(r.k for r in rows) == list(range(3, 13))
+    assert {r.n_pairs for r in rows} == {30 * 29 // 2}
+
+
+def test_resamples_of_subclusters_and_bootstrap(spark, tmp_path, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(K, "split_parents", lambda *a, boots=20, **k: asked.update(subclusters=boots))
+    monkeypatch.setattr(K, "bootstrap_ci", lambda df, value, boots=1000, **k: asked.update(bootstrap=boots))
+    spark.createDataFrame([(1.0,)], "value double").write.parquet(str(tmp_path / "events.parquet"))
+    d = embeddings(spark, tmp_path, 60)
+    catalog.QUERIES["subclusters"](spark, d)
+    catalog.QUERIES["bootstrap_mean"](spark, d)
+    assert asked == {"subclusters": 20, "bootstrap": 1000}
