@@ -1,7 +1,8 @@
 """Segments: k-means with restarts, stability, choice of k, naming, two-dimensional view.
 
-Up to ``small`` rows the vectors are fitted by numpy inside tasks, one task a (k, restart) pair,
-since a fit there takes milliseconds; beyond it MLlib fits over the whole cluster.
+Up to SMALL rows the vectors are fitted by numpy inside tasks, one task a (k, resample) pair,
+since a fit there takes milliseconds; beyond it ``spread`` fits over the whole cluster, with as
+many starts and steps.
 """
 
 from __future__ import annotations
@@ -16,18 +17,23 @@ from pyspark.sql import functions as F
 from millrace.workers import importable
 
 from . import aggregates as A
+from . import spread
 
-SMALL = 20_000
+SMALL, STARTS = 20_000, 10
 
 
-def lloyd(x: np.ndarray, k: int, seed: int, steps: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """(labels, centres, inertia) of one k-means++ start."""
-    rng = np.random.default_rng(seed)
+def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     c = x[[rng.integers(len(x))]]
     near = np.full(len(x), np.inf)
     for _ in range(1, k):
         near = np.minimum(near, ((x - c[-1]) ** 2).sum(1))
         c = np.vstack([c, x[rng.choice(len(x), p=near / near.sum() if near.sum() > 0 else None)]])
+    return c
+
+
+def lloyd(x: np.ndarray, k: int, seed: int, steps: int = spread.STEPS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(labels, centres, inertia) of one k-means++ start."""
+    c = plus_plus(x, k, np.random.default_rng(seed))
     label, norm = None, (x**2).sum(1)
     for _ in range(steps):
         d = x @ (-2 * c.T) + (c**2).sum(1)
@@ -41,27 +47,27 @@ def lloyd(x: np.ndarray, k: int, seed: int, steps: int = 100) -> tuple[np.ndarra
     return label, c, float(np.maximum(norm + d.min(1), 0).sum())
 
 
-def best_fit(x: np.ndarray, k: int, seed: int = 0, starts: int = 10) -> tuple[np.ndarray, np.ndarray, float]:
+def best_fit(x: np.ndarray, k: int, seed: int = 0, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray, float]:
     return min((lloyd(x, k, seed + s) for s in range(starts)), key=lambda f: f[2])
 
 
-def silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1), 0))
-    ks, scores = np.unique(label), []
+def silhouette(x: np.ndarray, label: np.ndarray, block: int = 512) -> float:
+    """Over all rows, a block of them at a time, so that no distance matrix of all pairs is held."""
+    ks, own = np.unique(label, return_inverse=True)
     if len(ks) < 2:
         return 0.0
-    sums = np.stack([d[:, label == j].sum(1) for j in ks], 1)
-    size = np.array([(label == j).sum() for j in ks])
-    own = np.searchsorted(ks, label)
-    for i in range(len(x)):
-        n = size[own[i]]
-        if n == 1:
-            scores.append(0.0)
-            continue
-        a = sums[i, own[i]] / (n - 1)
-        b = min(sums[i, j] / size[j] for j in range(len(ks)) if j != own[i])
-        scores.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-    return float(np.mean(scores))
+    of = (own[:, None] == np.arange(len(ks))).astype(x.dtype)
+    size, norm, score = of.sum(0), (x**2).sum(1), 0.0
+    for at in range(0, len(x), block):
+        rows = slice(at, at + block)
+        sums = np.sqrt(np.maximum(norm[rows, None] - 2 * x[rows] @ x.T + norm, 0)) @ of
+        here, i = own[rows], np.arange(len(sums))
+        other = sums / size
+        other[i, here] = np.inf
+        p, q = sums[i, here] / np.maximum(size[here] - 1, 1), other.min(1)
+        most = np.maximum(p, q)
+        score += np.where((size[here] > 1) & (most > 0), (q - p) / np.where(most > 0, most, 1), 0).sum()
+    return float(score / len(x))
 
 
 def davies_bouldin(x: np.ndarray, label: np.ndarray) -> float:
@@ -87,23 +93,19 @@ def kmeans(df: DataFrame, key: str, vec: str, k: int, seed: int = 0) -> DataFram
         kind = df.schema[key].dataType.simpleString()
         got = df.sparkSession.createDataFrame(list(zip(ids, label, strict=True)), f"{key} {kind}, c int")
     else:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        v = df.select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-        fits = [KMeans(k=k, seed=seed + s).fit(v) for s in range(3)]
-        got = min(fits, key=lambda f: f.summary.trainingCost).transform(v).select(key, F.col("prediction").alias("c"))
+        got = spread.labels(df, key, vec, k, STARTS, seed)
     size = got.groupBy("c").agg(F.count("*").alias("n"), F.min(key).alias("least"))
     rank = size.withColumn("cluster_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "least")) - 1)
     return got.join(F.broadcast(rank.select("c", "cluster_id")), "c").select(key, "cluster_id")
 
 
 def k_scan(df: DataFrame, key: str, vec: str, ks: Iterable[int], boots: int = 20, share: float = 0.8, seed: int = 0) -> DataFrame:
-    """One row a k: silhouette, Davies-Bouldin, mean and spread of pairwise ARI of subsample fits. For at most SMALL rows."""
-    spark = df.sparkSession
+    """One row a k: silhouette, Davies-Bouldin, mean and spread of pairwise ARI of subsample fits."""
+    spark, ks = df.sparkSession, list(ks)
     importable(spark)
+    out = "k int, silhouette double, davies_bouldin double, ari_mean double, ari_std double, n_pairs long"
     if df.count() > SMALL:
-        raise ValueError(f"more than {SMALL} rows; sample them first")
+        return spark.createDataFrame(spread.scan(df, key, vec, ks, boots, share, STARTS, seed), out)
     shared = spark.sparkContext.broadcast(matrix(df, key, vec)[1])
     jobs = spark.createDataFrame([(k, b) for k in ks for b in range(-1, boots)], "k int, boot int")
 
@@ -115,22 +117,25 @@ def k_scan(df: DataFrame, key: str, vec: str, ks: Iterable[int], boots: int = 20
                 x = shared.value
                 if b < 0:
                     label = best_fit(x, k, seed)[0]
-                    yield pd.DataFrame({"k": [k], "boot": [b], "row": [-1], "c": [-1], "silhouette": [silhouette(x, label)], "davies_bouldin": [davies_bouldin(x, label)]})
+                    yield pd.DataFrame({"k": [k], "boot": [b], "label": [None], "silhouette": [silhouette(x, label)], "davies_bouldin": [davies_bouldin(x, label)]})
                     continue
                 at = np.random.default_rng([seed, k, b]).choice(len(x), int(share * len(x)), replace=False)
-                yield pd.DataFrame({"k": k, "boot": b, "row": at, "c": best_fit(x[at], k, seed)[0], "silhouette": np.nan, "davies_bouldin": np.nan})
+                label = np.full(len(x), -1, np.int16)
+                label[at] = best_fit(x[at], k, seed)[0]
+                yield pd.DataFrame({"k": [k], "boot": [b], "label": [label.tobytes()], "silhouette": [np.nan], "davies_bouldin": [np.nan]})
 
-    fits = jobs.repartition(len(list(ks)) * 4, "k", "boot").mapInPandas(run, "k int, boot int, row long, c int, silhouette double, davies_bouldin double").persist()
-    a, b = (fits.where("boot >= 0").select("k", "row", F.col("boot").alias(f"{x}b"), F.col("c").alias(f"{x}c")) for x in "xy")
-    cells = a.join(b, ["k", "row"]).where("xb < yb").groupBy("k", "xb", "yb", "xc", "yc").agg(F.count("*").alias("n"))
-    pair = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
-    both = cells.groupBy("k", "xb", "yb").agg(pair("n").alias("both"), F.sum("n").alias("total"))
-    side = lambda c, name: cells.groupBy("k", "xb", "yb", c).agg(F.sum("n").alias("m")).groupBy("k", "xb", "yb").agg(pair("m").alias(name))
-    rows = both.join(side("xc", "p"), ["k", "xb", "yb"]).join(side("yc", "q"), ["k", "xb", "yb"])
-    expected = F.col("p") * F.col("q") / (F.col("total") * (F.col("total") - 1) / 2)
-    ari = (F.col("both") - expected) / F.nullif((F.col("p") + F.col("q")) / 2 - expected, F.lit(0.0))
-    stable = rows.withColumn("ari", F.coalesce(ari, F.lit(1.0))).groupBy("k").agg(F.avg("ari").alias("ari_mean"), F.stddev_pop("ari").alias("ari_std"), F.count("*").alias("n_pairs"))
-    return fits.where("boot < 0").select("k", "silhouette", "davies_bouldin").join(stable, "k", "left")
+    def one(f):
+        from itertools import combinations
+
+        import pandas as pd
+
+        full = f[f["boot"] < 0].iloc[0]
+        fits = [np.frombuffer(v, np.int16) for v in f[f["boot"] >= 0].sort_values("boot")["label"]]
+        aris = [ari(a, b) for a, b in combinations(fits, 2)]
+        return pd.DataFrame({"k": [full.k], "silhouette": [full.silhouette], "davies_bouldin": [full.davies_bouldin], "ari_mean": [np.mean(aris) if aris else None], "ari_std": [np.std(aris) if aris else None], "n_pairs": [len(aris) or None]})
+
+    fits = jobs.repartition(len(ks) * 4, "k", "boot").mapInPandas(run, "k int, boot int, label binary, silhouette double, davies_bouldin double")
+    return fits.groupBy("k").applyInPandas(one, out)
 
 
 def choose_k(scan: DataFrame, gate: float = 0.6, margin: float = 1.0) -> int:
@@ -180,9 +185,15 @@ def ari(a: np.ndarray, b: np.ndarray) -> float:
     a, b = a[at], b[at]
     n = np.zeros((a.max() + 1, b.max() + 1))
     np.add.at(n, (a, b), 1)
+    return ari_of(n)
+
+
+def ari_of(n: np.ndarray) -> float:
+    """Adjusted Rand index of a table of counts."""
     c = lambda v: (v * (v - 1) / 2).sum()
-    expected = c(n.sum(0)) * c(n.sum(1)) / c(np.array([len(a)]))
     most = (c(n.sum(0)) + c(n.sum(1))) / 2
+    pairs = c(np.array([n.sum()]))
+    expected = c(n.sum(0)) * c(n.sum(1)) / pairs if pairs else most
     return 1.0 if most == expected else (c(n) - expected) / (most - expected)
 
 

@@ -37,3 +37,18 @@ def test_resamples_of_subclusters_and_bootstrap(spark, tmp_path, monkeypatch):
     catalog.QUERIES["subclusters"](spark, d)
     catalog.QUERIES["bootstrap_mean"](spark, d)
     assert asked == {"subclusters": 20, "bootstrap": 1000}
+
+
+def test_large_tables_are_scanned_with_the_same_fits(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.6, (80, 3)) for c in ((0, 0, 0), (3, 3, 3), (0, 4, 0))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>").repartition(3)
+    small = {r.k: r for r in K.k_scan(df, "k", "v", [2, 3], boots=5).collect()}
+    near = [r.cluster_id for r in K.kmeans(df, "k", "v", 3).orderBy("k").collect()]
+    monkeypatch.setattr(K, "SMALL", 50)
+    large = {r.k: r for r in K.k_scan(df, "k", "v", [2, 3], boots=5).collect()}
+    assert sorted(large) == [2, 3] and {r.n_pairs for r in large.values()} == {10}
+    for k in (2, 3):
+        assert abs(large[k].silhouette - small[k].silhouette) < 1e-4 and abs(large[k].davies_bouldin - small[k].davies_bouldin) < 1e-4
+    assert large[3].ari_mean > 0.9 and abs(large[3].ari_mean - small[3].ari_mean) < 0.05
+    assert near == [r.cluster_id for r in K.kmeans(df, "k", "v", 3).orderBy("k").collect()]
