@@ -32,27 +32,36 @@ def id_remainder(c: Column, k: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % k
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and drops its lineage.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set (a local
-    session, as in tests) a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, spark.checkpoint.dir; only a local session that sets none, as in tests, gets a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith(("local[", "local,")) and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and drops its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def arrow_map(df: DataFrame, columns: list[str], schema: T.StructType | str, start: Callable[[], Callable[..., Iterator[dict]]]) -> DataFrame:
+def plain(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def arrow_map(df: DataFrame, columns: list[str | Column], schema: T.StructType | str, start: Callable[[], Callable[..., Iterator[dict]]]) -> DataFrame:
     """Maps Arrow batches of the columns; start() runs once a task and returns a function of column lists.
 
     That function yields dicts of output columns; called with None it yields what is left at the end.
     """
     importable(df.sparkSession)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    names = [f.name for f in schema.fields]
+    names, width = [f.name for f in schema.fields], len(columns)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,7 +76,7 @@ def arrow_map(df: DataFrame, columns: list[str], schema: T.StructType | str, sta
             if b.num_rows:
                 for out in step(*(b.column(i).to_pylist() for i in range(b.num_columns))):
                     yield batch(out)
-        for out in step(*[None] * len(columns)) or ():
+        for out in step(*[None] * width) or ():
             yield batch(out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*[plain(c) if isinstance(c, str) else c for c in columns]).mapInArrow(run, schema)
