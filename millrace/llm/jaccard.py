@@ -13,8 +13,8 @@ Frequent are shingles of ``frequent`` documents or more (of more than that where
 large that they would fill the bitmap), counted over all, up to collisions in a bitmap of 2 to 32
 MB; that affects the number of candidates only.
 
-A key's classes are not paired all with all. Two rounds link each class to its key's leader and
-find components. A pair is first held against sketches, shingle counts in 256 ranges of hashes,
+A key's classes are not paired all with all. A round links each class to its key's leader and
+finds components. A pair is first held against sketches, shingle counts in 256 ranges of hashes,
 which bound the intersection from above; pairs that can still be similar are verified exactly, on
 the whole sets. Then only classes of a key that are in different components are paired. A key of
 few classes pairs them in one task. Hot keys whose classes are much the same become one group; its
@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, plain
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 SMALL_SET = 40
@@ -125,7 +125,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def input_chars(df: DataFrame, text_col: str) -> int:
-    return df.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
+    return df.agg(F.sum(F.length(plain(text_col)))).first()[0] or 0
 
 
 def map_bits(chars: int) -> int:
@@ -186,25 +186,6 @@ def assembled(blocks: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def bitmap(hashes: DataFrame, bits: int, partitions: int) -> np.ndarray:
-    """A packed bitmap of 2**bits places, set at those of a column of hashes."""
-
-    def start():
-        blocks = Blocks()
-
-        def step(h):
-            if h is None:
-                yield blocks.rows()
-            else:
-                blocks.add(place_of(np.array(h, dtype=np.int64).view(np.uint64), bits))
-
-        return step
-
-    name = hashes.columns[0]
-    dealt = hashes.repartition(partitions, F.shiftrightunsigned(name, 64 - bits + 16))
-    return assembled(arrow_map(dealt, [name], "block int, bits binary", start), bits)
-
-
 def shingle_counts(df: DataFrame, text_col: str, size: int, buckets: int, most: int, chunk: int = 1_000_000) -> DataFrame:
     """(bucket, keys, counts): documents with each shingle, by 32 bits of its hash, summed within a task; about two bytes a shingle. Sums of most and over stand for each other."""
     kind = np.uint8 if most <= 255 else np.uint32
@@ -275,12 +256,12 @@ def heavy_bits(counts: DataFrame, frequent: int, partitions: int, bits: int) ->
     return assembled(arrow_map(dealt, ["bucket", "keys", "counts"], "block int, bits binary", start), bits)
 
 
-PARTS = "kind int, bucket int, ids array<{id}>, marks binary, keys binary, cls binary, n binary"
+PARTS = "kind int, bucket int, ids array<{id}>, marks binary, keys binary, cls binary, n binary, sketch binary"
 
 
 def mark_of(text_col: str) -> Column:
     """A hash that names a text, so that rows are told apart without their ids."""
-    return F.xxhash64(F.col(text_col))
+    return F.xxhash64(plain(text_col))
 
 
 def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int, k: int, packed: np.ndarray, bits: int, buckets: int, chunk: int = 1_000_000, hot: int = 16) -> DataFrame:
@@ -289,20 +270,20 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
 
     def start():
         shingler, heavy = Shingler(size), shared.value
-        ids, marks, classes, sizes, held, able, owners, n = [], [], [], [], [], [], [], 0
+        ids, marks, classes, sizes, held, able, owners, sketches, n = [], [], [], [], [], [], [], [], 0
 
         def flush():
-            nonlocal ids, marks, classes, sizes, held, able, owners, n
+            nonlocal ids, marks, classes, sizes, held, able, owners, sketches, n
             if not ids:
                 return
             cls, sz = np.array(classes, dtype=np.uint64), np.array(sizes, dtype=np.int64)
-            rows = {c: [] for c in ("kind", "bucket", "ids", "marks", "keys", "cls", "n")}
+            rows = {c: [] for c in ("kind", "bucket", "ids", "marks", "keys", "cls", "n", "sketch")}
 
-            def row(kind, bucket, i, marked, keys, at, n):
-                for c, v in zip(rows, (kind, bucket, i, marked, keys, cls[at].tobytes(), n.tobytes()), strict=True):
+            def row(kind, bucket, i, marked, keys, at, n, sketch=None):
+                for c, v in zip(rows, (kind, bucket, i, marked, keys, cls[at].tobytes(), n.tobytes(), sketch), strict=True):
                     rows[c].append(v)
 
-            row(0, 0, ids, np.array(marks, dtype=np.int64).tobytes(), None, np.arange(len(ids)), sz)
+            row(0, 0, ids, np.array(marks, dtype=np.int64).tobytes(), None, np.arange(len(ids)), sz, np.concatenate(sketches).tobytes())
             if held:
                 key = np.concatenate(held)
                 at = np.repeat(np.array(owners), [len(x) for x in held])
@@ -321,7 +302,7 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
                 for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                     x = slice(cuts[b], cuts[b + 1])
                     row(1, b, None, None, key[x].tobytes(), at[x], packed[x])
-            ids, marks, classes, sizes, held, able, owners, n = [], [], [], [], [], [], [], 0
+            ids, marks, classes, sizes, held, able, owners, sketches, n = [], [], [], [], [], [], [], [], 0
             yield rows
 
         def step(i, named, texts):
@@ -335,6 +316,7 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
                 marks.append(m)
                 classes.append(class_of(s))
                 sizes.append(len(s))
+                sketches.append(sketch_of(s))
                 if len(s) > 1:
                     often = has_bit(heavy, place_of(s, bits))
                     keys, single = index_keys(s, often, threshold, k)
@@ -420,39 +402,57 @@ def documents_of(parts: DataFrame, id_kind: str) -> DataFrame:
     return arrow_map(parts.where("kind = 0"), ["ids", "marks", "cls", "n"], f"id {id_kind}, mark long, cls long, n long", start)
 
 
-def sets_of(df: DataFrame, docs: DataFrame, wanted: DataFrame, text_col: str, size: int, bits: int, partitions: int) -> DataFrame:
-    """(cls, n, sketch, shingles): the sorted set of each class in wanted, from one text of it.
+def sketches_of(parts: DataFrame) -> DataFrame:
+    """(cls, n, sketch) of every class."""
+
+    def start():
+        def step(cls, n, sketch):
+            for c, z, k in zip(cls or (), n or (), sketch or (), strict=True):
+                c, at = np.unique(np.frombuffer(c, dtype=np.int64), return_index=True)
+                yield {"cls": c, "n": np.frombuffer(z, dtype=np.int64)[at], "sketch": [k[256 * i : 256 * (i + 1)] for i in at.tolist()]}
+
+        return step
+
+    return arrow_map(parts.where("kind = 0"), ["cls", "n", "sketch"], "cls long, n long, sketch binary", start).dropDuplicates(["cls"])
+
+
+PLACES = 1 << 20
+
 
-    The texts are found by a bitmap of their marks, of fixed size, so ids play no part and no text is shuffled.
+def sets_of(df: DataFrame, docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(cls, n, shingles): the sorted set of each class in wanted, from one text of it.
+
+    Texts are found by their marks, so ids play no part; those that can't be wanted are left out by PLACES hashes at most, and no text is shuffled.
     """
-    one = cut(docs.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("mark").alias("mark")))
-    shared = df.sparkSession.sparkContext.broadcast(bitmap(one.select("mark"), bits, partitions))
+    one = cut(docs.join(wanted.distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("mark").alias("mark")))
+    place = lambda c: F.pmod(c, F.lit(PLACES)).alias("__millrace_place")
+    places = F.broadcast(one.select(place(F.col("mark"))).distinct())
+    rows = df.select(mark_of(text_col).alias("mark"), plain(text_col).alias("t")).withColumn("__millrace_place", place(F.col("mark"))).join(places, "__millrace_place", "left_semi")
 
     def start():
-        shingler, packed, seen = Shingler(size), shared.value, set()
+        shingler, seen = Shingler(size), set()
 
         def step(marks, texts):
             if marks is None:
                 return
-            at = np.flatnonzero(has_bit(packed, place_of(np.array(marks, dtype=np.int64).view(np.uint64), bits)))
-            rows = {"cls": [], "n": [], "sketch": [], "shingles": []}
-            for i in at.tolist():
-                if marks[i] in seen:  # a copy
+            out = {"cls": [], "n": [], "shingles": []}
+            for m, t in zip(marks, texts, strict=True):
+                if m in seen:  # a copy
                     continue
                 if len(seen) > 500_000:  # only saves repeats
                     seen.clear()
-                seen.add(marks[i])
-                s = shingler.shingles(texts[i])
-                for c, v in zip(rows, (np.uint64(class_of(s)).astype(np.int64), len(s), sketch_of(s).tobytes(), s.tobytes()), strict=True):
-                    rows[c].append(v)
-                if len(rows["cls"]) >= 2_000:
-                    yield rows
-                    rows = {c: [] for c in rows}
-            yield rows
+                seen.add(m)
+                s = shingler.shingles(t)
+                for c, v in zip(out, (np.uint64(class_of(s)).astype(np.int64), len(s), s.tobytes()), strict=True):
+                    out[c].append(v)
+                if len(out["cls"]) >= 2_000:
+                    yield out
+                    out = {c: [] for c in out}
+            yield out
 
         return step
 
-    every = arrow_map(df, [mark_of(text_col), text_col], "cls long, n long, sketch binary, shingles binary", start)
+    every = arrow_map(rows, ["mark", "t"], "cls long, n long, shingles binary", start)
     return every.join(one.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -464,7 +464,7 @@ def paired(pairs: DataFrame, of: DataFrame, *cols: str) -> DataFrame:
     return out
 
 
-def possible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def possible(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """The pairs that their sketches don't rule out."""
 
     def start():
@@ -476,7 +476,7 @@ def possible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
         return step
 
-    both = paired(pairs, sets, "n", "sketch")
+    both = paired(pairs, sketches, "n", "sketch")
     return arrow_map(both, ["a", "b", "nx", "ny", "sketchx", "sketchy"], "a long, b long", start)
 
 
@@ -538,9 +538,9 @@ HOT = 64
 BLOCK_SHINGLES, BLOCK_CLASSES = 1_000_000, 8192
 
 
-def within_keys(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def within_keys(left: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """Possible pairs (a, b) of the classes, in different components, of keys that have HOT classes at most."""
-    rows = left.join(sets.select("cls", "sketch"), "cls")
+    rows = left.join(sketches.select("cls", "sketch"), "cls")
     dealt = rows.repartition("key").sortWithinPartitions("key", "cls")
 
     def start():
@@ -725,22 +725,27 @@ def packed_blocks(rows: DataFrame) -> DataFrame:
     return arrow_map(dealt, ["g", "minor", "block", "cls", "comp", "shingles"], BLOB, start)
 
 
-def across_blocks(left: DataFrame, sets: DataFrame, threshold: int, first: bool) -> DataFrame:
-    """Links (a, b) between classes, in different components, of hot keys.
+def both_classes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+
+
+def across_blocks(left: DataFrame, sets: DataFrame, threshold: int, first: bool) -> DataFrame | None:
+    """Links (a, b) between classes, in different components, of hot keys; None if there is nothing to look at.
 
     left: (g, cls, comp). The classes outside a group's largest component meet each other and those
     inside, block by block; no pair within the largest component is looked at. first: only groups of
     many blocks, and of these the first block of the largest component, which leaves few classes to the rest.
     """
     sized = left.join(sets.select("cls", "n"), "cls")
-    parts = sized.groupBy("g", "comp").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    parts = cut(sized.groupBy("g", "comp").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")))
     blocks = lambda c, s: F.greatest(F.ceil(F.sum(c) / BLOCK_CLASSES), F.ceil(F.sum(s) / BLOCK_SHINGLES), F.lit(0)).cast("int")
     top = parts.groupBy("g").agg(F.max_by("comp", F.struct("classes", "comp")).alias("top"))
     outside = F.col("comp") != F.col("top")
     group = parts.join(top, "g").withColumn("c", F.when(outside, F.col("classes")).otherwise(0)).withColumn("s", F.when(outside, F.col("shingles")).otherwise(0))
-    group = group.groupBy("g").agg(F.first("top").alias("top"), blocks("c", "s").alias("minors"), blocks(F.col("classes") - F.col("c"), F.col("shingles") - F.col("s")).alias("bulks")).where("minors > 0")
-    if first:
-        group = group.where("minors + bulks > 2")
+    group = group.groupBy("g").agg(F.first("top").alias("top"), blocks("c", "s").alias("minors"), blocks(F.col("classes") - F.col("c"), F.col("shingles") - F.col("s")).alias("bulks"))
+    group = cut(group.where("minors + bulks > 2 and minors > 0" if first else "minors > 0"))
+    if group.isEmpty():
+        return None
     rows = sized.join(group, "g").withColumn("minor", outside.cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.when(outside, F.col("minors")).otherwise(F.col("bulks"))).cast("int"))
     if first:
@@ -797,29 +802,35 @@ def named_documents(df: DataFrame, id_col: str, text_col: str, threshold: int, s
     kind = df.schema[id_col].dataType.simpleString()
     docs = documents_of(parts, kind)
     members = cut(shared_keys(parts, buckets))
-    sets = cut(sets_of(df, docs, members.select("cls").distinct(), text_col, size, bits, buckets))
+    sketches = sketches_of(parts)
     comps, links = None, None
 
-    def linked(found: DataFrame) -> None:
+    def linked(*found: DataFrame | None) -> None:
         nonlocal comps, links
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
+        new = [cut(f) for f in found if f is not None]
+        for f in new:
+            links = f if links is None else links.unionByName(f)
+        if new or comps is None:
+            comps = components(links)
 
     for r in range(rounds):  # each class against its key's leader, another one each round
         left = with_components(members, comps)
         first = left.groupBy("key").agg(F.min_by(F.struct("cls", "n", "comp", "most"), F.struct(F.xxhash64("cls", F.lit(r)), "cls")).alias("l"))
         leaders = first.select(F.col("key").alias("key2"), F.col("l.cls").alias("with"), F.col("l.n").alias("m"), F.col("l.comp").alias("other"), F.col("l.most").alias("most2"))
         met = left.join(leaders, (F.col("key") == F.col("key2")) & (F.col("cls") != F.col("with")) & near(threshold))
-        pairs = cut(possible(met.select(F.least("cls", "with").alias("a"), F.greatest("cls", "with").alias("b")).distinct(), sets, threshold))
-        linked(cut(verified(pairs, sets, threshold)))
-    left = with_components(members, comps)
+        pairs = cut(possible(met.select(F.least("cls", "with").alias("a"), F.greatest("cls", "with").alias("b")).distinct(), sketches, threshold))
+        linked(verified(pairs, cut(sets_of(df, docs, both_classes(pairs), text_col, size)), threshold))
+    left = cut(with_components(members, comps))
     wide = left.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > HOT).select("key")
     hot = cut(groups_of(left.join(wide, "key", "left_semi").select("key", "cls")))
-    few = cut(within_keys(left.join(wide, "key", "left_anti"), sets, threshold))
-    linked(cut(verified(few, sets, threshold)))
-    for first in (True, False):
-        group = hot.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        linked(cut(across_blocks(group, sets, threshold, first)))
+    few = cut(within_keys(left.join(wide, "key", "left_anti"), sketches, threshold))
+    sets = cut(sets_of(df, docs, both_classes(few).unionByName(hot.select("cls")), text_col, size))
+
+    def joined() -> DataFrame:
+        return hot.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+    linked(verified(few, sets, threshold), across_blocks(joined(), sets, threshold, True))
+    linked(across_blocks(joined(), sets, threshold, False))
     return with_names(docs, comps)
 
 
@@ -838,13 +849,13 @@ def with_names(docs: DataFrame, comps: DataFrame) -> DataFrame:
     return common.unionByName(rest).unionByName(alone)
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, size: int = 5, k: int = 2, frequent: int = 16, rounds: int = 2, bucket_chars: int = 8_000_000) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, size: int = 5, k: int = 2, frequent: int = 16, rounds: int = 1, bucket_chars: int = 8_000_000) -> DataFrame:
     """id, n_shingles, component (least id reachable by links), one row per input row."""
     named = named_documents(df, id_col, text_col, threshold, size, k, frequent, rounds, bucket_chars)
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, size: int = 5, k: int = 2, frequent: int = 16, rounds: int = 2, bucket_chars: int = 8_000_000) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, size: int = 5, k: int = 2, frequent: int = 16, rounds: int = 1, bucket_chars: int = 8_000_000) -> DataFrame:
     """One row of each group of linked documents, with the columns of df: of the least id, and of equal ids the least text hash.
 
     Rows are told apart by id and text, so null ids and ids that stand with several texts lose
