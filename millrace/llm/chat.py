@@ -7,8 +7,9 @@ it anew. Events that address a message before it began begin it.
 
 Two passes, neither of which holds a conversation in memory: the fold is dealt by
 (conversation, message), so that a conversation with a third of all events is spread over
-tasks; the rendering streams each conversation's final messages in order through a writer
-and a reader, keeping one message and running digests.
+tasks; the digests stream each conversation's final messages in order through a writer and a
+reader of the growing string, keeping one turn and running digests. ``render`` returns the whole
+string of each conversation, so it holds the one it writes.
 
 The template writes user turns as ``<s>[INST] text [/INST]``, assistant turns as
 `` text </s>``, system turns as ``<<SYS>> text <</SYS>>`` and any other role as
@@ -25,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
@@ -52,61 +53,64 @@ def render_turn(role: str, text: str) -> str:
 
 
 def read_turns(formatted: str):
-    """(role, text, loss) of each turn of a rendered string; loss: it stands under the loss mask."""
+    """(role, text, loss, end) of each whole turn that a rendered string begins with; loss: it stands under the loss mask."""
     at = 0
-    while at < len(formatted):
-        m = TURN.match(formatted, at)
-        if not m:
-            raise ValueError(f"no turn at character {at}")
+    while m := TURN.match(formatted, at):
+        at = m.end()
         if m["other"] is not None:
-            yield unescape(m["role"]), unescape(m["other"]), False
+            yield unescape(m["role"]), unescape(m["other"]), False, at
         else:
             role = next(r for r in FRAMES if m[r] is not None)
-            yield role, unescape(m[role]), role == "assistant"
-        at = m.end()
+            yield role, unescape(m[role]), role == "assistant", at
 
 
 def fold_messages(events: DataFrame) -> DataFrame:
-    """(conv, msg, part, role, text): final messages of events with conv, msg, seq, kind, role, text."""
+    """(conv, msg, part, again, role, text): final messages of events with conv, msg, seq, kind, role, text.
+
+    part tells messages of one number apart, where the log has such a column; again counts the
+    messages that begin anew under one number.
+    """
 
     def start():
         current: list | None = None
-        parts = 0
+        again = 0
 
         def row(c):
-            return {"conv": c[0], "msg": c[1], "part": c[2], "role": c[3], "text": "".join(c[4])}
+            return {"conv": c[0], "msg": c[1], "part": c[2], "again": c[3], "role": c[4], "text": "".join(c[5])}
 
-        def step(conv, msg, seq, kind, role, text):
-            nonlocal current, parts
+        def step(conv, msg, part, seq, kind, role, text):
+            nonlocal current, again
             done = []
-            for c, m, k, r, t in zip(conv or (), msg or (), kind or (), role or (), text or (), strict=True):
-                same = current is not None and (current[0], current[1]) == (c, m)
+            for c, m, p, k, r, t in zip(conv or (), msg or (), part or (), kind or (), role or (), text or (), strict=True):
+                same = current is not None and current[:3] == [c, m, p]
                 if not same or k == "message":
                     if current:
                         done.append(row(current))
-                    parts = parts + 1 if same else 0
-                    current = [c, m, parts, r or "", [t or ""]]
+                    again = again + 1 if same else 0
+                    current = [c, m, p, again, r or "", [t or ""]]
                 elif k == "delta":
-                    current[4].append(t or "")
+                    current[5].append(t or "")
                 elif k in ("edit", "regenerate"):
-                    current[4] = [t or ""]
+                    current[5] = [t or ""]
                 else:
                     raise ValueError(f"unknown kind of event: {k!r}")
             if conv is None and current:
                 done.append(row(current))
             if done:
-                yield {n: [d[n] for d in done] for n in ("conv", "msg", "part", "role", "text")}
+                yield {n: [d[n] for d in done] for n in ("conv", "msg", "part", "again", "role", "text")}
 
         return step
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    log = events if "part" in kinds else events.withColumn("part", F.lit(0).cast("long"))
     rank = F.when(F.col("kind") == "message", 0).otherwise(1)
-    dealt = events.repartition("conv", "msg").sortWithinPartitions("conv", "msg", "seq", rank, "kind", "role", "text")
-    return arrow_map(dealt, ["conv", "msg", "seq", "kind", "role", "text"], f"conv {kinds['conv']}, msg {kinds['msg']}, part long, role string, text string", start)
+    dealt = log.repartition("conv", "msg", "part").sortWithinPartitions("conv", "msg", "part", "seq", rank, "kind", "role", "text")
+    return arrow_map(dealt, ["conv", "msg", "part", "seq", "kind", "role", "text"], f"conv {kinds['conv']}, msg {kinds['msg']}, part long, again long, role string, text string", start)
 
 
 def by_conversation(messages: DataFrame) -> DataFrame:
-    return messages.repartition("conv").sortWithinPartitions("conv", "msg", "part")
+    """Messages of one number are in order of role and text."""
+    return messages.repartition("conv").sortWithinPartitions("conv", "msg", "role", "text", "part", "again")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -115,7 +119,7 @@ def render(messages: DataFrame) -> DataFrame:
     def start():
         now, out = [], []
 
-        def step(conv, msg, part, role, text):
+        def step(conv, msg, role, text):
             nonlocal now, out
             done = []
             for c, r, t in zip(conv or (), role or (), text or (), strict=True):
@@ -131,24 +135,31 @@ def render(messages: DataFrame) -> DataFrame:
 
         return step
 
-    return arrow_map(by_conversation(messages), ["conv", "msg", "part", "role", "text"], f"conv {messages.schema['conv'].dataType.simpleString()}, formatted string", start)
+    return arrow_map(by_conversation(messages), ["conv", "msg", "role", "text"], f"conv {messages.schema['conv'].dataType.simpleString()}, formatted string", start)
 
 
 class Digest:
+    """Reads a conversation's rendered stream as it grows; what isn't a whole turn yet waits in rest."""
+
     def __init__(self, conv):
-        self.conv, self.n, self.chars, self.loss_chars = conv, 0, 0, 0
+        self.conv, self.n, self.chars, self.loss_chars, self.rest = conv, 0, 0, 0, ""
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def add(self, formatted: str) -> None:
         self.chars += len(formatted)
-        for role, text, loss in read_turns(formatted):
+        self.rest += formatted
+        at = 0
+        for role, text, loss, at in read_turns(self.rest):  # noqa: B007
             self.n += 1
-            self.turns.update(f"{role}\n{text}\n".encode())
+            self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if loss:
                 self.loss_chars += len(text)
-                self.loss.update(text.encode())
+                self.loss.update(text.encode("utf-8", "surrogatepass"))
+        self.rest = self.rest[at:]
 
     def row(self) -> dict:
+        if self.rest:
+            raise ValueError(f"a turn of conversation {self.conv} doesn't end")
         return {"conv_id": self.conv, "n_turns": self.n, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars}
 
 
@@ -158,7 +169,7 @@ def render_digests(messages: DataFrame) -> DataFrame:
     def start():
         now: Digest | None = None
 
-        def step(conv, msg, part, role, text):
+        def step(conv, msg, role, text):
             nonlocal now
             done = []
             for c, r, t in zip(conv or (), role or (), text or (), strict=True):
@@ -175,9 +186,30 @@ def render_digests(messages: DataFrame) -> DataFrame:
         return step
 
     kind = messages.schema["conv"].dataType.simpleString()
-    return arrow_map(by_conversation(messages), ["conv", "msg", "part", "role", "text"], f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", start)
+    return arrow_map(by_conversation(messages), ["conv", "msg", "role", "text"], f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", start)
+
+
+DELTAS = 3
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns as a log of message events."""
-    return conversations.select(F.col("conv_id").alias("conv"), F.col("turn").alias("msg"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A table of whole turns as the log of a chat that streamed them.
+
+    By a hash, a turn is begun empty and comes in deltas; or is begun by a draft that a
+    regeneration drops before the deltas; or streams a draft that an edit replaces; or comes whole.
+    Rows equal in conversation, turn, role and text are counted first and get a part of their own each.
+    """
+    turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").alias("msg"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    each = turns.groupBy("conv", "msg", "role", "text").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    each = each.withColumn("part", F.xxhash64("role", "text", "copy"))
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    step = F.ceil(F.length("text") / DELTAS).cast("int")
+    deltas = [event("delta", F.substring(F.col("text"), F.lit(i) * step + 1, step)) for i in range(DELTAS)]
+    draft, none = F.reverse("text"), F.lit("")
+    way = F.pmod("part", F.lit(4))
+    log = F.when(way == 0, F.array(event("message", none), *deltas)).when(way == 1, F.array(event("message", draft), event("regenerate", none), *deltas))
+    log = log.when(way == 2, F.array(event("message", none), event("delta", draft), event("edit", F.col("text")))).otherwise(F.array(event("message", F.col("text"))))
+    return each.select("conv", "msg", "part", "role", F.posexplode(log).alias("seq", "e")).select("conv", "msg", "part", F.col("seq").cast("long").alias("seq"), "e.kind", "role", "e.text")

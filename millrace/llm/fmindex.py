@@ -8,12 +8,14 @@ transform in a wavelet matrix, and suffix positions sampled at every ``rate``-th
 stretch starts. All phrases are searched backward together, symbol by symbol, through wavelet
 ranks; occurrences are located by walking to a sampled position; their spans are merged.
 
-Nothing is shuffled. The phrases of one block (``block_chars`` characters of items at most) are
-broadcast; a larger test set is searched block by block and merged by document id.
+Nothing is shuffled. The phrases are broadcast in blocks of ``block_chars`` characters of items at
+most; a task searches each of its shards for one block after another and merges spans by the
+row's place, so that ids play no part and results are the same for any number of blocks. A shard
+doesn't cross an Arrow batch.
 
 Null text has no words and is clean; items without words are never found; repeated items each
-count; null and repeated ids are kept while the items fit one block (for more, ids identify
-documents). Other columns are never read.
+count; null and repeated ids, and repeated rows, are each judged by their own text; an empty table
+of either kind gives clean rows or none. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, plain
 
 WINDOW = 13
 #: Bytes that words hold (digits, letters, all but ASCII) to themselves, A-Z lower-cased, the rest to a space.
@@ -138,23 +140,30 @@ class FMIndex:
 
 
 class Phrases:
-    """Distinct windows of the items as symbol rows, and the items that each stands for."""
+    """Distinct windows of the items as symbol rows, and the items that each stands for; arrays, so that a block is small in a worker."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.symbol: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        owners: dict[tuple[int, ...], list[int]] = {}
         self.ids = [i for i, _ in items]
         for k, (_, text) in enumerate(items):
             code = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)]
             for i in range(max(1, len(code) - window + 1) if code else 0):
-                owners.setdefault(tuple(code[i : i + window]), set()).add(k)
-        self.owners = [sorted(o) for o in owners.values()]
+                held = owners.setdefault(tuple(code[i : i + window]), [])
+                if not held or held[-1] != k:
+                    held.append(k)
         self.lengths = np.array([len(p) for p in owners], dtype=np.int64)
-        self.codes = np.full((len(owners), window), -1, dtype=np.int64)
+        self.first = np.r_[0, np.cumsum([len(o) for o in owners.values()], dtype=np.int64)]
+        self.owner = np.array([k for o in owners.values() for k in o], dtype=np.int64)
+        self.codes = np.full((len(owners), window), -1, dtype=np.int32)
         for r, p in enumerate(owners):
             self.codes[r, window - len(p) :] = p
         self.shortest = int(self.lengths.min()) if owners else 0
 
+    def items(self, which: np.ndarray) -> list[int]:
+        """Numbers of the items that have any of these windows."""
+        return sorted({k for p in np.unique(which).tolist() for k in self.owner[self.first[p] : self.first[p + 1]].tolist()})
+
 
 def stretches(code: np.ndarray, doc: np.ndarray, shortest: int) -> np.ndarray:
     """Places of the words in runs of test words, within a document, of at least the shortest phrase."""
@@ -200,11 +209,12 @@ def search_texts(texts: list[str | None], phrases: Phrases, shard_words: int, ra
     """(number of words, merged word spans, item numbers) of each text."""
     i = 0
     while i < len(texts):
-        sizes, codes, j = [], [], i
+        sizes, codes, total, j = [], [], 0, i
         get = phrases.symbol.get
-        while j < len(texts) and (j == i or sum(sizes) < shard_words):
+        while j < len(texts) and (j == i or total < shard_words):
             w = words_of(texts[j])
             sizes.append(len(w))
+            total += len(w)
             codes.append(np.fromiter(map(get, w, [0] * len(w)), dtype=np.int64, count=len(w)))
             j += 1
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -220,86 +230,82 @@ def search_texts(texts: list[str | None], phrases: Phrases, shard_words: int, ra
                 yield n, [], []
                 continue
             begin = at[a:b] - first[d]
-            found = {k for p in np.unique(which[a:b]).tolist() for k in phrases.owners[p]}
-            yield n, merged(begin, begin + phrases.lengths[which[a:b]]), sorted(found)
+            yield n, merged(begin, begin + phrases.lengths[which[a:b]]), phrases.items(which[a:b])
         i = j
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of a bounded size, each read on its own."""
-    total = items.agg(F.sum(F.length(text_col))).first()[0] or 0
+    """The items in blocks of a bounded size, each read on its own; one block at least."""
+    total = items.agg(F.sum(F.length(plain(text_col)))).first()[0] or 0
     n = -(-max(total, 1) // block_chars)
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    if n == 1:
-        yield [(r.i, r.t) for r in rows.collect()]
-    else:
-        for k in range(n):
-            yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+    rows = items.select(plain(id_col).cast("string").alias("i"), plain(text_col).alias("t"))
+    for k in range(n):
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
+        yield [(r.i, r.t) for r in part.collect()]
+
+
+class Search:
+    """Searches texts for the items of all blocks; holds one block at a time where there are several."""
+
+    def __init__(self, shared: list, shard_words: int, rate: int):
+        self.shared, self.shard_words, self.rate = shared, shard_words, rate
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        """(words, merged spans, item ids) of each text, by its place."""
+        out = None
+        for block in self.shared:
+            phrases = block.value
+            found = [(n, spans, [phrases.ids[k] for k in items]) for n, spans, items in search_texts(texts, phrases, self.shard_words, self.rate)]
+            out = found if out is None else [(n, joined(a, b), sorted([*x, *y], key=str)) for (n, a, x), (_, b, y) in zip(out, found, strict=True)]
+            if len(self.shared) > 1:
+                block.__dict__.pop("_value", None)  # the worker reads it again from its broadcast file
+        return out
+
+
+def joined(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return merged(np.array([x for x, _ in a + b]), np.array([y for _, y in a + b])) if a and b else a or b
+
+
+def searcher(docs: DataFrame, items: DataFrame, item_col: str, item_text_col: str, window: int, shard_words: int, rate: int, block_chars: int) -> Search:
+    sc = docs.sparkSession.sparkContext
+    return Search([sc.broadcast(Phrases(b, window)) for b in blocks(items, item_col, item_text_col, block_chars)], shard_words, rate)
 
 
 HITS = "id {id}, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
 
 
-def find_block(docs: DataFrame, items: list[tuple[str, str | None]], id_col: str, text_col: str, window: int, shard_words: int, rate: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = 1_000_000, rate: int = 8, block_chars: int = 2_000_000) -> DataFrame:
+    """id, n_words, merged word spans (end exclusive) and item ids found, per row."""
+    search = searcher(docs, items, item_col, item_text_col, window, shard_words, rate, block_chars)
 
     def start():
-        phrases = shared.value
-
         def step(ids, texts):
             if ids is None:
                 return
-            found = list(search_texts(texts, phrases, shard_words, rate))
-            yield {"id": ids, "n_words": [n for n, _, _ in found], "spans": [[{"a": a, "b": b} for a, b in s] for _, s, _ in found], "items": [[phrases.ids[k] for k in x] for _, _, x in found]}
+            found = search(texts)
+            yield {"id": ids, "n_words": [n for n, _, _ in found], "spans": [[{"a": a, "b": b} for a, b in s] for _, s, _ in found], "items": [x for _, _, x in found]}
 
         return step
 
     return arrow_map(docs, [id_col, text_col], HITS.format(id=docs.schema[id_col].dataType.simpleString()), start).withColumnRenamed("id", id_col)
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = 1_000_000, rate: int = 8, block_chars: int = 16_000_000) -> DataFrame:
-    """id, n_words, merged word spans (end exclusive) and item ids found, per document."""
-    parts = [find_block(docs, b, id_col, text_col, window, shard_words, rate) for b in blocks(items, item_col, item_text_col, block_chars)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-
-    def start():
-        def step(ids, n, spans, items):
-            if ids is not None:
-                spans = [merged(np.array([x["a"] for y in s for x in y]), np.array([x["b"] for y in s for x in y])) if any(s) else [] for s in spans]
-                yield {"id": ids, "n_words": n, "spans": [[{"a": a, "b": b} for a, b in s] for s in spans], "items": [sorted(x for y in i for x in y) for i in items]}
-
-        return step
-
-    grouped = every.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return arrow_map(grouped, [id_col, "n_words", "spans", "items"], HITS.format(id=docs.schema[id_col].dataType.simpleString()), start).withColumnRenamed("id", id_col)
-
-
 def with_verdict(found: DataFrame) -> DataFrame:
     """found with n_hit and contaminated: some words hit, and at least a twentieth of all."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s.b - s.a)
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = 1_000_000, rate: int = 8, block_chars: int = 16_000_000) -> DataFrame:
-    """The rows of docs that are not contaminated, with their columns."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = 1_000_000, rate: int = 8, block_chars: int = 2_000_000) -> DataFrame:
+    """The rows of docs that are not contaminated, with their columns; each row is judged by its own text."""
     names = docs.columns
-    parts = list(blocks(items, item_col, item_text_col, block_chars))
-    if len(parts) > 1:
-        bad = with_verdict(find_items(docs, items, id_col, text_col, item_col, item_text_col, window, shard_words, rate, block_chars)).where("contaminated")
-        return docs.join(bad.select(id_col), id_col, "left_anti").select(*names)
-    shared = docs.sparkSession.sparkContext.broadcast(Phrases(parts[0], window))
+    search = searcher(docs, items, item_col, item_text_col, window, shard_words, rate, block_chars)
 
     def start():
-        phrases = shared.value
-
         def step(*columns):
             if columns[0] is None:
                 return
-            hits = ((n, sum(b - a for a, b in spans)) for n, spans, _ in search_texts(columns[names.index(text_col)], phrases, shard_words, rate))
+            hits = ((n, sum(b - a for a, b in spans)) for n, spans, _ in search(columns[names.index(text_col)]))
             clean = [not (hit and 20 * hit >= n) for n, hit in hits]
             yield {c: [x for x, ok in zip(v, clean, strict=True) if ok] for c, v in zip(names, columns, strict=True)}
 

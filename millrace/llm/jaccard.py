@@ -54,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of a text; remembers words' hashes."""
 
-    def __init__(self, size: int = 5, keep: int = 200_000):
+    def __init__(self, size: int = 5, keep: int = 100_000):
         self.size, self.keep = size, keep
 
         class Known(dict):
@@ -264,7 +264,7 @@ def mark_of(text_col: str) -> Column:
     return F.xxhash64(plain(text_col))
 
 
-def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int, k: int, packed: np.ndarray, bits: int, buckets: int, chunk: int = 1_000_000, hot: int = 16) -> DataFrame:
+def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int, k: int, packed: np.ndarray, bits: int, buckets: int, chunk: int = 500_000, hot: int = 16) -> DataFrame:
     """Packed rows. kind 0: documents' ids, marks, classes and sizes; 1: keys by bucket; 2: keys already known to have several classes."""
     shared = df.sparkSession.sparkContext.broadcast(packed)
 
@@ -792,9 +792,9 @@ def groups_of(hot: DataFrame) -> DataFrame:
 
 
 def named_documents(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int, k: int, frequent: int, rounds: int, bucket_chars: int) -> DataFrame:
-    """(id, mark, n, cls, component) of every row; cls is 0 and component the id where there are no words."""
-    if k not in (2, 3) or threshold < 80:
-        raise ValueError("combinations of 2 or 3 shingles, for thresholds of 80 or more")
+    """(id, mark, n, cls, g, component) of every row; g: the least class linked to its own. Without words cls and g are 0, and component is the id."""
+    if k not in (2, 3) or threshold < 80 or rounds < 1:
+        raise ValueError("combinations of 2 or 3 shingles, for thresholds of 80 or more, and one round at least")
     chars = input_chars(df, text_col)
     buckets, bits, frequent = max(8, min(1 << 15, chars // bucket_chars)), map_bits(chars), least_frequent(frequent, chars)
     heavy = heavy_bits(shingle_counts(df, text_col, size, buckets, frequent), frequent, buckets, bits)
@@ -835,18 +835,19 @@ def named_documents(df: DataFrame, id_col: str, text_col: str, threshold: int, s
 
 
 def with_names(docs: DataFrame, comps: DataFrame) -> DataFrame:
-    """docs (id, mark, cls, n) with component: the least id of the classes linked to theirs."""
+    """docs (id, mark, cls, n) with g, the least class linked to theirs, and component, the least id of those classes."""
     classes = docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = classes.join(comps, "cls", "left")
     least = classes.where("comp is not null").groupBy("comp").agg(F.min("least").alias("joint"))
-    named = cut(classes.join(least, "comp", "left").select("cls", "copies", F.coalesce("joint", "least").alias("component")))
+    named = cut(classes.join(least, "comp", "left").select("cls", "copies", F.coalesce("comp", "cls").alias("g"), F.coalesce("joint", "least").alias("component")))
     total = named.agg(F.sum("copies")).first()[0] or 0
     often = F.col("copies") * 100 > total  # a hundred classes at most
-    out = docs.where("n > 0").join(F.broadcast(named.where(often).select("cls", F.col("component").alias("common"), F.lit(True).alias("hot"))), "cls", "left")
-    common = out.where("hot").select("id", "mark", "n", "cls", F.col("common").alias("component"))
-    rest = out.where("hot is null").select("id", "mark", "n", "cls").join(named.where(~often).select("cls", "component"), "cls").select("id", "mark", "n", "cls", "component")
-    alone = docs.where("n = 0").select("id", "mark", "n", "cls", F.col("id").alias("component"))
-    return common.unionByName(rest).unionByName(alone)
+    words = docs.where("n > 0")
+    common = words.join(F.broadcast(named.where(often).drop("copies")), "cls")
+    rest = words.join(F.broadcast(named.where(often).select("cls")), "cls", "left_anti").join(named.where(~often).drop("copies"), "cls")
+    alone = docs.where("n = 0").withColumn("g", F.col("cls")).withColumn("component", F.col("id"))
+    cols = ["id", "mark", "n", "cls", "g", "component"]
+    return common.select(*cols).unionByName(rest.select(*cols)).unionByName(alone.select(*cols))
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, size: int = 5, k: int = 2, frequent: int = 16, rounds: int = 1, bucket_chars: int = 8_000_000) -> DataFrame:
@@ -862,11 +863,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     nothing; of rows equal in both one stays. Rows without words all stay.
     """
     named = named_documents(df, id_col, text_col, threshold, size, k, frequent, rounds, bucket_chars).where("n > 0")
-    rows = cut(named.groupBy("id", "mark").agg(F.min("component").alias("component"), F.min("cls").alias("cls"), F.count("*").alias("copies")))
-    # a component without any id is a class alone
-    group = F.struct("component", F.when(F.col("component").isNull(), F.col("cls")).alias("cls"))
+    rows = cut(named.groupBy("id", "mark").agg(F.min("g").alias("g"), F.count("*").alias("copies")))
     order = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("mark").alias("mark"))
-    stays = rows.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"), F.lit(True).alias("stays"))
+    stays = rows.groupBy("g").agg(F.min(order).alias("first")).select(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"), F.lit(True).alias("stays"))
     both = (F.col("a.mark") == F.col("b.mark")) & F.col("a.id").eqNullSafe(F.col("b.id"))
     judged = cut(rows.alias("a").join(stays.alias("b"), both, "left").where("stays is null or copies > 1").select("a.id", "a.mark", "copies", F.coalesce("stays", F.lit(False)).alias("stays")))
     key = (mark_of(text_col) == F.col("b.mark")) & F.col(id_col).eqNullSafe(F.col("b.id"))
@@ -874,5 +873,5 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     again = judged.where("stays")
     if not again.isEmpty():  # repeated rows of a kept document
         some = df.withColumn("__millrace_mark", mark_of(text_col)).join(again.alias("b"), key, "left_semi")
-        out = out.unionByName(some.dropDuplicates([id_col, "__millrace_mark"]).select(*df.columns))
+        out = out.unionByName(some.dropDuplicates([id_col, "__millrace_mark"]).drop("__millrace_mark"))
     return out

@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, plain
 
 END = b""  # no word is empty, so this is the end token
-LONG_WORD = 48
+LONG_WORD = 48  # longer words are worked out alone; the results are the same
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -148,10 +148,10 @@ class Lattice:
         total = fwd[size]
         for j in range(size, 0, -1):
             through = fwd[j - 1] + raw[j - 1] + bwd[j] - total
-            share = counts * np.exp(through)
-            for r in np.flatnonzero(share > 1e-6).tolist():
-                for b in chr(code[r, j - 1]).encode("utf-8", "surrogatepass"):
-                    expected[self.p.byte[b]] += share[r]
+            points, back = np.unique(code[:, j - 1], return_inverse=True)
+            for c, x in zip(points.tolist(), np.bincount(back, weights=counts * np.exp(through)).tolist(), strict=True):
+                for b in chr(c).encode("utf-8", "surrogatepass"):
+                    expected[self.p.byte[b]] += x
             bwd[j - 1] = np.logaddexp(bwd[j - 1], raw[j - 1] + bwd[j])
             while at >= 0 and arcs[at][1] == j:
                 i, _, hit, ids = arcs[at]
@@ -160,19 +160,43 @@ class Lattice:
                 bwd[i, hit] = np.logaddexp(bwd[i, hit], w)
                 at -= 1
 
-    def one(self, word: str) -> float:
-        """A long word alone; its pieces' expected counts are left out, as long runs are rarely words."""
-        get, lp, longest = self.p.text.get, self.lp, self.p.longest
-        fwd = [0.0]
-        for j in range(1, len(word) + 1):
-            best = [fwd[j - 1] + sum(lp[self.p.byte[b]] for b in word[j - 1].encode("utf-8", "surrogatepass"))]
+    def one(self, word: str, count: float = 0.0, expected: np.ndarray | None = None) -> float:
+        """A long word alone, of any length: it keeps a number a character, and finds the arcs anew on the way back."""
+        get, lp, longest, size = self.p.text.get, self.lp, self.p.longest, len(word)
+        bytes_of: dict[str, list[int]] = {}
+
+        def raw(c: str) -> list[int]:
+            if c not in bytes_of:
+                bytes_of[c] = [int(self.p.byte[b]) for b in c.encode("utf-8", "surrogatepass")]
+            return bytes_of[c]
+
+        def total(best: list[float]) -> float:
+            top = max(best)
+            return top + math.log(sum(math.exp(x - top) for x in best))
+
+        fwd = np.zeros(size + 1)
+        for j in range(1, size + 1):
+            best = [fwd[j - 1] + sum(lp[b] for b in raw(word[j - 1]))]
             for i in range(max(0, j - longest), j):
                 k = get(word[i:j])
                 if k is not None:
                     best.append(fwd[i] + lp[k])
-            top = max(best)
-            fwd.append(top + math.log(sum(math.exp(x - top) for x in best)))
-        return fwd[-1]
+            fwd[j] = total(best)
+        if expected is not None and count:
+            bwd = np.zeros(size + 1)
+            for i in range(size - 1, -1, -1):
+                own = raw(word[i])
+                weight = sum(lp[b] for b in own) + bwd[i + 1]
+                best = [weight]
+                for b in own:
+                    expected[b] += count * math.exp(fwd[i] + weight - fwd[size])
+                for j in range(i + 1, min(size, i + longest) + 1):
+                    k = get(word[i:j])
+                    if k is not None:
+                        best.append(lp[k] + bwd[j])
+                        expected[k] += count * math.exp(fwd[i] + best[-1] - fwd[size])
+                bwd[i] = total(best)
+        return float(fwd[size])
 
     def score(self, words: list[bytes], counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of each word; adds to expected the counts of pieces, if given."""
@@ -189,7 +213,7 @@ class Lattice:
                 if expected is not None:
                     expected[self.p.end] += counts[at].sum()
             elif size > LONG_WORD:
-                out[at] = [self.one(texts[k]) for k in at]
+                out[at] = [self.one(texts[k], 0.0 if counts is None else float(counts[k]), expected) for k in at]
             else:
                 for s in range(0, len(at), 20_000):
                     part = at[s : s + 20_000]
@@ -226,6 +250,7 @@ def unpack_ints(b: bytes, kind) -> np.ndarray:
 
 CHUNK = "chunk long, bucket int, ids array<{id}>, held array<boolean>, sizes binary, codes binary, words binary, counts binary"
 DEAL = 512
+REFS = 8_000_000
 
 
 def to_chunks(df: DataFrame, id_col: str, text_col: str, held: Column, chunk_words: int, buckets: int) -> DataFrame:
@@ -288,22 +313,21 @@ def to_chunks(df: DataFrame, id_col: str, text_col: str, held: Column, chunk_wor
         return step
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), held.alias("h"))
+    rows = df.select(plain(id_col).alias("i"), plain(text_col).alias("t"), held.alias("h"))
     return arrow_map(rows, ["i", "t", "h"], CHUNK.format(id=kind), start)
 
 
 def total_up(dictionaries: DataFrame, partitions: int) -> DataFrame:
-    """(bucket, words, totals, refs): one row a bucket; refs: (chunk, places of its words) of each chunk."""
+    """(bucket, words, totals, refs); refs: (chunk, places of its words) of each chunk. A row of words a bucket, and rows of refs alone, as many as its chunks need."""
 
     def start():
-        now, known, totals, refs = None, {}, [], []
+        now, known, totals, refs, held = None, {}, [], [], 0
 
         def row():
-            out = {"bucket": [now], "words": [squeeze(list(known))], "totals": [pack_ints(np.array(totals, dtype=np.int64))], "refs": [[{"chunk": c, "at": a} for c, a in refs]]}
-            return out
+            return {"bucket": [now], "words": [squeeze(list(known))], "totals": [pack_ints(np.array(totals, dtype=np.int64))], "refs": [refs]}
 
         def step(bucket, chunk, words, counts):
-            nonlocal now, known, totals, refs
+            nonlocal now, known, totals, refs, held
             if bucket is None:
                 if known:
                     yield row()
@@ -312,7 +336,7 @@ def total_up(dictionaries: DataFrame, partitions: int) -> DataFrame:
                 if now != b:
                     if known:
                         yield row()
-                    now, known, totals, refs = b, {}, [], []
+                    now, known, totals, refs, held = b, {}, [], [], 0
                 at = []
                 for x, n in zip(spread(w), unpack_ints(k, np.int64).tolist(), strict=True):
                     i = known.get(x)
@@ -321,7 +345,11 @@ def total_up(dictionaries: DataFrame, partitions: int) -> DataFrame:
                         totals.append(0)
                     totals[i] += n
                     at.append(i)
-                refs.append((c, pack_ints(np.array(at, dtype=np.int32))))
+                refs.append({"chunk": c, "at": pack_ints(np.array(at, dtype=np.int32))})
+                held += len(refs[-1]["at"]) + 64
+                if held >= REFS:
+                    yield {"bucket": [b], "words": [None], "totals": [None], "refs": [refs]}
+                    refs, held = [], 0
 
         return step
 
@@ -346,6 +374,8 @@ def expect(totals: DataFrame, path: str) -> DataFrame:
                 p = pieces(path)
                 lattice, expected = Lattice(p, p.log_weights(None)), np.zeros(p.n)
             for w, c in zip(words, counts, strict=True):
+                if w is None:
+                    continue
                 n = unpack_ints(c, np.int64)
                 used = np.flatnonzero(n)
                 w = spread(w)
@@ -361,24 +391,26 @@ def look_up(totals: DataFrame, path: str, expected: np.ndarray | None) -> DataFr
     shared = totals.sparkSession.sparkContext.broadcast(expected)  # a number a piece of the vocabulary
 
     def start():
-        lattice = None
+        lattice, n, lp = None, None, None
 
         def step(bucket, words, counts, refs):
-            nonlocal lattice
+            nonlocal lattice, n, lp
             if bucket is None:
                 return
             if lattice is None:
                 p = pieces(path)
                 lattice = Lattice(p, p.log_weights(shared.value))
             for b, w, c, r in zip(bucket, words, counts, refs, strict=True):
-                n, lp = unpack_ints(c, np.int64), lattice.score(spread(w))
+                if w is not None:  # the bucket's first row
+                    n, lp = unpack_ints(c, np.int64), lattice.score(spread(w))
                 for x in r:
                     at = unpack_ints(x["at"], np.int32)
                     yield {"chunk": [x["chunk"]], "bucket": [b], "c": [pack_ints(n[at])], "lp": [pack_ints(lp[at])]}
 
         return step
 
-    return arrow_map(totals, ["bucket", "words", "totals", "refs"], "chunk long, bucket int, c binary, lp binary", start)
+    ordered = totals.sortWithinPartitions("bucket", F.col("words").isNull())  # a bucket's rows stand in one partition
+    return arrow_map(ordered, ["bucket", "words", "totals", "refs"], "chunk long, bucket int, c binary, lp binary", start)
 
 
 def add_up(coded: DataFrame, found: DataFrame, id_kind: str, n_all: int, v_all: int, partitions: int) -> DataFrame:
@@ -419,7 +451,7 @@ def add_up(coded: DataFrame, found: DataFrame, id_kind: str, n_all: int, v_all:
 
 def score_texts(df: DataFrame, path: str, held: Column, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 1_500_000, bucket_words: int = 1_000_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text."""
-    chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
+    chars = df.agg(F.sum(F.length(plain(text_col)))).first()[0] or 0
     buckets = int(min(DEAL * 64, max(16, chars // (6 * bucket_words))))  # grows with the input: a bucket's words stay few
     chunks = cut(to_chunks(df, id_col, text_col, held, chunk_words, buckets))
     totals = cut(total_up(chunks.where("bucket >= 0").select("bucket", "chunk", "words", "counts"), buckets))
@@ -445,6 +477,8 @@ def sums(totals: DataFrame) -> tuple[int, int]:
                 yield {"n": [n], "v": [v]}
                 return
             for c in counts:
+                if c is None:
+                    continue
                 a = unpack_ints(c, np.int64)
                 n, v = n + int(a.sum()), v + int((a > 0).sum())
 

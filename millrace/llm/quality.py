@@ -7,7 +7,8 @@ tests from its end on a held-out third, and keeps it if its precision there is h
 ``verdict`` turns the ordered list into one CASE expression.
 
 A null or empty text has no words and fails the base rules; null ids are kept; repeated rows are
-judged alike; a table without labels gives an empty list, so the base rules decide alone.
+judged alike; of several labels of one id the largest counts, of several texts the one of least
+statistics; a table without labels gives an empty list, so the base rules decide alone.
 Statistics are put in one struct column of a reserved name, so other columns can have any names.
 """
 
@@ -181,11 +182,13 @@ def cover(rows: list[dict], bins: int = 24, max_tests: int = 4, max_rules: int =
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int) -> list[dict]:
     """Features of at most max_labelled labelled rows that pass the base rules, by least hash of the id."""
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
+    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    chosen = one.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
     picked = measures(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), text_col)
     stats = F.col(STATS)
-    got = picked.select((F.col(label_col) == 0).alias("bad"), *[v.alias(k) for k, v in features(stats).items()], F.xxhash64(id_col).alias("at"), base_failed(stats).alias("failed")).collect()
-    return [{k: v for k, v in r.asDict().items() if k not in ("at", "failed")} for r in sorted(got, key=lambda r: (r["at"], tuple(r))) if not r["failed"]]
+    rows = picked.select(F.xxhash64(id_col).alias("at"), (F.col(label_col) == 0).alias("bad"), F.struct(base_failed(stats).alias("failed"), *[v.alias(k) for k, v in features(stats).items()]).alias("f"))
+    got = rows.groupBy("at", "bad").agg(F.min("f").alias("f")).collect()  # a row an id, however often it is repeated
+    return [{"bad": r["bad"], **{k: v for k, v in r["f"].asDict().items() if k != "failed"}} for r in sorted(got, key=lambda r: (r["at"], r["bad"])) if not r["f"]["failed"]]
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 6000, **how) -> list[Rule]:
@@ -208,4 +211,4 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows that the list keeps, with the columns of docs."""
-    return judge(docs, rules, text_col).where("__millrace_kept").select(*docs.columns)
+    return judge(docs, rules, text_col).where("__millrace_kept").drop(STATS, "__millrace_kept")

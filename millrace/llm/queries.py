@@ -56,8 +56,7 @@ def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_host_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    titles = pages.select(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
-    return urls.filter_urls(pages, URL_RULES, urls.word_counts(titles, "title"))
+    return urls.filter_urls(pages, URL_RULES, urls.page_words(pages))
 
 
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ A document is a bag of sentences. A sentence's chance of being toxic is a logist
 summed word weights (whole word and its first four and five letters, hashed into a fixed table);
 a document's is the noisy-or of its sentences: 1 - prod(1 - p). The weights are trained from
 document labels alone, by gradient steps on the documents' likelihood, on a bounded sample:
-at most ``max_per_class`` labelled documents of each class, those whose hashed id is least.
+at most ``max_per_class`` labelled documents of each class, and of these at most ``max_chars``
+characters, those whose hashed id is least.
 Afterwards each sentence has a score of its own, which locates the offending ones.
 
-Null and empty texts have no sentence and score 0; null ids are kept; repeated rows score alike;
+Null and empty texts have no sentence and score 0; null ids are kept; repeated rows score alike; of
+several labels of one id the largest counts, of several texts the one of least hash;
 without labels of both classes every document scores 0. Other columns are never read.
 """
 
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, plain
 
 BITS = 20
 BREAK = re.compile(r"[.!?\n]+")
@@ -154,18 +156,29 @@ class Scorer:
         return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, max_per_class: int) -> tuple[list[str], list[int]]:
+def labelled(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, max_per_class: int, max_chars: int) -> tuple[list[str], list[int]]:
     """Texts and labels of the sample; usable: which rows of labels may be learned from."""
-    rows = labels.where(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, label_col).dropDuplicates([id_col])
+    rows = labels.where(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     parts = [rows.where(F.col(label_col) == k).orderBy(F.xxhash64(id_col), id_col).limit(max_per_class) for k in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * max_per_class ids at most
-    got = docs.select(id_col, text_col).join(chosen, id_col).select(F.coalesce(text_col, F.lit("")), label_col, F.xxhash64(id_col)).collect()
-    got = sorted(map(tuple, got), key=lambda r: (r[2], r[0]))
-    return [r[0] for r in got], [r[1] for r in got]
-
-
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = 4000) -> Model:
-    return train(*labelled(docs, labels, usable, id_col, text_col, label_col, max_per_class))
+    chosen = parts[0].unionByName(parts[1]).select(plain(id_col).alias("id"), plain(label_col).alias("label"))
+    texts = docs.select(plain(id_col).alias("id"), F.coalesce(plain(text_col), F.lit("")).alias("t")).withColumn("mark", F.xxhash64("t"))
+    sized = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct("mark", F.length("t").alias("n"))).alias("x")).select("id", "label", "x.mark", "x.n", F.xxhash64("id").alias("at"))
+    left, ids = {0: max_chars, 1: max_chars}, []
+    for r in sorted(sized.collect(), key=lambda r: (r["at"], r["id"])):  # 2 * max_per_class rows of numbers
+        if r["n"] <= left[r["label"]]:
+            left[r["label"]] -= r["n"]
+            ids.append((r["id"], r["label"], r["mark"], r["at"]))
+    if not ids:
+        return [], []
+    spark = docs.sparkSession
+    keys = spark.createDataFrame(ids, f"id {docs.schema[id_col].dataType.simpleString()}, label int, mark long, at long")
+    got = texts.join(F.broadcast(keys), ["id", "mark"]).groupBy("id", "label", "at").agg(F.min("t").alias("t")).collect()
+    got = sorted(got, key=lambda r: (r["at"], r["id"]))
+    return [r["t"] for r in got], [r["label"] for r in got]
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = 4000, max_chars: int = 16_000_000) -> Model:
+    return train(*labelled(docs, labels, usable, id_col, text_col, label_col, max_per_class, max_chars))
 
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -7,8 +7,9 @@ carry a block digest of their own; the response's payload digest stays in the en
 WARC-Source-Payload-Digest. Record ids are made from the response's id and the type, so a task that
 runs again makes the same records. Each record is handled on its own: no shuffle.
 
-``responses`` wraps fetched pages as response records, ``parse`` reads record bytes, and ``records``
-reads files of records, gzipped by record or not.
+``responses`` wraps fetched pages as response records, ``parse`` reads record bytes, and
+``read_records`` reads files of records, gzipped by record or not. Repeated headers keep all their
+values. Chunked, gzip, deflate and zstd bodies are decoded before they are read as text.
 
 Null pages have an empty payload and empty text; a null url gives no WARC-Target-URI; null ids are
 kept; repeated rows give equal records; a record that isn't a response yields no derivative; other
@@ -25,20 +26,23 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import quote, urljoin
 
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map
 
 Headers = list[tuple[str, str]]
 END = b"\r\n"
-UNSEEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!doctype[^>]*>")
-COMMENT = re.compile(r"(?s)<!--.*?-->")
-BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>")
-TAG = re.compile(r"<[^<>]*>")
-TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
-LINK = re.compile(r"""(?is)<(a|area|link|img|script|iframe|source)\b[^>]*?\s(href|src)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: HTML elements that begin a line, whose content isn't shown, and that link.
+BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
+RAW, UNSEEN = ("script", "style"), ("noscript", "template")
+LINKING = frozenset("a area link img script iframe source".split())
+NAME = re.compile(r"/?([A-Za-z][^\s/<>]*)")
+ADDRESS = re.compile(r"""(?is)\s(href|src)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+CLOSE = {n: re.compile(rf"(?i)</{n}(?=[\s/>])") for n in RAW}
 CHARSET = re.compile(r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)")
 
 
@@ -83,21 +87,54 @@ def parse(data: bytes) -> tuple[Headers, bytes]:
     first, headers = parse_headers(head)
     if not first.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {first[:20]!r}")
-    return headers, rest[: int(get(headers, "Content-Length"))]
+    n = get(headers, "Content-Length")
+    if n is None or not n.isdigit():
+        raise ValueError("a WARC record without its length")
+    return headers, rest[: int(n)]
+
+
+def members(data: bytes, size: int = 1 << 16) -> Iterator[bytes]:
+    """The members of a gzipped file, each read once."""
+    at = 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        z, out = zlib.decompressobj(31), []
+        while at < len(data) and not z.eof:
+            out.append(z.decompress(data[at : at + size]))
+            at = min(at + size, len(data)) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def records(data: bytes) -> Iterator[bytes]:
-    """The records of a file, gzipped one by one or plain."""
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data
-    while data.strip():
-        data = data.lstrip(b"\r\n")
-        head, _, rest = data.partition(END + END)
-        n = len(head) + 4 + int(get(parse_headers(head)[1], "Content-Length"))
-        yield data[:n]
-        data = data[n:]
+    """The records of a file, gzipped one by one or plain; what follows a header that can't be read is left."""
+    if data[:2] == b"\x1f\x8b":
+        yield from members(data)
+        return
+    at = 0
+    while True:
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        end = data.find(END + END, at)
+        if end < 0:
+            return
+        n = get(parse_headers(data[at:end])[1], "Content-Length")
+        if n is None or not n.isdigit():
+            return
+        yield data[at : end + 4 + int(n)]
+        at = end + 4 + int(n)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, at, record): the records of files, by their number in the file; a file is a task."""
+
+    def start():
+        def step(paths, data):
+            for p, d in zip(paths or (), data or (), strict=True):
+                for k, r in enumerate(records(d)):
+                    yield {"path": [p], "at": [k], "record": [r]}
+
+        return step
+
+    return arrow_map(spark.read.format("binaryFile").load(path), ["path", "content"], "path string, at long, record binary", start)
 
 
 def response(page_id, url: str | None, page: str | None, date: str) -> bytes:
@@ -108,25 +145,130 @@ def response(page_id, url: str | None, page: str | None, date: str) -> bytes:
     return write([("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", str(page_id), url or "", d)), ("WARC-Date", date), *target, ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", d), ("WARC-Block-Digest", digest(block))], block)
 
 
+@dataclass
+class Page:
+    text: str
+    title: str | None
+    links: list[tuple[str, str, str]]  # element, attribute, address as written
+
+
+def read_page(page: str) -> Page:
+    """Visible text, title and links in one pass over the markup, whose time is linear in the page.
+
+    A tag goes from ``<`` and a letter to the next ``>`` with no ``<`` between; other ``<`` are text.
+    A comment, script or style that doesn't end goes on to the end of the page.
+    """
+    out, found, title, title_at = [], [], None, None
+    at, close, hidden, n = 0, -1, None, len(page)
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            i = n
+        if hidden is None:
+            out.append(page[at:i])
+        if i == n:
+            break
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = n if end < 0 else end + 3
+            out.append(" ")
+            continue
+        if close <= i:
+            close = page.find(">", i)
+            if close < 0:
+                close = n
+        tag = NAME.match(page, i + 1)
+        other = page.startswith(("<!", "<?"), i)
+        if close == n or not (tag or other) or 0 <= page.find("<", i + 1, close):
+            if hidden is None:
+                out.append("<")
+            at = i + 1
+            continue
+        at = close + 1
+        if not tag:
+            out.append(" ")
+            continue
+        name, shut = tag[1].lower(), page[i + 1] == "/"
+        if hidden is not None:
+            hidden = None if shut and name == hidden else hidden
+        elif name in UNSEEN and not shut:
+            out.append(" ")
+            hidden = name
+        elif name in BLOCK:
+            out.append("\n")
+        if not shut and name in LINKING and (m := ADDRESS.search(page, tag.end(), close)):
+            found.append((name, m[1].lower(), html.unescape(m[2].strip("\"'").strip())))
+        if name == "title" and title is None:
+            if shut and title_at is not None:
+                title = " ".join(html.unescape(page[title_at:i]).split())
+            elif not shut:
+                title_at = at
+        if name in RAW and not shut:
+            end = CLOSE[name].search(page, at)
+            at = n if end is None else end.start()
+            out.append(" ")
+    lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
+    return Page("\n".join(x for x in lines if x), title, found)
+
+
 def plain_text(page: str) -> str:
     """Lines of visible text: scripts, styles and comments dropped, block elements broken, entities resolved."""
-    t = html.unescape(TAG.sub("", BLOCK.sub("\n", UNSEEN.sub(" ", page))))
-    return "\n".join(x for x in (" ".join(line.split()) for line in t.split("\n")) if x)
+    return read_page(page).text
 
 
-def links(page: str, base: str) -> list[dict]:
+def links(page: Page, base: str) -> list[dict]:
     """Links of the page outside comments, resolved against its address."""
     out = []
-    for m in LINK.finditer(COMMENT.sub(" ", page)):
-        raw = html.unescape(m[3].strip("\"'").strip())
+    for element, attribute, raw in page.links:
         try:
             url = urljoin(base, raw)
         except ValueError:  # not an address; kept as it stands
             url = raw
-        out.append({"path": f"{m[1].upper()}@/{m[2].lower()}", "url": url})
+        out.append({"path": f"{element.upper()}@/{attribute}", "url": url})
     return out
 
 
+def gathered(headers: Headers) -> dict[str, str | list[str]]:
+    """Headers by name; one that is repeated has all its values, in order."""
+    out: dict[str, str | list[str]] = {}
+    for k, v in headers:
+        out[k] = v if k not in out else [*(out[k] if isinstance(out[k], list) else [out[k]]), v]
+    return out
+
+
+def unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.find(END, at)
+        if end < 0:
+            raise ValueError("no chunk size")
+        n = int(body[at:end].split(b";")[0], 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def entity(payload: bytes, headers: Headers) -> bytes:
+    """The payload without its transfer and content codings; one that isn't coded as its headers say, or by a coding unknown here, is taken as it stands."""
+    if "chunked" in (get(headers, "Transfer-Encoding") or "").lower():
+        try:
+            payload = unchunked(payload)
+        except ValueError:
+            pass
+    for coding in reversed([c.strip().lower() for c in (get(headers, "Content-Encoding") or "").split(",")]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                payload = zlib.decompressobj(31).decompress(payload)
+            elif coding == "deflate":
+                payload = zlib.decompressobj(15 if payload[:1] == b"\x78" else -15).decompress(payload)
+            elif coding == "zstd":
+                payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+        except (zlib.error, zstandard.ZstdError):
+            pass
+    return payload
+
+
 def derive(data: bytes) -> list[tuple[str, Headers, bytes]]:
     """(type, headers, block) of the metadata and conversion records of a response; none for other records."""
     headers, block = parse(data)
@@ -135,26 +277,27 @@ def derive(data: bytes) -> list[tuple[str, Headers, bytes]]:
     http, _, payload = block.partition(END + END)
     status, http_headers = parse_headers(http)
     charset = CHARSET.search(get(http_headers, "Content-Type") or "")
+    body = entity(payload, http_headers)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        markup = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        markup = body.decode("utf-8", "replace")
+    page = read_page(markup)
     source, target, date = get(headers, "WARC-Record-ID") or "", get(headers, "WARC-Target-URI"), get(headers, "WARC-Date") or ""
     declared, computed = get(headers, "WARC-Payload-Digest"), digest(payload)
-    title = TITLE.search(page)
     envelope = {
         "Envelope": {
-            "WARC-Header-Metadata": dict(headers), "Payload-Metadata": {
+            "WARC-Header-Metadata": gathered(headers), "Payload-Metadata": {
                 "Actual-Content-Length": len(block), "HTTP-Response-Metadata": {
-                    "Response-Message": status, "Headers": dict(http_headers), "Entity-Length": len(payload), "Entity-Digest": computed,
-                    "HTML-Metadata": {"Head": {"Title": " ".join(html.unescape(title[1]).split()) if title else None}, "Links": links(page, target or "")},
+                    "Response-Message": status, "Headers": gathered(http_headers), "Entity-Length": len(payload), "Entity-Digest": computed,
+                    "HTML-Metadata": {"Head": {"Title": page.title}, "Links": links(page, target or "")},
                 },
             },
             "Declared-Digest-Matches": declared is None or declared == computed,
         }
     }
     out = []
-    for kind, mime, body in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False).encode("utf-8", "surrogatepass")), ("conversion", "text/plain", plain_text(page).encode("utf-8", "surrogatepass"))):
+    for kind, mime, body in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False).encode("utf-8", "surrogatepass")), ("conversion", "text/plain", page.text.encode("utf-8", "surrogatepass"))):
         named: Headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)), ("WARC-Refers-To", source), ("WARC-Date", date)]
         named += [("WARC-Target-URI", target)] if target is not None else []
         out.append((kind, [*named, ("Content-Type", mime), ("WARC-Source-Payload-Digest", declared or computed), ("WARC-Block-Digest", digest(body))], body))

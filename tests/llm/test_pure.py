@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import zlib
 from zlib import crc32
 
 import numpy as np
@@ -229,7 +230,7 @@ def test_chat_round_trip(role):
     for _ in range(200):
         turns = [(rng.choice([role, "user", "assistant"]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))) for _ in range(rng.randint(0, 5))]
         out = "".join(chat.render_turn(r, t) for r, t in turns)
-        assert [(r, t) for r, t, _ in chat.read_turns(out)] == turns
+        assert [(r, t) for r, t, _, _ in chat.read_turns(out)] == turns
         for _, t in turns:
             assert not any(c in chat.escape(t) for c in chat.CONTROL)
 
@@ -261,3 +262,90 @@ def test_warc_records_are_linked_and_round_trip():
     empty = warc.derive(warc.response(None, None, None, "d"))
     assert [len(b) > 0 for _, _, b in empty] == [True, False] and warc.get(empty[0][1], "WARC-Target-URI") is None
     assert warc.uri("http://x/a b\r\nX: y") == "http://x/a%20b%0D%0AX:%20y"
+
+
+def test_warc_repeats_codings_and_files():
+    html = "<p>caf\xe9</p>"
+    for coding, body in (("gzip", gzip.compress(html.encode())), ("deflate", zlib.compress(html.encode())), ("br", html.encode()), ("gzip", html.encode())):
+        for chunked in (False, True):
+            sent = b"".join(b"%x\r\n%s\r\n" % (len(body[i : i + 5]), body[i : i + 5]) for i in range(0, len(body), 5)) + b"0\r\n\r\n" if chunked else body
+            http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nContent-Encoding: {coding}\r\n" + "Transfer-Encoding: chunked\r\n" * chunked
+            record = warc.write([("WARC-Type", "response"), ("WARC-Record-ID", "<x>"), ("WARC-Concurrent-To", "<y>"), ("WARC-Concurrent-To", "<z>")], http.encode() + b"\r\n" + sent)
+            (_, _, meta), (_, _, text) = warc.derive(record)
+            assert text.decode() == "caf\xe9"
+            inner = json.loads(meta)["Envelope"]
+            assert inner["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<y>", "<z>"]
+            assert inner["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]["Set-Cookie"] == ["a=1", "b=2"]
+    source = warc.response(1, "u", "x" * 100, "d")
+    assert len(list(warc.records(source + b"WARC/1.1\r\nWARC-Type: x\r\n\r\n" + source))) == 1  # a header without a length ends the file
+
+
+@pytest.mark.parametrize("bit", ["<!--", "<script>", "<a ", "<a href='", "<", "<!", "</p", "<a\n" * 3, "<template>", "<title>", '<a "', "&lt;", "< a>"])
+def test_hostile_pages_take_linear_time(bit):
+    import time
+
+    page = bit * (5_000_000 // len(bit))
+    t = time.process_time()
+    warc.read_page(page)
+    assert time.process_time() - t < 8
+
+
+def test_pages_as_a_reader_sees_them():
+    read = warc.read_page
+    assert read("a < b <3 <b>c</b> x<y").text == "a < b <3 c x<y"
+    assert read("a<!-- <p>b --><p>c<script>d</script >e<noscript><img src=q>f</noscript>g").text == "a\nc e g"
+    assert read("<title>x</title><svg><title>y</title></svg>").title == "x"
+    assert read("<noscript><img src=q></noscript><!-- <img src=n> --><a name=x>").links == [("img", "src", "q")]
+    assert read("a<!-- b").text == "a" and read("a<script>b").text == "a" and read("").text == ""
+
+
+def test_long_words_count_like_others(monkeypatch):
+    import public_tokenizers
+
+    p = lattice.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    words = [b"abc" * 20, "日本語".encode() * 19, b"x" * 60, b"internationalization" * 3, b"short", b""]
+    counts, found = np.array([1.0, 2.0, 3.0, 1.0, 5.0, 4.0]), []
+    for most in (48, 100):
+        monkeypatch.setattr(lattice, "LONG_WORD", most)
+        expected = np.zeros(p.n)
+        found.append((lattice.Lattice(p, p.log_weights(None)).score(words, counts, expected), expected))
+    assert np.allclose(found[0][0], found[1][0]) and np.allclose(found[0][1], found[1][1], atol=1e-9)
+
+
+def test_spanning_links_join_what_similar_pairs_join():
+    for _ in range(30):
+        base = np.unique(np.random.default_rng(rng.randrange(1 << 30)).integers(0, 1 << 62, 40, dtype=np.uint64))
+        rows = []
+        for k in range(50):
+            s = np.unique(np.r_[rng.sample(base.tolist(), rng.randint(34, 40)), [rng.randrange(1 << 62) for _ in range(rng.randint(0, 4))]].astype(np.uint64))
+            rows.append((k + 1, rng.randint(1, 30), s.tobytes()))
+        split = rng.randint(1, 49)
+        for one in (True, False):
+            x = jaccard.Packed.load(jaccard.Packed.of(rows[:split] if not one else rows).dump())
+            y = x if one else jaccard.Packed.of(rows[split:])
+            links = jaccard.spanning_links(x, y, 80)
+            sets, comp = {r[0]: set(np.frombuffer(r[2], np.uint64).tolist()) for r in rows}, {r[0]: r[1] for r in rows}
+
+            def joined(pairs, comp=comp):
+                name = {c: c for c in comp.values()}
+                for a, b in pairs:
+                    u, v = name[comp[a]], name[comp[b]]
+                    name = {c: u if n == v else n for c, n in name.items()}
+                return {frozenset(c for c in name if name[c] == n) for n in name.values()}
+
+            left, right = (rows, rows) if one else (rows[:split], rows[split:])
+            want = [(a[0], b[0]) for a in left for b in right if a[0] != b[0] and 100 * len(sets[a[0]] & sets[b[0]]) >= 80 * len(sets[a[0]] | sets[b[0]])]
+            assert joined(links) == joined(want) and len(links) < 50
+            assert all(jaccard.similar(len(sets[a] & sets[b]), len(sets[a]), len(sets[b]), 80) for a, b in links)
+
+
+def test_toxicity_score_is_a_noisy_or():
+    model = toxicity.Model(np.random.default_rng(1).normal(size=1 << toxicity.BITS), -1.0)
+    for text in ("You are bad. Truly, badly bad!\nFine words", "", "...", "één woord", "same same. same"):
+        chances = []
+        for sentence in re.split(r"[.!?\n]+", text.lower()):
+            words = set(re.findall(r"\w+", sentence))
+            if words:
+                z = model.bias + sum(model.weights[zlib.crc32(f.encode()) % (1 << toxicity.BITS)] for w in words for f in {w, *(f"{k}<{w[:k]}" for k in (4, 5) if len(w) > k)})
+                chances.append(1 / (1 + math.exp(-z)))
+        assert abs(toxicity.Scorer(model).score(text)[0] - (1 - math.prod(1 - p for p in chances))) < 1e-9

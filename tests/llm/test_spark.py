@@ -1,6 +1,9 @@
 """The operators over Spark frames: odd rows, empty tables, clashing names, and small brute-force versions."""
 
+import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -73,7 +76,65 @@ def test_jaccard_groups(docs, empty):
     assert jaccard.similar_groups(empty).count() == 0
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted({str(r.doc_id) for r in kept.collect()}) == sorted({d for d, _, c in want if d == c or d == "None"})
+    stay = {}
+    for i, (d, s) in enumerate(rows):
+        stay.setdefault(root(i) if s else ("empty", i), []).append(d)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(min(v, key=lambda d: (d is None, d))) for v in stay.values())
+
+
+def components_of(rows):
+    """Brute force: the component of each (id, text), as the sorted places of its rows."""
+    sets, parent = [sets_of(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(rows))]
+
+
+def test_links_through_null_and_repeated_ids(spark):
+    base = [f"v{i}" for i in range(60)]
+    a, b, c = " ".join(base), " ".join(base[:55]), " ".join(base[:47])
+    rows = [(1, a), (None, b), (3, c), (None, "other words that stand alone here"), (3, "a text of another kind with the id of the third"), (None, b), (1, a), (5, ""), (5, ""), (None, None)]
+    assert len(set(components_of(rows[:3]))) == 1 and len(set(components_of([rows[0], rows[2]]))) == 2
+    frame = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, `odd.name` int").repartition(2)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component)) for r in jaccard.similar_groups(frame).collect())
+    of = components_of(rows)
+    least = {g: min((i for (i, _), h in zip(rows, of, strict=True) if h == g and i is not None), default=None) for g in of}
+    assert got == sorted((str(i), len(sets_of(t)), str(least[g] if sets_of(t) else i)) for (i, t), g in zip(rows, of, strict=True))
+    kept = jaccard.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("1", a), ("None", rows[3][1]), ("3", rows[4][1]), ("5", ""), ("5", ""), ("None", "")])
+
+
+def test_hot_keys_meet_in_blocks(spark, monkeypatch):
+    """A large group of near copies around the threshold: the same groups by blocks of few classes, and few rows of links."""
+    base = [f"v{i}" for i in range(60)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 48)
+    made = []
+    across = jaccard.across_blocks
+    monkeypatch.setattr(jaccard, "across_blocks", lambda *a: made.append(across(*a)) or made[-1])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component for r in jaccard.similar_groups(frame, frequent=2).collect()}
+    of, least = components_of(rows), {}
+    for k, g in enumerate(of):
+        least.setdefault(g, k)
+    assert got == {k: least[g] for k, g in enumerate(of)}
+    made = [m.count() for m in made if m is not None]
+    assert made and sum(made) < 20 * len(rows)
 
 
 def test_secret_rows(docs, empty):
@@ -98,18 +159,38 @@ def test_packing_rows(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def windows_of(text, n=13):
+    w = fmindex.words_of(text)
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
 def test_decontamination(spark, docs, empty):
-    items = spark.createDataFrame([("a", BASE[3]), ("b", " ".join(BASE[5].split()[2:12])), ("c", None), ("d", "never seen words here"), ("a", BASE[3])], "item_id string, text string")
-    got = {r.doc_id: r for r in fmindex.with_verdict(fmindex.find_items(docs, items)).collect()}
-    assert got[3].contaminated and got[3].n_hit == got[3].n_words and "a" in got[3]["items"]
-    assert got[5].n_hit == 10 and got[5]["items"] == ["b"]
-    assert not got[40].contaminated and got[40].n_hit == 0
-    clean = fmindex.drop_contaminated(docs, items)
-    assert clean.columns == docs.columns
-    blocks = fmindex.with_verdict(fmindex.find_items(docs.dropDuplicates(["doc_id"]), items, block_chars=200))
-    assert {(r.doc_id, r.n_hit, r.contaminated) for r in blocks.collect()} == {(d, r.n_hit, r.contaminated) for d, r in got.items()}
-    assert {r.doc_id for r in clean.collect()} == {d for d, r in got.items() if not r.contaminated}
-    assert fmindex.find_items(empty, items).count() == 0 and fmindex.find_items(docs, items.limit(0)).count() == docs.count()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    passages = [" ".join(BASE[i].split()[3:23]) for i in (0, 4, 9)]
+    tests = [("a", passages[0]), ("a", passages[0]), (None, passages[1]), ("c", "one two"), ("d", None), ("e", "!"), ("f", passages[2])]
+    items = spark.createDataFrame(tests, "item_id string, text string")
+
+    def brute(text):
+        w, hit, found = fmindex.words_of(text), set(), []
+        for i, t in tests:
+            got = False
+            for p in windows_of(t):
+                for k in range(len(w) - len(p) + 1):
+                    if tuple(w[k : k + len(p)]) == p:
+                        hit |= set(range(k, k + len(p)))
+                        got = True
+            if got:
+                found.append(str(i))
+        return len(w), len(hit), sorted(found)
+
+    want = sorted((str(d), *map(str, brute(t))) for d, t in rows)
+    clean = sorted(str(d) for d, t in rows for n, hit, _ in [brute(t)] if not (hit and 20 * hit >= n))
+    for block_chars in (2_000_000, 60):
+        found = fmindex.with_verdict(fmindex.find_items(docs, items, shard_words=500, block_chars=block_chars)).collect()
+        assert sorted((str(r.doc_id), str(r.n_words), str(r.n_hit), str(sorted(map(str, r["items"])))) for r in found) == want
+        kept = fmindex.drop_contaminated(docs, items, block_chars=block_chars)
+        assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == clean
+    assert fmindex.find_items(empty, items).count() == 0 and fmindex.drop_contaminated(docs, items.limit(0)).count() == len(rows)
 
 
 def test_lattice_scores(docs, empty):
@@ -160,7 +241,8 @@ def test_url_rows(spark):
     rules = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"), urls.Rule("org", "/fr/", "allow")]
     rows = ["http://A.Example.NET/en/1", "http://a.example.net/de", "http://a.example.net", "x.net/", None, "", "http://b.org/fr/#x", "http://b.org/en?x=/fr/", "a://b://c.net/", "http://goodnews.com/en/7", "http://notnet/", "s://net/"]
     pages = spark.createDataFrame([(i, u, "t") for i, u in enumerate(rows)] + [(9, rows[9], "t")], "page_id long, url string, host string")
-    counts = urls.word_counts(spark.createDataFrame([("good news good",), (None,)], "t string"), "t")
+    counts = urls.page_words(spark.createDataFrame([("<p>good</p> news<script>x</script>",), (None,), ("Good",)], "html string"))
+    assert {r.word: r.n for r in counts.collect()} == {"good": 2, "news": 1}
     got = {r.page_id: r for r in urls.filter_urls(pages, rules, counts).collect()}
     assert [got[i].rule for i in range(12)] == ["example.net/en/", "net/", None, None, None, None, "org/fr/", None, None, None, None, "net/"]
     assert (got[0].host, got[0].path) == ("a.example.net", "/en/1") and (got[8].host, got[8].path) == ("b:", "//c.net/")
@@ -169,19 +251,68 @@ def test_url_rows(spark):
     split = {r.name: r.words for r in urls.split_names(spark.createDataFrame([("goodnews",), ("x",)], "name string"), counts).collect()}
     assert split == {"goodnews": ["good", "news"], "x": ["x"]}
     assert urls.filter_urls(pages.limit(0), rules, counts).count() == 0
+    long = spark.createDataFrame([("goodnews" * 40,)], "host string").select(urls.names_in(F.col("host")).alias("n")).first().n
+    assert [len(x) for x in long] == [200, 120] and "".join(long) == "goodnews" * 40
+
+
+def test_url_odds_by_brute_force(spark):
+    """Log odds of naive Bayes over what the rules don't test, worked out one url at a time."""
+    rules = [urls.Rule("bad.net", "/", "block"), urls.Rule("org", "/ok/", "allow")]
+    rows = [f"http://{h}{p}" for h in ("news.bad.net", "farm.bad.net", "news.org", "shop.org", "newsfarm.com", "x.net") for p in ("/ok/a/1", "/spam/22", "/ok/spam", "/b-c/7/")]
+    pages = spark.createDataFrame([(i, u, "<p>news farm shop news</p>") for i, u in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.filter_urls(pages, rules, urls.page_words(pages)).collect()}
+    counts = {"news": 48, "farm": 24, "shop": 24}
+
+    def tokens(u):
+        host, path = re.match(r"http://([^/]*)(.*)", u).groups()
+        host, path = re.sub(r"(^|\.)(bad\.net|org)$", "", host), re.sub(r"^/ok/", "/", path)
+        words = []
+        for name in re.findall("[a-z]+", host):
+            words += ["h:" + w for w in urls.segment(name, {(i, j): counts[name[i:j]] for i in range(len(name)) for j in range(i + 1, len(name) + 1) if name[i:j] in counts}, 96, 20)]
+        return words + ["p:" + x for x in re.findall("[a-z]+|#", re.sub("[0-9]+", "#", path))]
+
+    def given(u):
+        return "block" if u.split("/")[2].endswith("bad.net") else "allow" if re.match(r"http://[^/]*\.org/ok/", u) else None
+
+    bags = {"block": [t for u in rows if given(u) == "block" for t in tokens(u)], "allow": [t for u in rows if given(u) == "allow" for t in tokens(u)]}
+    v = len(set(bags["block"] + bags["allow"]))
+    prior = math.log(sum(given(u) == "block" for u in rows) + 1) - math.log(sum(given(u) == "allow" for u in rows) + 1)
+    for i, u in enumerate(rows):
+        if given(u):
+            assert got[i].verdict == given(u) and got[i].log_odds is None
+            continue
+        odds = prior + sum(math.log((bags["block"].count(t) + 1) / (len(bags["block"]) + v + 1)) - math.log((bags["allow"].count(t) + 1) / (len(bags["allow"]) + v + 1)) for t in tokens(u))
+        assert abs(got[i].log_odds - odds) < 1e-6 and got[i].verdict == ("block" if got[i].log_odds > 0 else "allow"), u
 
 
 def test_event_folding(spark):
     rows = [(1, 0, 0, "message", "user", "hi"), (1, 1, 1, "message", "assistant", "a"), (1, 1, 2, "delta", None, "b"), (1, 1, 3, "regenerate", None, None), (1, 1, 4, "delta", None, "new"), (1, 0, 5, "edit", None, "hello"), (2, 0, 0, "message", None, None), (None, 0, 0, "message", "user", "x"), (2, 0, 0, "message", None, None)]
     events = spark.createDataFrame(rows, "conv long, msg long, seq long, kind string, role string, text string")
     folded = chat.fold_messages(events)
-    assert sorted((str(r.conv), r.msg, r.part, r.role, r.text) for r in folded.collect()) == [("1", 0, 0, "user", "hello"), ("1", 1, 0, "assistant", "new"), ("2", 0, 0, "", ""), ("2", 0, 1, "", ""), ("None", 0, 0, "user", "x")]
+    assert sorted((str(r.conv), r.msg, r.again, r.role, r.text) for r in folded.collect()) == [("1", 0, 0, "user", "hello"), ("1", 1, 0, "assistant", "new"), ("2", 0, 0, "", ""), ("2", 0, 1, "", ""), ("None", 0, 0, "user", "x")]
     text = {r.conv: r.formatted for r in chat.render(folded).collect()}
     assert text[1] == "<s>[INST] hello [/INST] new </s>"
     assert {r.conv_id: r.n_turns for r in chat.render_digests(folded).collect()} == {1: 2, 2: 2, None: 1}
     assert chat.render_digests(chat.fold_messages(events.limit(0))).count() == 0
 
 
+def test_streamed_turns_come_back(spark):
+    """The log has deltas, edits and regenerations; folding and rendering give the turns that it was made of."""
+    bits = [*chat.CONTROL, "\\", "é", "word ", "\n"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", None]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))) for c in (1, 2, None) for t in range(40)]
+    rows += [(1, 3, "user", "x"), (1, 3, "user", "x"), (2, 5, "user", None), (2, 5, "user", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    events = chat.events_of(turns)
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    folded = chat.fold_messages(events.repartition(5))
+    got = {r.conv_id: r for r in chat.render_digests(folded).collect()}
+    text = {r.conv: r.formatted for r in chat.render(folded).collect()}
+    for c in (1, 2, None):
+        want = [(r, x) for _, r, x in sorted((t, r or "", x or "") for k, t, r, x in rows if k == c)]
+        assert [(r, x) for r, x, _, _ in chat.read_turns(text[c])] == want and got[c].n_turns == len(want)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in want).encode()).hexdigest() and got[c].formatted_chars == len(text[c])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
@@ -199,6 +330,39 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, src).select("doc_id").distinct().collect()} == kept
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All stages over a small table with null and repeated ids, against plain Python; packing gives back the masked texts' ids."""
+    import corpus_pipeline as P
+    import tokenizers
+
+    words = [rng.choice(WORDS) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 80]) for i in range(0, 2400, 80)]
+    texts += [texts[0] + " tail", texts[1], "too short", texts[2] + " " + "# & " * 30, texts[3] + ' password="abcdefgh12345"', None, ""]
+    rows = [(i if i % 7 else None, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(4, texts[4], "en", "s", 1), (5, texts[9] + " one more", "en", "s", 1)]
+    items = [("q", " ".join(words[2 * 80 + 5 : 2 * 80 + 30])), ("r", " ".join(words[10 * 80 : 10 * 80 + 13])), ("n", None)]
+    for name, part, schema in (("documents", rows, "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", items, "item_id string, text string"), ("labels", [], "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = [(d, t) for d, t, *_ in rows if t and len(t.split()) >= 50]  # no labels: the base rules alone, and no text repeats itself
+    groups = {}
+    for (d, t), g in zip(kept, components_of(kept), strict=True):
+        groups.setdefault(g, []).append((d is None, d, t))
+    left = [min(v, key=lambda r: (r[0], r[1] or 0)) for v in groups.values()]
+    spans = {p for _, t in items for p in windows_of(t)}
+    clean = []
+    for _, d, t in left:
+        w = fmindex.words_of(t)
+        hit = {k + j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in spans for j in range(13)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.append((d, t))
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = P.run(spark, str(tmp_path)).collect()
+    assert sorted({str(r.doc_id) for r in pieces}) == sorted({str(d) for d, _ in clean})
+    want = sorted((str(d), len(tok.encode(t, add_special_tokens=False).ids) + 1) for d, t in clean if 'password' not in t)
+    got = sorted((str(r.doc_id), r.doc_tokens) for r in pieces if r.start == 0)
+    assert [d for d, _ in got] == sorted(str(d) for d, _ in clean)
+    assert not [x for x in want if x not in got]
+
+
 def test_warc_rows(spark):
     pages = spark.createDataFrame([(1, "http://a/b", "<p>x</p>", "r"), (None, None, None, None), (1, "http://a/b", "<p>x</p>", "r"), (2, "", "y" * 10**6, "r")], "page_id long, url string, html string, record string")
     rows = warc.derivatives(warc.responses(pages)).collect()
