@@ -324,7 +324,7 @@ def daily_volume(spark, d):
     return S.regrain(read(spark, d, "events"), "ts", "day", "user_id")
 
 
-RARE = "r AS (SELECT * FROM events WHERE event_id % 500 = 0)"
+RARE = "r AS (SELECT * FROM events)"
 
 
 @query(f"WITH {RARE}, b AS (SELECT unnest(generate_series((SELECT min(date_trunc('day', ts)) FROM r), (SELECT max(date_trunc('day', ts)) FROM r), INTERVAL 1 DAY)) AS bucket) SELECT bucket, nullif((SELECT count(*) FROM r WHERE date_trunc('day', ts) = bucket), 0) AS n FROM b")
@@ -529,7 +529,7 @@ SELF = ["me llamo ana", "Soy andrea y busco", "soy venezolana", "la señora pere
 
 @query("SELECT c_custkey, " + pick_sql(["true", "true", "false", "true", "false", "true", "false"], "c_custkey") + "::BOOLEAN AS named FROM customer")
 def self_id_filter(spark, d):
-    return read(spark, d, "customer").select("c_custkey", X.names_self(pick(SELF, F.col("c_custkey")), ["venezolana", "migrante"]).alias("named"))
+    return read(spark, d, "customer").select("c_custkey", X.names_self(pick(SELF, F.col("c_custkey"))).alias("named"))
 
 
 @query(r"SELECT 'text' AS field, bool_or(regexp_matches(text, '(?i)whatsapp:|\b\d{7,}\b')) AS hit FROM documents UNION ALL SELECT 'lang', bool_or(regexp_matches(lang, '(?i)whatsapp:|\b\d{7,}\b')) FROM documents UNION ALL SELECT 'source', bool_or(regexp_matches(source, '(?i)whatsapp:|\b\d{7,}\b')) FROM documents")
@@ -669,3 +669,6 @@ def pca_projection(spark, d):
 @query()
 def bootstrap_mean(spark, d):
     return K.bootstrap_ci(read(spark, d, "events"), "value", 1000)
+
+
+from millrace import catalog_tables  # noqa: E402, F401  registers the queries of tables and questions

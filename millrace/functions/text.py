@@ -6,7 +6,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from . import values as V
 
@@ -54,8 +54,10 @@ def title_case(c: Column) -> Column:
 
 
 def id_digits(c: Column) -> Column:
-    """Digits of an identifier; a trailing .0 is not part of it."""
-    return F.regexp_replace(F.regexp_replace(F.trim(c.cast("string")), r"\.0+$", ""), r"\D", "")
+    """Digits of an identifier; a trailing .0 or an exponent, as numbers are printed with, is not part of it."""
+    s = strip(c.cast("string"))
+    whole = F.when(s.rlike(r"^\d+(\.\d+)?[eE]\+?\d+$"), s.try_cast("double").try_cast("decimal(38,0)").cast("string"))
+    return F.regexp_replace(F.coalesce(whole, F.regexp_replace(s, r"\.0+$", "")), r"\D", "")
 
 
 def pseudonym(c: Column, salt: str) -> Column:
@@ -86,10 +88,6 @@ def redact_digits(c: Column) -> Column:
 PII = r"(?i)whatsapp:|\b\d{7,}\b"
 
 
-def one_of(c: Column, words: list[str]) -> Column:
-    return c.isin(words)
-
-
 def folded_tokens(c: Column) -> Column:
     """Words of the folded text without punctuation at their edges."""
     words = F.split(fold(c), r"(?U)\s+")
@@ -119,17 +117,69 @@ def probe(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike("(?iu)" + pattern), F.lit(False))
 
 
-NAME = r"([A-Za-zÁÉÍÓÚÑáéíóúñ]+)"
+def names_self(c: Column, not_names: list[str] = V.NOT_NAMES) -> Column:
+    """Phrases by which writers give a name. The first word after 'soy' must not be a known other word;
+    after a third person or a relative it must also be in lower case, as capitalised names are a model's job."""
+    word = lambda frame, flags: F.regexp_extract(c, f"(?U{flags})" + frame + V.NAME, 1)
+    known = lambda w: F.lower(w).isin(not_names or [""])
+    after = word(V.NAMING_SELF, "")
+    told = reduce(lambda a, b: a | b, [c.rlike("(?iU)" + f) for f in V.NAMING]) | ((after != "") & ~known(after))
+    for frame in V.NAMING_OTHERS:
+        w = word(frame, "i")
+        told = told | ((w != "") & (F.lower(F.substring(w, 1, 1)) == F.substring(w, 1, 1)) & ~known(w))
+    return F.coalesce(told, F.lit(False))
 
 
-def names_self(c: Column, not_names: list[str]) -> Column:
-    """Phrases by which writers give their own name; the word after 'soy' must not be a known other word."""
-    after = F.regexp_extract(c, r"(?<![\p{L}\p{N}_])(?iu:soy)\s+" + NAME, 1)
-    frames = [r"\bme\s+llamo\b", r"\bmi\s+nombre\s+es\b", r"\bse(?:ñ|n)or(?:a)?\s+[A-Za-zÁÉÍÓÚÑáéíóúñ]+"]
-    told = reduce(lambda a, b: a | b, [c.rlike("(?iu)" + f) for f in frames])
-    return F.coalesce(told | ((after != "") & ~fold(after).isin(not_names or [""])), F.lit(False))
+def holds_name(c: Column, first_names: list[str]) -> Column:
+    """Whether any whole word, in any case, is one of the given names."""
+    words = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?U)" + V.NAME), 1), lambda w: F.lower(w))
+    return F.arrays_overlap(words, F.array(*[F.lit(n) for n in first_names])) if first_names else F.lit(False)
 
 
-def holds_name(c: Column, first_names: list[str]) -> Column:
-    """Whether any whole word is one of the given names."""
-    return F.arrays_overlap(F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(r"([a-zñ]+)"), 1), F.array(*[F.lit(n) for n in first_names]))
+def scrub(c: Column, first_names: list[str] = (), people: Column | None = None, openers: list[str] = ()) -> Column:
+    """struct<text, changed>; text is null where the message must be dropped.
+
+    Dropped are blank texts, those that give a name by a phrase or hold a known first name, and those
+    with personal data left at the end. people: array<struct<start,end,text>> of person spans from a
+    model (code points, in order); spans on the opener list stay, the others are replaced by offset;
+    spans that overlap or don't fit the text drop it.
+    """
+    keep = c.isNotNull() & (squash(c) != "") & ~names_self(c) & ~holds_name(c, list(first_names))
+    if people is None:
+        return F.struct(F.when(keep & ~c.rlike(PII), c).alias("text"), F.lit(False).alias("changed"))
+    spans = F.filter(F.coalesce(people, F.array().cast("array<struct<start:int,end:int,text:string>>")), lambda s: ~F.lower(s.text).isin(list(openers) or [""]))
+    fits = F.forall(spans, lambda s: F.substring(c, s.start + 1, s.end - s.start) == s.text)
+    apart = F.forall(F.transform(spans, lambda s, i: (i == 0) | (s.start >= F.coalesce(F.try_element_at(spans, F.when(i > 0, i).otherwise(1)).end, F.lit(0)))), lambda x: x)
+    last = F.coalesce(F.try_element_at(spans, F.lit(-1)).end, F.lit(0))
+    parts = F.transform(spans, lambda s, i: F.concat(F.substring(c, F.when(i == 0, 0).otherwise(F.try_element_at(spans, F.when(i > 0, i).otherwise(1)).end) + 1, s.start - F.when(i == 0, 0).otherwise(F.try_element_at(spans, F.when(i > 0, i).otherwise(1)).end)), F.lit(V.NAME_PLACE)))
+    out = F.concat(F.array_join(parts, ""), F.substring(c, last + 1, F.length(c)))
+    ok = keep & fits & apart & ~out.rlike(PII)
+    return F.struct(F.when(ok, out).alias("text"), (ok & (F.size(spans) > 0)).alias("changed"))
+
+
+def is_courtesy(c: Column) -> Column:
+    """Nothing but words of courtesy, or no word at all."""
+    return F.forall(F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit("([a-zñ]+)"), 1), lambda w: w.isin(V.COURTESY))
+
+
+def round_half_even(c: Column, digits: int) -> Column:
+    """Rounds the exact binary value, ties to even, as Python does; for small published tables, by Arrow."""
+    return _round(c.cast("double"), F.lit(digits))
+
+
+@F.pandas_udf(DoubleType())
+def _round(values: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([x if x != x else round(x, int(d)) for x, d in zip(values, digits, strict=True)], dtype="float64")
+
+
+def stamp(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def stop_terms(ignored: list[str] = (), more: list[str] = ()) -> list[str]:
+    """Folded words that are never a candidate term: stop words, places and nationalities, and single words of longer ones."""
+    import unicodedata as u
+
+    plain = lambda s: "".join(x for x in u.normalize("NFKD", s) if not u.combining(x)).strip().lower()
+    words = {plain(w) for w in [*ignored, *more, *V.STOP, *V.COURTESY, *V.CITY, *V.CITY.values(), *V.NATIONALITY, *V.NATIONALITY.values()]}
+    return sorted({p for w in words for p in (w, *w.split())} - {""})

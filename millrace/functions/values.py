@@ -54,6 +54,35 @@ NO_CLUSTER, NO_CLUSTER_NAME, NO_SUBCLUSTER = -1, "No conversation text", -10
 GREETINGS = ["hola", "hi", "hey", "hello", "buenas", "buenos", "buen", "dia", "dias", "día", "días", "tarde", "tardes", "noche", "noches", "saludos", "saludo", "que", "qué", "tal", "cordial", "cordiales", "cordialmente", "gracias"]
 GREETING_FILL = ["muchas", "mucho", "muy", "bueno", "buena", "buenisimo", "excelente", "ok", "okay", "vale", "amable", "no", "si", "sí"]
 NOISE = ["undefined", "?", ""]
+COURTESY = "hola buenas buenos dias tardes noches gracias muchas mil bendiga bendiciones amen dios saludos hi hello ok okay bien vale adios chao hasta luego favor porfavor porfa disculpa disculpe perdon le".split()
+STOP = (
+    "a al algo algunas algunos ante antes como con contra cual cuando de del desde donde dos el ella ellas ellos en entre era es esa ese eso esta este "
+    "esto ha hasta hay la las le les lo los mas me mi mis mucho muy nada ni no nos o os para pero poco por porque que quien se sin sobre soy su sus te "
+    "tener tengo ti tu tus un una uno unos y ya yo"
+).split()
+# --- fixed values: phrases before a name, and words after them that are none ----------
+NOT_NAMES = (
+    "venezolana venezolano colombiana colombiano ecuatoriana ecuatoriano madre padre mama papa migrante refugiada refugiado beneficiaria beneficiario "
+    "estudiante menor de del la el las los un una mi muy mayor nueva nuevo soltera soltero casada casado embarazada discapacitada discapacitado desplazada "
+    "desplazado victima adulta adulto joven persona mujer hombre tiene esta está necesita es no se ya todavia todavía tambien también nacio nació cumple va "
+    "fue quiere sufre padece"
+).split()
+NAME = r"([A-Za-zÁÉÍÓÚÑáéíóúñ]+)"
+NAMING = [r"\bme\s+llamo\b", r"\bmi\s+nombre\s+es\b", r"\bse(?:ñ|n)or(?:a)?\s+[A-Za-zÁÉÍÓÚÑáéíóúñ]+"]
+NAMING_SELF = r"\b(?i:soy)\s+"
+NAMING_OTHERS = [
+    r"\bhabl[eé]\s+con\s+", r"\bme\s+atendi[oó]\s+", r"\bpregunt[eé]\s+por\s+", r"\bme\s+dijo\s+", r"\b(?:el|la)\s+doctor(?:a)?\s+",
+    r"\b(?:el|la)\s+abogad[oa]\s+", r"\b(?:el|la)\s+trabajador(?:a)?\s+social\s+",
+    r"\bmi\s+(?:hija|hijo|esposa|esposo|mam[aá]|pap[aá]|madre|padre|hermana|hermano|abuela|abuelo|nieta|nieto|sobrina|sobrino|prima|primo|t[ií]a|t[ií]o|cuñada|cuñado|pareja|novia|novio|vecina|vecino)\s+",
+]
+NAME_PLACE = "[nombre]"
+# --- fixed values: places and quadrants on the map ------------------------------------
+CITY_PLACE = {
+    "Bogotá": (4.7110, -74.0721), "Medellín": (6.2442, -75.5812), "Cali": (3.4516, -76.5320), "Barranquilla": (10.9685, -74.7813), "Cúcuta": (7.8939, -72.5078),
+    "Cartagena": (10.3910, -75.4794), "Bucaramanga": (7.1193, -73.1227), "Santa Marta": (11.2408, -74.1990), "Ipiales": (0.8303, -77.6450), "Pasto": (1.2136, -77.2811),
+    "Riohacha": (11.5444, -72.9072), "Maicao": (11.3776, -72.2389), "Soacha": (4.5794, -74.2140), "Necoclí": (8.4256, -76.7789),
+}
+COVERAGE_FLOOR, ENTITY_FLOOR, ENTITY_WARN = 0.80, 0.20, 0.35
 # --- fixed values: emotions ----------------------------------------------------------
 EMOTIONS = ["others", "joy", "sadness", "anger", "surprise", "disgust", "fear"]
 EMOTIONS_DROPPED, EMOTIONS_TRUSTED, EMOTION_MARGIN = ["surprise", "disgust"], ["sadness", "fear", "anger"], 0.15

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions import values as V
+
 
 def share(df: DataFrame, *keys: str) -> DataFrame:
     """Share of rows by the last key, within the others; null keys are left out."""
@@ -97,6 +99,44 @@ def association(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select("chi2", "dof", "least_expected", "cramers_v", F.when(small, "fisher").otherwise("chi2").alias("test"), ((F.col("cramers_v") >= 0.1) & (F.col("least_expected") >= 5)).alias("meaningful"))
 
 
+def chi2_tail(x: float, dof: int) -> float:
+    """Chance of a chi-square over x: the upper regularised gamma function, by series or continued fraction."""
+    a, x = dof / 2, x / 2
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1 - total * scale)
+    b, c = x + 1 - a, 1e300
+    d = h = 1 / b
+    for i in range(1, 10_000):
+        n = -i * (i - a)
+        b += 2
+        d, c = 1 / (n * d + b), b + n / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h * scale
+
+
+def association_test(df: DataFrame, a: str, b: str) -> dict:
+    """association's row with p: of the chi-square, or of Fisher's exact test for a 2x2 table with a small expected count."""
+    row = association(df, a, b).first().asDict()
+    if row["test"] == "fisher":
+        cells = {(r.a, r.b): r.n for r in df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")).collect()}  # four at most
+        xs, ys = sorted({x for x, _ in cells}), sorted({y for _, y in cells})
+        row["p"] = fisher_exact(*[cells.get((x, y), 0) for x in xs for y in ys])
+    else:
+        row["p"] = chi2_tail(row["chi2"], row["dof"]) if row["chi2"] is not None and row["dof"] else None
+    return row
+
+
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p of a 2x2 table."""
 
@@ -161,3 +201,71 @@ def pii_scan(df: DataFrame, pattern: str, skip: list[str] = ()) -> DataFrame:
     """(field, hit) of string columns, in one pass."""
     cols = [f.name for f in df.schema if f.dataType.simpleString() == "string" and f.name not in skip]
     return df.agg(*[F.coalesce(F.bool_or(F.col(c).rlike(pattern)), F.lit(False)).alias(c) for c in cols]).unpivot([], cols, "field", "hit")
+
+
+def binarised(c: Column) -> Column:
+    return F.when(F.lower(c) == "negative", "negative").otherwise("not_negative")
+
+
+def agreement_report(df: DataFrame, human: str, model: str, gate: float) -> DataFrame:
+    """One row: n, accuracy, kappa, and whether its gate lets rates be quoted."""
+    k = kappa(df, human, model)
+    return k.select("n", F.col("p_o").alias("accuracy"), "kappa", F.coalesce((F.col("kappa") >= gate) & ~F.isnan("kappa"), F.lit(False)).alias("gate_passed"))
+
+
+def tone_report(df: DataFrame, human: str, model: str, gate: float = V.TONE_GATE) -> DataFrame:
+    """agreement_report of negative against the rest."""
+    return agreement_report(df.select(binarised(F.col(human)).alias("human"), binarised(F.col(model)).alias("model")), "human", "model", gate)
+
+
+def emotion_report(df: DataFrame, human: str, model: str, gate: float = V.EMOTION_GATE) -> DataFrame:
+    return agreement_report(df.select(F.col(human).cast("string").alias("human"), F.col(model).cast("string").alias("model")), "human", "model", gate)
+
+
+def precision_recall(df: DataFrame, human: str, model: str, label: str) -> DataFrame:
+    hit = F.count_if((F.col(human) == label) & (F.col(model) == label))
+    return df.agg(F.try_divide(hit, F.count_if(F.col(model) == label)).alias("precision"), F.try_divide(hit, F.count_if(F.col(human) == label)).alias("recall"))
+
+
+def counts_in_order(df: DataFrame, col: str, order: list[str], distinct: str | None = None) -> DataFrame:
+    """(value, position, n, share): counts of the values of a fixed list, those that don't occur as 0; shares of all that occur."""
+    n = F.count_distinct(distinct) if distinct else F.count("*")
+    got = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(n.alias("n"))
+    every = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], "value string, position int")
+    total = got.agg(F.sum("n").alias("total"))
+    return F.broadcast(every).join(got, "value", "left").join(F.broadcast(total)).select("value", "position", F.coalesce("n", F.lit(0)).alias("n"), F.try_divide(F.coalesce("n", F.lit(0)), F.col("total")).alias("share"))
+
+
+def top_values(df: DataFrame, col: str, k: int, by: str | None = None) -> DataFrame:
+    """(value, n, share) of the k most frequent values, by rows or distinct by; ties by value."""
+    n = F.count_distinct(by) if by else F.count("*")
+    got = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(n.alias("n"))
+    return got.join(F.broadcast(got.agg(F.sum("n").alias("total")))).select("value", "n", (F.col("n") / F.col("total")).alias("share")).orderBy(F.desc("n"), "value").limit(k)
+
+
+def cluster_coverage(users: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """One row: the share of users with a cluster; 0 without users."""
+    return users.agg(F.coalesce(F.avg((F.col(cluster).isNotNull() & (F.col(cluster) != V.NO_CLUSTER)).cast("double")), F.lit(0.0)).alias("coverage"))
+
+
+def least_subcluster(subclusters: DataFrame, floor: int = V.LEAST_SUBCLUSTER) -> DataFrame:
+    """One row: the fewest users of a child of a split parent; the floor itself where nothing was split."""
+    return subclusters.where("subcluster_id >= 0 and is_split").agg(F.coalesce(F.min("n_users"), F.lit(floor)).cast("long").alias("least"))
+
+
+def qa_checks(responses: DataFrame, messages: DataFrame, meal: DataFrame, pattern: str) -> DataFrame:
+    """(check, passed): no personal data in either table, the spine's counts add up, one answer a respondent."""
+    clean = lambda df: pii_scan(df, pattern).agg((~F.coalesce(F.bool_or("hit"), F.lit(False))).alias("ok"))
+    spine = messages.groupBy("user_id").agg(F.first("n_msgs_user").alias("n"), F.count("*").alias("k")).agg((F.coalesce(F.sum("n"), F.lit(0)) == F.coalesce(F.sum("k"), F.lit(0))).alias("ok"))
+    once = meal.groupBy("user_id").agg(F.count("*").alias("k")).agg((F.coalesce(F.max("k"), F.lit(1)) <= 1).alias("ok"))
+    out = None
+    for name, one in (("pii_responses", clean(responses)), ("pii_messages", clean(messages)), ("spine_adds_up", spine), ("one_answer_each", once)):
+        row = one.select(F.lit(name).alias("check"), F.col("ok").alias("passed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def schema_stats(df: DataFrame, ts: str) -> DataFrame:
+    """One row: rows, columns, and the share of times that can be read."""
+    ok = F.try_to_timestamp(F.col(ts).cast("string")).isNotNull()
+    return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"), F.coalesce(F.avg(ok.cast("double")), F.lit(0.0)).alias("ts_parse_rate"))

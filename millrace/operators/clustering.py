@@ -218,31 +218,43 @@ def project(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def bootstrap_ci(df: DataFrame, value: str, boots: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """(mean, lo, hi) by the percentile bootstrap: each row gets a Poisson weight a replicate, so no row is shuffled."""
+    """(mean, lo, hi) by the percentile bootstrap. Rows of equal value get one Poisson weight a replicate,
+    drawn by the value, so no row is shuffled and the interval doesn't depend on how rows are dealt."""
     from pandas import DataFrame as P
 
     importable(df.sparkSession)
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    grouped = rows.groupBy("v").agg(F.count("*").alias("k"), F.xxhash64(F.first("v")).alias("at"))
 
     def run(frames):
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        rng = np.random.default_rng([seed, task.partitionId() if task else 0])
         s, n = np.zeros(boots), np.zeros(boots)
         for f in frames:
-            for v in np.array_split(f["v"].to_numpy(), max(1, len(f) // 2000)):
-                w = rng.poisson(1.0, (len(v), boots))
-                s += v @ w
-                n += w.sum(0)
+            for v, k, at in zip(f["v"], f["k"], f["at"], strict=True):
+                w = np.random.Generator(np.random.Philox(key=[seed, at & (1 << 64) - 1])).poisson(k, boots)
+                s += v * w
+                n += w
         yield P({"boot": np.arange(boots), "s": s, "n": n})
 
-    means = rows.mapInPandas(run, "boot int, s double, n double").groupBy("boot").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+    means = grouped.mapInPandas(run, "boot int, s double, n double").groupBy("boot").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     tail = (1 - level) / 2
     ci = means.agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"))
     return rows.agg(F.avg("v").alias("mean")).join(F.broadcast(ci))
 
 
+def is_flat(silhouettes: list[float], within: float = 0.05) -> bool:
+    """Whether no number of clusters stands out."""
+    return max(silhouettes) - min(silhouettes) < within if silhouettes else True
+
+
+def subcluster_id(cluster: int, child: int) -> int:
+    """One id for parent and child; users without a cluster have one of their own."""
+    if cluster < 0:
+        return V.NO_SUBCLUSTER
+    if not 0 <= child <= 9:
+        raise ValueError(f"child {child} of cluster {cluster} has no place in one digit")
+    return cluster * 10 + child
+
+
 def mean_axes(df: DataFrame, *cols: str) -> DataFrame:
     """df with the z-scores of the columns and unmet_need, the mean of those that are not null."""
     for c in cols:

@@ -91,10 +91,30 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     sizes = total.groupBy(stratum).agg(F.count("*").alias("__n"))
     all_n = sizes.agg(F.sum("__n")).first()[0] or 1
     quota = sizes.withColumn("__q", F.greatest(F.lit(1), F.floor(F.col("__n") * n / F.lit(all_n))))
-    rn = F.row_number().over(w.orderBy(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
-    return total.withColumn("__rn", rn).join(quota, stratum).where("__rn <= __q").drop("__rn", "__q", "__n")
+    order = [F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
+    # the least of each part first, so that no task ranks a whole stratum
+    parts = total.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(200))).join(quota, stratum)
+    few = parts.withColumn("__rn", F.row_number().over(W.partitionBy(stratum, "__part").orderBy(*order))).where("__rn <= __q")
+    return few.withColumn("__rn", F.row_number().over(w.orderBy(*order))).where("__rn <= __q").drop("__rn", "__q", "__n", "__part")
 
 
 def gate_unmatched(left: DataFrame, right: DataFrame, key: str) -> int:
     """How many keys of left have no row in right; callers raise if any."""
     return left.join(right, key, "left_anti").count()
+
+
+def aligned(gold: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """gold joined with rows by key; raises if a key of gold is unknown, or stands twice on either side."""
+    if n := gate_unmatched(gold, rows, key):
+        raise ValueError(f"{n} labels have no row")
+    for name, df in (("labels", gold), ("rows", rows.join(gold.select(key), key, "left_semi"))):
+        if n := df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > 1).count():
+            raise ValueError(f"{n} keys stand twice among the {name}")
+    return gold.join(rows, key)
+
+
+def user_documents(messages: DataFrame, user: str, order: str, text: str) -> DataFrame:
+    """(user, doc, n_msgs): a user's messages, white space collapsed, empty ones dropped, in one text."""
+    rows = messages.withColumn("__t", X.squash(F.col(text))).where(F.col("__t") != "")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__t").alias("t")))), lambda x: x.t)
+    return rows.groupBy(user).agg(F.array_join(parts, " ").alias("doc"), F.count("*").alias("n_msgs"))

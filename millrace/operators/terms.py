@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.functions import values as V
 
 Entry = tuple[str, str, str]  # entity, kind, pattern
 
@@ -61,6 +62,12 @@ def entity_coverage(df: DataFrame, text: str, registry: list[Entry]) -> DataFram
     return rows.agg(F.count_if(F.size(entities(F.col(text), registry)) > 0).alias("hit"), F.count("*").alias("total"))
 
 
+def coverage_warning(hit: int, total: int, floor: float = V.ENTITY_WARN) -> str | None:
+    """A warning where too few texts name an entity; never an error."""
+    share = hit / total if total else 0.0
+    return f"{100 * share:.1f} % of {total} texts name an entity, under {100 * floor:.0f} %" if share < floor else None
+
+
 def candidates(df: DataFrame, user: str, text: str, key: str, registry: list[Entry], stop: list[str], min_users: int, top: int) -> DataFrame:
     """Words and adjacent pairs of texts without an entity: occurrences, users, first example."""
     free = df.where(F.col(text).isNotNull() & (F.size(entities(F.col(text), registry)) == 0))
@@ -79,14 +86,26 @@ def themes(df: DataFrame, user: str, text: str, probes: dict[str, str]) -> DataF
     return df.select(user, F.explode(hits).alias("theme")).groupBy("theme").agg(F.count("*").alias("n_messages"), F.count_distinct(user).alias("n_users"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where a scan has fewer: what follows works hard on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def ctfidf(df: DataFrame, label: str, text: str, stop: list[str], top: int = 10, min_docs: int = 5) -> DataFrame:
-    """(label, rank, term, weight): term share of its class times log of classes over classes with the term."""
-    tokens = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), X.term_tokens(F.col(text), stop).alias("t"))
-    docs = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs).select("term")
-    counts = tokens.select("label", F.explode("t").alias("term")).join(docs, "term").groupBy("label", "term").agg(F.count("*").alias("tf"))
-    total, classes = F.sum("tf").over(W.partitionBy("label")), F.count("*").over(W.partitionBy("term"))
-    n = tokens.select("label").distinct().agg(F.count("*").alias("k"))
-    weighted = counts.withColumn("total", total).withColumn("c", classes).join(F.broadcast(n)).withColumn("weight", F.col("tf") / F.col("total") * F.log(F.col("k") / F.col("c")))
+    """(label, rank, term, weight): term share of its class times log of classes over classes with the term.
+
+    One pass over the texts: sorted tokens tell occurrences from documents, so one grouped count has both.
+    """
+    tokens = spread(df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text")))
+    tokens = tokens.select("label", F.array_sort(X.term_tokens(F.col("text"), stop)).alias("t"))
+    each = F.transform("t", lambda w, i: F.struct(w.alias("term"), F.when((i > 0) & (F.get(F.col("t"), i - 1) == w), 0).otherwise(1).alias("first")))
+    counts = tokens.select("label", F.explode_outer(each).alias("x")).groupBy("label", F.col("x.term").alias("term")).agg(F.count("x").alias("tf"), F.sum("x.first").alias("df"))
+    n = counts.agg(F.count_distinct("label").alias("k"))
+    of_term = W.partitionBy("term")
+    kept = counts.where("term is not null").withColumn("docs", F.sum("df").over(of_term)).withColumn("c", F.count("*").over(of_term)).where(F.col("docs") >= min_docs)
+    total = kept.groupBy("label").agg(F.sum("tf").alias("total"))
+    weighted = kept.join(total, "label").join(F.broadcast(n)).withColumn("weight", F.col("tf") / F.col("total") * F.log(F.col("k") / F.col("c")))
     rank = F.row_number().over(W.partitionBy("label").orderBy(F.desc("weight"), "term")) - 1
     return weighted.withColumn("rank", rank).where(F.col("rank") < top).select("label", "rank", "term", "weight")
 
@@ -98,14 +117,40 @@ def exclusive(terms: DataFrame, label: str = "label") -> DataFrame:
     return rows.withColumn("some", F.bool_or("once").over(W.partitionBy(label))).where("once or not some").drop("once", "some")
 
 
+def with_terms(messages: DataFrame, terms: DataFrame, label: str, text: str) -> DataFrame:
+    """messages with hits: array of (rank, term, weight) of their class's terms that they hold; a message has one row."""
+    lists = terms.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("__terms"))
+    both = spread(messages).join(lists, label).withColumn("__low", F.lower(F.col(text)))
+    return both.withColumn("hits", F.filter("__terms", lambda t: F.contains(F.col("__low"), F.lower(t.term)))).drop("__low", "__terms").where(F.size("hits") > 0)
+
+
 def term_users(terms: DataFrame, messages: DataFrame, label: str, user: str, text: str) -> DataFrame:
     """Messages of each user that hold each of their class's terms, times its weight."""
-    hit = messages.join(F.broadcast(terms), label).where(X.contains_term(F.col(text), F.col("term")))
-    return hit.groupBy(label, user, "term").agg((F.count("*") * F.first("weight")).alias("weight"))
+    hit = with_terms(messages.select(label, user, text), terms, label, text).select(label, user, F.explode("hits").alias("h"))
+    return hit.groupBy(label, user, F.col("h.term").alias("term")).agg((F.count("*") * F.first("h.weight")).alias("weight"))
+
+
+def voices(messages: DataFrame, terms: DataFrame, label: str, user: str, seq: str, text: str, lo: int = 60, hi: int = 190, markers: dict | None = None, first: DataFrame | None = None) -> DataFrame:
+    """A class's first message of middling length that holds its best possible term.
+
+    Before the class's terms come its marker (markers: label to word) and its own terms that no other
+    class has (first: as terms); a class without any message has a dash.
+    """
+    tiers = []
+    if markers:
+        spark = terms.sparkSession
+        tiers.append(spark.createDataFrame([(k, 0, w, 0.0) for k, w in markers.items()], f"`{label}` {terms.schema[label].dataType.simpleString()}, rank int, term string, weight double"))
+    tiers += [t.select(label, F.col("rank").cast("int").alias("rank"), "term", "weight") for t in (first, terms) if t is not None]
+    ranked = None
+    for tier, t in enumerate(tiers):
+        t = t.withColumn("rank", F.struct(F.lit(tier).alias("tier"), F.col("rank").alias("rank")))
+        ranked = t if ranked is None else ranked.unionByName(t)
+    fit = with_terms(messages.where(F.length(text).between(lo, hi)).select(label, user, seq, text), ranked, label, text).withColumn("h", F.col("hits")[0])
+    best = fit.groupBy(label).agg(F.min_by(F.struct(F.col(text).alias("quote"), F.col("h.term").alias("term")), F.struct(F.col("h.rank"), F.col(user), F.col(seq))).alias("v"))
+    return terms.select(label).distinct().join(best, label, "left").select(label, F.coalesce("v.quote", F.lit("—")).alias("quote"), "v.term")
 
 
-def voices(messages: DataFrame, terms: DataFrame, label: str, user: str, seq: str, text: str, lo: int = 60, hi: int = 190) -> DataFrame:
-    """A class's first message of middling length that holds its best possible term."""
-    fit = messages.where(F.length(text).between(lo, hi)).join(F.broadcast(terms), label).where(X.contains_term(F.col(text), F.col("term")))
-    best = fit.groupBy(label).agg(F.min_by(F.struct(F.col(text).alias("quote"), "term"), F.struct("rank", user, seq)).alias("v"))
-    return terms.select(label).distinct().join(best, label, "left").select(label, F.coalesce("v.quote", F.lit("—")).alias("quote"), "v.term")
+def top_terms(terms: DataFrame, label: str = "label", n: int = 6) -> DataFrame:
+    """(label, top_terms): the first terms in one string."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct("rank", "term"))), 1, n)
+    return terms.groupBy(label).agg(F.array_join(F.transform(first, lambda x: x.term), ", ").alias("top_terms"))
