@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from millrace.functions import text as X
 from millrace.functions import values as V
 from millrace.operators import aggregates as A
 from millrace.operators import spine as S
+from millrace.operators import terms as T
+from millrace.plans import tables as P
 from millrace.sources import contract
 
 
@@ -44,6 +46,14 @@ def policy(column: str) -> str:
     raise ValueError(f"{column} has no cohort policy: class it before pooling it")
 
 
+def pooled(df: DataFrame, name: str) -> DataFrame:
+    """Rows over which a column may be aggregated: those of the questionnaire that asks it. Raises for one that must be split by cohort."""
+    kind = policy(name)
+    if kind == "split" and "instrument_version" in df.columns:
+        raise ValueError(f"{name} must be split by cohort; group by instrument_version")
+    return df.where(F.col("instrument_version") == kind[:2]) if kind in ("v1_only", "v2_only") else df
+
+
 def cohort(df: DataFrame) -> DataFrame:
     """instrument_version by the mark that migrated rows carry; all v2 without that column."""
     mark = F.col(f"`{COHORT_MARK}`").isNotNull() if COHORT_MARK in df.columns else F.lit(False)
@@ -84,20 +94,23 @@ def load_meal(raw: DataFrame, salt: str, questions: dict[str, str]) -> DataFrame
     return S.latest_per(rows, "user_id", "ts", "record").drop("record")
 
 
-def dim_city(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(V.DEPARTMENT.items()), "city_canon string, department string")
+PROFILE = ["instrument_version", "gender_clean", "age_num", "age_flag", "city_canon", "department", "nationality_canon", "away_duration_canon", "away_duration_order", "city_duration_canon", "city_duration_order", "n_questions", "language", "minors", "destination_country", "registration_status"]
 
 
-PROFILE = ["instrument_version", "gender_clean", "age_num", "age_flag", "city_canon", "department", "nationality_canon", "away_duration_canon", "away_duration_order", "city_duration_canon", "city_duration_order", "n_questions", "language", "minors", "destination_country", "registration_status"]
+def with_members(df: DataFrame, members: DataFrame | None) -> DataFrame:
+    """df with its users' subcluster, or that of users without text."""
+    if members is None:
+        return df.withColumn("subcluster_id", F.lit(V.NO_SUBCLUSTER))
+    return S.with_labels(df, members.select("user_id", "subcluster_id"), "user_id", "subcluster_id", V.NO_SUBCLUSTER)
 
 
-def dim_user(responses: DataFrame, messages: DataFrame, labels: DataFrame) -> DataFrame:
+def dim_user(responses: DataFrame, messages: DataFrame, labels: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """One row a user: first value of each profile column, message facts, repeat flag, cluster, display labels."""
     cols = [c for c in PROFILE if c in responses.columns]
     rec = responses.groupBy("user_id").agg(*[S.first_value(c, "ts", "record").alias(c) for c in cols], F.max("session_minutes").alias("session_minutes"), F.min("ts").alias("registered_at"), F.max("n_questions").alias("most_questions"))
     msg = messages.groupBy("user_id").agg(F.count("*").alias("n_msgs_user"), F.min("ts").alias("first_seen"))
     p90 = rec.agg(F.percentile("most_questions", F.lit(0.9)).alias("p90"))
-    df = S.with_labels(rec.join(msg, "user_id", "left").join(F.broadcast(p90)), labels, "user_id", "cluster_id", V.NO_CLUSTER)
+    df = with_members(S.with_labels(rec.join(msg, "user_id", "left").join(F.broadcast(p90)), labels, "user_id", "cluster_id", V.NO_CLUSTER), members)
     age = C.age_band(F.col("age_num"))
     stay = F.col("destination_country").isNull() | X.fold(F.coalesce("destination_country", F.lit(""))).isin("", "colombia")
     away, away_order = C.or_no_answer(C.lookup(V.AWAY, F.col("away_duration_canon")), F.col("away_duration_order"))
@@ -111,9 +124,9 @@ def dim_user(responses: DataFrame, messages: DataFrame, labels: DataFrame) -> Da
     }).drop("p90", "most_questions")
 
 
-def fact_message(messages: DataFrame, tones: DataFrame | None, labels: DataFrame) -> DataFrame:
+def fact_message(messages: DataFrame, tones: DataFrame | None, labels: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """One row a message, without its text; tone columns are null without a model."""
-    df = S.with_labels(messages.select("message_id", "user_id", "ts", "seq", "n_msgs_user"), labels, "user_id", "cluster_id", V.NO_CLUSTER)
+    df = with_members(S.with_labels(messages.select("message_id", "user_id", "ts", "seq", "n_msgs_user"), labels, "user_id", "cluster_id", V.NO_CLUSTER), members)
     if tones is None:
         return df.withColumns({"sentiment": F.lit(None).cast("string"), "emotion": F.lit(None).cast("string"), "emotion_display": F.lit(None).cast("string")})
     return df.join(tones.select("message_id", "sentiment", "emotion"), "message_id", "left").withColumn("emotion_display", C.emotion_display(F.col("emotion"), F.col("sentiment")))
@@ -139,15 +152,81 @@ def meta_run(spark: SparkSession, **facts) -> DataFrame:
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(facts.items())] or [], "key string, value string")
 
 
-def build(data: Dataset, labels: DataFrame, tones: DataFrame | None = None) -> dict[str, DataFrame]:
-    spark = data.responses.sparkSession
-    users, meal = dim_user(data.responses, data.messages, labels), fact_meal(data.meal)
-    facts = fact_message(data.messages, tones, labels)
+@dataclass(frozen=True)
+class Insight:
+    """What models and people add; each part may be missing."""
+
+    members: DataFrame | None = None  # user_id, subcluster_id, is_split
+    names: DataFrame | None = None  # cluster_id, cluster_name, name_is_provisional
+    terms: DataFrame | None = None  # cluster_id, rank, term, weight
+    subterms: DataFrame | None = None  # subcluster_id, rank, term, weight
+    points: DataFrame | None = None  # user_id, x, y
+    gold_tone: DataFrame | None = None  # message_id, human, model
+    gold_emotion: DataFrame | None = None
+    gap_probe: DataFrame | None = None  # probe_report's row
+    registry: list[T.Entry] = field(default_factory=list)
+    probes: dict[str, str] = field(default_factory=dict)
+    markers: dict[int, str] | None = None
+    first_names: list[str] = field(default_factory=list)
+    bot_names: list[str] = field(default_factory=list)
+    facts: dict[str, str] = field(default_factory=dict)
+
+
+TURNS = "turn_id string, user_id string, ts timestamp, reply_key string, user_message string, bot_reply string, gap_flag boolean, handoff_flag boolean"
+
+
+def build(data: Dataset, labels: DataFrame, tones: DataFrame | None = None, more: Insight | None = None) -> dict[str, DataFrame]:
+    """Every table whose inputs are there; without a bot log its tables are empty, without a probe its rates are withheld."""
+    spark, more = data.responses.sparkSession, more or Insight()
+    members, messages = more.members, data.messages
+    users, meal = dim_user(data.responses, messages, labels, members), fact_meal(data.meal)
+    facts = fact_message(messages, tones, labels, members)
+    said = messages.join(labels.select("user_id", "cluster_id"), "user_id")
+    texts = messages.select("message_id", "message")
+    clusters = P.dim_cluster(users, more.names, more.terms)
+    per_user = users.select("user_id", F.when(F.col("has_text"), F.col("n_msgs_user")).alias("n"))
+    rated = meal.where("rating_num is not null").join(labels.select("user_id", "cluster_id"), "user_id", "left")
     tables = {
-        "dim_city": dim_city(spark), "dim_user": users, "fact_message": facts, "fact_meal": meal, "agg_daily_volume": S.regrain(facts, "ts", "day", "user_id"),
-        "agg_weekly_cluster": S.regrain(facts, "ts", "week", "cluster_id", "user_id"), "agg_weekly_rating": weekly_rating(meal), "agg_daily_meal": daily_meal(meal),
-        "dim_cluster": A.size_ranked(users.where(F.col("cluster_id") >= 0).groupBy("cluster_id").agg(F.count("*").alias("n_users")), "cluster_id", "n_users"),
+        "dim_city": P.dim_city(spark), "dim_quadrant": P.dim_quadrant(spark), "dim_user": users, "dim_cluster": clusters, "fact_message": facts, "fact_meal": meal,
+        "agg_daily_volume": S.regrain(facts, "ts", "day", "user_id"), "agg_weekly_cluster": S.regrain(facts, "ts", "week", "cluster_id", "user_id"),
+        "agg_weekly_rating": weekly_rating(meal), "agg_daily_meal": daily_meal(meal), "agg_funnel": P.funnel_by_user(per_user, meal),
+        "agg_registration_funnel": P.registration_by_user(data.responses), "agg_language": P.language_by_user(data.responses),
+        "fact_message_entities": T.entity_rows(messages, "message", more.registry, "message_id", "user_id") if more.registry else spark.createDataFrame([], "message_id string, user_id string, entity string, kind string"),
+        "nlp_entity_candidates": T.candidates(messages, "user_id", "message", "message_id", more.registry, X.stop_terms([e for e, k, _ in more.registry if k == "ignore"]), 15, 40) if more.registry else spark.createDataFrame([], "term string, n_msgs long, n_users long, example string"),
     }
-    if data.turns is not None:
-        tables["fact_bot_turn"] = S.member_flag(data.turns.select("turn_id", "user_id", "gap_flag", "handoff_flag"), users.select("user_id"), "user_id", "has_survey_record")
+    toned = facts.join(texts, "message_id").withColumn("sentiment", F.coalesce("sentiment", F.lit("neutral"))) if tones is None else facts.join(texts, "message_id")
+    tables["fact_conversation_full"] = P.conversations_full(toned, "sentiment", "emotion", more.bot_names, more.first_names)
+    tables["fact_message_sample"] = P.message_sample(facts, texts, 6, more.first_names)
+    negative = by_user = None
+    if tones is not None:
+        share = F.avg((F.col("sentiment") == "negative").cast("double"))
+        negative, by_user = (facts.where(F.col("cluster_id") != V.NO_CLUSTER).groupBy(k).agg(share.alias(n)) for k, n in (("cluster_id", "pct_negative"), ("user_id", "negative_share")))
+    matrix = P.priority(said, rated, negative)
+    tables["agg_priority_matrix"] = P.priority_by_user(said, matrix, users.select("user_id", "is_repeat_asker"), rated.groupBy("user_id").agg(F.max("rating_num").alias("rating_num")), by_user)
+    if more.probes:
+        tables["nlp_emergent_themes"] = T.themes(messages, "user_id", "message", more.probes).orderBy(F.desc("n_users"), "theme")
+    if members is not None:
+        tables["dim_subcluster"] = P.dim_subcluster(members, messages, clusters, more.subterms)
+    if more.points is not None:
+        tables["nlp_umap"] = more.points.join(labels.select("user_id", "cluster_id"), "user_id")
+    if more.terms is not None:
+        tables["nlp_cluster_terms"] = T.term_users(more.terms, said, "cluster_id", "user_id", "message")
+        tables["nlp_voices"] = T.voices(said, more.terms, "cluster_id", "user_id", "seq", "message", markers=more.markers, first=T.exclusive(more.terms, "cluster_id"))
+    if more.subterms is not None and members is not None:
+        tables["nlp_subcluster_terms"] = T.term_users(T.exclusive(more.subterms, "subcluster_id"), messages.join(members.select("user_id", "subcluster_id"), "user_id"), "subcluster_id", "user_id", "message")
+    if more.gold_tone is not None:
+        tables["nlp_tone_confusion"] = P.confusion_rows(more.gold_tone, "message_id", "human", "model", True)
+    if more.gold_emotion is not None:
+        tables["nlp_emotion_confusion"] = P.confusion_rows(more.gold_emotion, "message_id", "human", "model", False)
+    turns = data.turns if data.turns is not None else spark.createDataFrame([], TURNS)
+    tables |= {"fact_bot_turn": P.bot_turn_facts(turns, users), "agg_coverage_gap": P.coverage_gap(turns, more.gap_probe)}
+    if more.registry:
+        tables |= {"fact_bot_turn_entities": T.entity_rows(turns, "user_message", more.registry, "turn_id", "user_id"), "agg_bot_gap_entities": P.gap_entities(turns, "user_message", more.registry)}
+    else:
+        tables |= {"fact_bot_turn_entities": spark.createDataFrame([], "turn_id string, user_id string, entity string, kind string"), "agg_bot_gap_entities": spark.createDataFrame([], "kind string, entity string, n_turns long, n_gap long, pct_gap double")}
+    subs = tables.get("dim_subcluster", spark.createDataFrame([], "subcluster_id long, is_split boolean, n_users long"))
+    named = T.entity_coverage(messages, "message", more.registry).first() if more.registry else None
+    covered = 100.0 * named.hit / named.total if named and named.total else 100.0 if named is None else 0.0
+    tables["parity_check"] = P.parity(P.reconciliation(data.responses, messages, data.meal), users, facts, meal, A.least_subcluster(subs), covered)
+    tables["meta_run"] = meta_run(spark, **{k: v for k, v in more.facts.items() if k != "checks"}, n_tables=len(tables) + 1)
     return tables
