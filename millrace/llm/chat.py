@@ -208,7 +208,7 @@ def events_of(conversations: DataFrame) -> DataFrame:
 
     step = F.ceil(F.length("text") / DELTAS).cast("int")
     deltas = [event("delta", F.substring(F.col("text"), F.lit(i) * step + 1, step)) for i in range(DELTAS)]
-    draft, none = F.reverse("text"), F.lit("")
+    draft, none = F.reverse(F.substring("text", 1, 40)), F.lit("")
     way = F.pmod("part", F.lit(4))
     log = F.when(way == 0, F.array(event("message", none), *deltas)).when(way == 1, F.array(event("message", draft), event("regenerate", none), *deltas))
     log = log.when(way == 2, F.array(event("message", none), event("delta", draft), event("edit", F.col("text")))).otherwise(F.array(event("message", F.col("text"))))
