@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, plain
+from .common import arrow_map, cut, plain, sweep
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 SMALL_SET = 40
@@ -798,10 +798,12 @@ def named_documents(df: DataFrame, id_col: str, text_col: str, threshold: int, s
     chars = input_chars(df, text_col)
     buckets, bits, frequent = max(8, min(1 << 15, chars // bucket_chars)), map_bits(chars), least_frequent(frequent, chars)
     heavy = heavy_bits(shingle_counts(df, text_col, size, buckets, frequent), frequent, buckets, bits)
+    sweep(df.sparkSession)
     parts = cut(index(df, id_col, text_col, threshold, size, k, heavy, bits, buckets))
     kind = df.schema[id_col].dataType.simpleString()
     docs = documents_of(parts, kind)
     members = cut(shared_keys(parts, buckets))
+    sweep(df.sparkSession)
     sketches = sketches_of(parts)
     comps, links = None, None
 
@@ -812,6 +814,7 @@ def named_documents(df: DataFrame, id_col: str, text_col: str, threshold: int, s
             links = f if links is None else links.unionByName(f)
         if new or comps is None:
             comps = components(links)
+        sweep(df.sparkSession)
 
     for r in range(rounds):  # each class against its key's leader, another one each round
         left = with_components(members, comps)
