@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fmindex, jaccard, lattice, packing, quality, secrets, toxicity, urls, warc
+from . import chat, fim, fmindex, importance, jaccard, lattice, packing, quality, secrets, simhash, toxicity, urls, warc
 from .common import id_remainder, table
 
 #: A tokenizers file, the same vocabulary as ranks, and its splitting pattern.
@@ -73,6 +73,19 @@ def op10_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_digests(chat.fold_messages(chat.events_of(turns)))
 
 
+def op11_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
+
+
+def op12_sort_count_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_two_pass_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.with_digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.withColumnRenamed("n_units", "n")
+
+
 CONTROL_SQL = "|".join(c.replace("[", r"\[").replace("]", r"\]") for c in (r"\\", *chat.CONTROL))
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
@@ -123,9 +136,41 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(CASE role WHEN 'user' THEN n + 18 WHEN 'assistant' THEN n + 6 WHEN 'system' THEN n + 17
     ELSE n + role_n + 8 + 9 + 9 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_sort_count_resampling": f"""
+WITH RECURSIVE k AS (SELECT i AS i, i AS c, 0 AS r FROM range(256) t(i)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, r + 1 FROM k WHERE r < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM k WHERE r = 8),
+d AS (SELECT doc_id, {PLAIN_SQL} AS w FROM documents),
+f AS (SELECT doc_id, unnest(w) AS w FROM d),
+g AS (SELECT unnest({PLAIN_SQL}) AS w FROM benchmark),
+v AS (SELECT DISTINCT w FROM f UNION SELECT w FROM g),
+y AS (SELECT w, list_transform(range(0, CAST(len(hex(w)) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS BIGINT)) AS y FROM v),
+b AS (SELECT w, xor(list_reduce(y, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b FROM y, tab),
+s AS (SELECT b, count(*) AS s FROM f JOIN b USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM g JOIN b USING (w) GROUP BY b),
+n AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM f) AS s, (SELECT CAST(count(*) AS DOUBLE) FROM g) AS t),
+z AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1.0::DOUBLE) * (n.s + 10000) / ((s.s + 1.0::DOUBLE) * (n.t + 10000)))) AS BIGINT) AS gain FROM n, s LEFT JOIN t USING (b)),
+x AS (SELECT doc_id, sum(gain) AS weight FROM f JOIN b USING (w) JOIN z USING (b) GROUP BY doc_id),
+q AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN x USING (doc_id)),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM q),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM e WHERE n_features >= 20)
+SELECT e.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= able * 10 // 100 THEN rank END AS rank
+FROM e LEFT JOIN r USING (doc_id)""",
+    "op13_two_pass_fill_in_middle": r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+n AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS h2,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+    WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:least(h1, h2)], '') AS p, array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], '') AS m, array_to_string(u[greatest(h1, h2) + 1:], '') AS s FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_secret_links, op3_noisy_or_toxicity, op4_warc_derivatives, op5_sum_of_squares_packing, op6_fm_index_decontamination,
-    op7_lattice_likelihood, op8_host_segmentation, op9_decision_list, op10_event_sourced_chat,
+    op7_lattice_likelihood, op8_host_segmentation, op9_decision_list, op10_event_sourced_chat, op11_anchor_simhash, op12_sort_count_resampling,
+    op13_two_pass_fill_in_middle,
 )}
