@@ -671,4 +671,4 @@ def bootstrap_mean(spark, d):
     return K.bootstrap_ci(read(spark, d, "events"), "value", 1000)
 
 
-from millrace import catalog_tables  # noqa: E402, F401  registers the queries of tables and questions
+from millrace import catalog_methods, catalog_tables  # noqa: E402, F401  register the queries of tables, questions and longer methods

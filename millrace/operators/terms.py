@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.functions import values as V
 
+from . import dictionary as D
+
 Entry = tuple[str, str, str]  # entity, kind, pattern
 
 
@@ -42,24 +44,42 @@ def check_registry(rows: Iterable[Entry]) -> list[str]:
     return found
 
 
-def entities(text: Column, registry: list[Entry]) -> Column:
-    """array<struct<entity,kind>>: an entity counts once a text, whatever patterns hit; one expression, no join."""
-    key = X.fold(F.coalesce(text, F.lit("")))
+#: So many entities are tried one by one in one expression; more go through an automaton. Both give the same rows.
+INLINE = 48
+
+
+def by_entity(registry: list[Entry]) -> dict[tuple[str, str], list[str]]:
+    """Patterns of each (entity, kind) that isn't to be ignored."""
     by: dict[tuple[str, str], list[str]] = {}
     for e, k, p in registry:
         if k != "ignore":
             by.setdefault((e, k), []).append(p)
-    each = [F.when(key.rlike("(?U)" + "|".join(f"(?:{p})" for p in ps)), F.struct(F.lit(e).alias("entity"), F.lit(k).alias("kind"))) for (e, k), ps in by.items()]
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
+    return by
+
+
+def entities(text: Column, registry: list[Entry]) -> Column:
+    """array<struct<entity,kind>>: an entity counts once a text, whatever patterns hit; one expression, no join."""
+    key = X.fold(F.coalesce(text, F.lit("")))
+    each = [F.when(key.rlike("(?U)" + "|".join(f"(?:{p})" for p in ps)), F.struct(F.lit(e).alias("entity"), F.lit(k).alias("kind"))) for (e, k), ps in by_entity(registry).items()]
+    return F.filter(F.array(*each), lambda x: x.isNotNull()) if each else F.array().cast("array<struct<entity:string,kind:string>>")
+
+
+def with_entities(df: DataFrame, text: str, registry: list[Entry], out: str = "__entities") -> DataFrame:
+    """df with the entities of its texts, as ``entities`` gives them, in time that a registry's size hardly touches."""
+    by = by_entity(registry)
+    if len(by) <= INLINE:
+        return df.withColumn(out, entities(F.col(text), registry))
+    keyed = df.withColumn("__key", X.fold(F.coalesce(F.col(text), F.lit(""))))
+    return D.matched(keyed, "__key", list(by.items()), ["entity", "kind"], out).drop("__key")
 
 
 def entity_rows(df: DataFrame, text: str, registry: list[Entry], *keep: str) -> DataFrame:
-    return df.where(F.col(text).isNotNull()).select(*keep, F.inline(entities(F.col(text), registry)))
+    return with_entities(df.where(F.col(text).isNotNull()), text, registry).select(*keep, F.inline("__entities"))
 
 
 def entity_coverage(df: DataFrame, text: str, registry: list[Entry]) -> DataFrame:
-    rows = df.where(F.col(text).isNotNull())
-    return rows.agg(F.count_if(F.size(entities(F.col(text), registry)) > 0).alias("hit"), F.count("*").alias("total"))
+    rows = with_entities(df.where(F.col(text).isNotNull()).select(text), text, registry)
+    return rows.agg(F.count_if(F.size("__entities") > 0).alias("hit"), F.count("*").alias("total"))
 
 
 def coverage_warning(hit: int, total: int, floor: float = V.ENTITY_WARN) -> str | None:
@@ -70,7 +90,7 @@ def coverage_warning(hit: int, total: int, floor: float = V.ENTITY_WARN) -> str
 
 def candidates(df: DataFrame, user: str, text: str, key: str, registry: list[Entry], stop: list[str], min_users: int, top: int) -> DataFrame:
     """Words and adjacent pairs of texts without an entity: occurrences, users, first example."""
-    free = df.where(F.col(text).isNotNull() & (F.size(entities(F.col(text), registry)) == 0))
+    free = with_entities(df.where(F.col(text).isNotNull()), text, registry).where(F.size("__entities") == 0)
     words = F.regexp_extract_all(X.fold(F.col(text)), F.lit(r"(\p{L}+)"), 1)
     good = lambda w: (F.length(w) >= 4) & ~w.isin(stop or [""])
     rows = free.select(user, key, words.alias("w")).withColumn("n", F.size("w"))

@@ -13,8 +13,10 @@ from millrace.functions import values as V
 from millrace.operators import aggregates as A
 from millrace.operators import spine as S
 from millrace.operators import terms as T
+from millrace.plans import cohorts as H
 from millrace.plans import tables as P
-from millrace.sources import contract
+from millrace.plans.cohorts import COHORT_MARK, policy, pooled  # noqa: F401  read from here too
+from millrace.sources import contract, publish
 
 
 @dataclass(frozen=True)
@@ -25,35 +27,6 @@ class Dataset:
     turns: DataFrame | None = None
 
 
-# --- fixed values: how columns may be pooled over questionnaire versions ---------------
-SPLIT = ["nationality_canon", "nationality_clean"]
-V1_ONLY = ["away_duration_canon", "away_duration_order", "would_recommend", "recommendation_text"]
-V2_ONLY = ["no_usefulness_reason", "reason_is_valid", "language", "registration_status", "attempts", "is_returning", "safety_alert", "escalation_status"]
-POOLED = [
-    "user_id", "ts", "instrument_version", "gender_clean", "age_num", "age_flag", "age_range", "age_range_order", "minors", "destination_country",
-    "intends_to_stay", "city_canon", "city_clean", "department", "city_duration_canon", "city_duration_order", "n_questions", "n_msgs_user", "has_text",
-    "first_seen", "registered_at", "is_repeat_asker", "cluster_id", "subcluster_id", "subcluster_name", "session_minutes", "last_message_ts",
-    "usefulness_rating", "rating_num", "discovery_channel", "discovery_other",
-]
-COHORT_MARK = "Migrated From v1"
-
-
-def policy(column: str) -> str:
-    """How a column may be pooled; a column without a policy can't be aggregated."""
-    for name, columns in (("split", SPLIT), ("v1_only", V1_ONLY), ("v2_only", V2_ONLY), ("poolable", POOLED)):
-        if column in columns:
-            return name
-    raise ValueError(f"{column} has no cohort policy: class it before pooling it")
-
-
-def pooled(df: DataFrame, name: str) -> DataFrame:
-    """Rows over which a column may be aggregated: those of the questionnaire that asks it. Raises for one that must be split by cohort."""
-    kind = policy(name)
-    if kind == "split" and "instrument_version" in df.columns:
-        raise ValueError(f"{name} must be split by cohort; group by instrument_version")
-    return df.where(F.col("instrument_version") == kind[:2]) if kind in ("v1_only", "v2_only") else df
-
-
 def cohort(df: DataFrame) -> DataFrame:
     """instrument_version by the mark that migrated rows carry; all v2 without that column."""
     mark = F.col(f"`{COHORT_MARK}`").isNotNull() if COHORT_MARK in df.columns else F.lit(False)
@@ -82,7 +55,7 @@ def load_responses(raw: DataFrame, salt: str, own_words: list[str]) -> DataFrame
         c("Language").alias("language"), c("Minors").alias("minors"), c("Destination_Country").alias("destination_country"),
         c("Registration Status").alias("registration_status"), c("Registration Started").alias("registration_started"),
     )
-    return out.withColumn("record", F.xxhash64(*out.columns))  # a tie-break that plans don't change
+    return H.tagged(out).withColumn("record", F.xxhash64(*out.columns))  # a tie-break that plans don't change
 
 
 def load_meal(raw: DataFrame, salt: str, questions: dict[str, str]) -> DataFrame:
@@ -226,7 +199,23 @@ def build(data: Dataset, labels: DataFrame, tones: DataFrame | None = None, more
         tables |= {"fact_bot_turn_entities": spark.createDataFrame([], "turn_id string, user_id string, entity string, kind string"), "agg_bot_gap_entities": spark.createDataFrame([], "kind string, entity string, n_turns long, n_gap long, pct_gap double")}
     subs = tables.get("dim_subcluster", spark.createDataFrame([], "subcluster_id long, is_split boolean, n_users long"))
     named = T.entity_coverage(messages, "message", more.registry).first() if more.registry else None
-    covered = 100.0 * named.hit / named.total if named and named.total else 100.0 if named is None else 0.0
+    covered = 100.0 * named.hit / named.total if named and named.total else 0.0  # no registry names nothing, and its gate says so
     tables["parity_check"] = P.parity(P.reconciliation(data.responses, messages, data.meal), users, facts, meal, A.least_subcluster(subs), covered)
     tables["meta_run"] = meta_run(spark, **{k: v for k, v in more.facts.items() if k != "checks"}, n_tables=len(tables) + 1)
+    H.check(tables)
     return tables
+
+
+#: What the published tables must keep to, beside holding no personal data.
+GATES = {
+    "parity_check": publish.Gate(rows={"a figure differs from its reconciliation or floor": "match"}),
+    "dim_user": publish.Gate(rows={"a user without id": "user_id is not null"}, unique=("user_id",)),
+    "fact_message": publish.Gate(totals={"messages of users don't add up": "coalesce(sum(if(seq = 0, n_msgs_user, 0)), 0) = count(*)"}, unique=("message_id",)),
+    "fact_meal": publish.Gate(unique=("user_id",)),
+}
+
+
+def write(tables: dict[str, DataFrame], out: str, fmt: str = "parquet", told=None) -> DataFrame:
+    """Publishes all tables or none, each planned and run once: cohorts not pooled, no personal data, parity and quality rules kept. Returns the manifest."""
+    H.check(tables)
+    return publish.write_all(tables, out, fmt=fmt, gates=GATES, told=told)

@@ -1,4 +1,4 @@
-"""Reading workbooks and registries, resolving the newest file of a role, gated writing with a manifest."""
+"""Reading workbooks and registries, resolving the newest file of a role; ``publish`` writes."""
 
 from __future__ import annotations
 
@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.functions import text as X
-from millrace.functions.text import PII
-from millrace.operators.aggregates import pii_scan
 from millrace.operators.terms import check_registry
 from millrace.sources.contract import ContractError
+from millrace.sources.publish import PrivacyError, write_all  # noqa: F401  read from here too
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -187,25 +186,3 @@ def read_bot_log(spark: SparkSession, path: str, salt: str, gap: str, handoff: s
     spark.dataSource.register(Workbook)
     raw = spark.read.format("workbook").option("columns", ",".join(BOT_LOG)).option("path", path).load()
     return bot_log(raw, salt, gap, handoff)
-
-
-class PrivacyError(Exception):
-    """A table to be written holds personal data."""
-
-
-def write_all(tables: dict[str, DataFrame], out: str, skip: list[str] = ("user_id", "message_id", "turn_id", "reply_key"), fmt: str = "parquet") -> DataFrame:
-    """Scans every table, then writes each and a manifest: rows, columns, order-free content hash. Nothing is written if any scan hits."""
-    hits = [f"{name}.{r.field}" for name, df in tables.items() for r in pii_scan(df, PII, list(skip)).where("hit").collect() if any(f.dataType.simpleString() == "string" for f in df.schema)]
-    if hits:
-        raise PrivacyError("personal data in " + ", ".join(sorted(hits)))
-    lines = []
-    for name in sorted(tables):
-        df = tables[name]
-        writer = df.write.mode("overwrite")
-        writer.option("header", True).csv(f"{out}/{name}") if fmt == "csv" else writer.parquet(f"{out}/{name}")
-        again = df.sparkSession.read.parquet(f"{out}/{name}") if fmt == "parquet" else df
-        h = again.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in again.columns]).cast("decimal(38,0)")).alias("h")).first()
-        lines.append((name, h.n, ", ".join(df.columns), str(h.h)))
-    manifest = next(iter(tables.values())).sparkSession.createDataFrame(lines, "table string, rows long, columns string, hash string")
-    manifest.write.mode("overwrite").parquet(f"{out}/_manifest_table")
-    return manifest
