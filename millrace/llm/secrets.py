@@ -4,9 +4,10 @@ Strong parts (an assigned password or key, an AKIA access id, a long hex run) ar
 reported. Weak parts (a named account or client id, an opaque high-entropy string, a service
 endpoint) are reported only where a complementary part lies in the same scope: an identifier
 next to a secret, an endpoint next to a secret that is strong or itself linked. A scope is a
-paragraph (text between blank lines); inside it two parts meet if their intervals, widened by
-``reach`` code points, overlap. The meeting is an interval join by sorted starts and running
-maxima of ends, in O(k log k) for k parts and inside one row: no shuffle, no pairs are made.
+paragraph (text between blank lines), however long: parts are joined to the interval of the
+paragraph that they begin in. A caller may ask for a ``reach`` besides, within which two parts'
+intervals must lie; none is set by default. The meeting is an interval join by sorted starts and
+running maxima of ends, in O(k log k) for k parts and inside one row: no shuffle, no pairs are made.
 
 Null text counts as empty and has no spans; a null id is kept; repeated rows are each scanned.
 Other columns of the input are never read by the scan, so clashing names do no harm.
@@ -76,11 +77,15 @@ def weak_parts(text: str, low: str, strong: list[Span], least_bits: float) -> li
     return out
 
 
+#: Farther than any text is long.
+EVERYWHERE = 1 << 62
+
+
 class Meeting:
-    """Whether any of some intervals comes within reach of another one."""
+    """Whether any of some intervals comes within reach of another one; without a reach, whether there are any."""
 
-    def __init__(self, parts: list[Span], reach: int):
-        self.reach, self.starts, self.tops, most = reach, [], [], -1
+    def __init__(self, parts: list[Span], reach: int | None):
+        self.reach, self.starts, self.tops, most = EVERYWHERE if reach is None else reach, [], [], -1
         for a, b, _ in sorted(parts):
             most = max(most, b)
             self.starts.append(a)
@@ -91,7 +96,7 @@ class Meeting:
         return bool(i) and self.tops[i - 1] > s[0] - self.reach
 
 
-def linked(parts: list[Span], reach: int) -> list[Span]:
+def linked(parts: list[Span], reach: int | None) -> list[Span]:
     """The weak parts of one scope that have a complementary part within reach."""
     ids = Meeting([p for p in parts if p[2] in IDS], reach)
     secrets = Meeting([p for p in parts if p[2] in SECRETS], reach)
@@ -100,7 +105,7 @@ def linked(parts: list[Span], reach: int) -> list[Span]:
     return kept + [p for p in parts if p[2] == "endpoint" and sure.near(p)]
 
 
-def scan(text: str | None, reach: int = 160, least_bits: float = 3.5) -> tuple[list[Span], list[Span]]:
+def scan(text: str | None, reach: int | None = None, least_bits: float = 3.5) -> tuple[list[Span], list[Span]]:
     """The strong spans and all spans of a text, each by start and then kind."""
     if not text:
         return [], []
@@ -134,7 +139,7 @@ def mask(text: str, spans: list[Span], by: str = "[SECRET]") -> str:
 SCAN = "id {id}, n_assign long, n_access long, n_hex long, n_weak long, base_sha256 string, spans string"
 
 
-def link_credentials(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 160, least_bits: float = 3.5) -> DataFrame:
+def link_credentials(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None, least_bits: float = 3.5) -> DataFrame:
     """One row per input row: id, counts by kind, digest of the strong spans, all spans."""
 
     def start():
@@ -155,7 +160,7 @@ def link_credentials(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return arrow_map(df, [id_col, text_col], SCAN.format(id=kind), start).withColumnRenamed("id", id_col)
 
 
-def mask_credentials(df: DataFrame, text_col: str = "text", reach: int = 160, least_bits: float = 3.5, by: str = "[SECRET]") -> DataFrame:
+def mask_credentials(df: DataFrame, text_col: str = "text", reach: int | None = None, least_bits: float = 3.5, by: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with every reported span of the text replaced; null text stays null."""
     names = df.columns
 

@@ -81,31 +81,43 @@ def get(headers: Headers, name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+def length(headers: Headers) -> int | None:
+    """Content-Length, if it is one."""
+    n = get(headers, "Content-Length")
+    return int(n) if n is not None and re.fullmatch("[0-9]{1,18}", n) else None
+
+
 def parse(data: bytes) -> tuple[Headers, bytes]:
-    """Headers and block of one record."""
+    """Headers and block of one record; a ValueError says why it is none."""
     head, _, rest = data.partition(END + END)
     first, headers = parse_headers(head)
     if not first.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {first[:20]!r}")
-    n = get(headers, "Content-Length")
-    if n is None or not n.isdigit():
+    n = length(headers)
+    if n is None:
         raise ValueError("a WARC record without its length")
-    return headers, rest[: int(n)]
+    if len(rest) < n:
+        raise ValueError(f"a WARC record cut short: {len(rest)} of {n} bytes")
+    return headers, rest[:n]
 
 
 def members(data: bytes, size: int = 1 << 16) -> Iterator[bytes]:
-    """The members of a gzipped file, each read once."""
+    """The members of a gzipped file, each read once; from one that is broken on, the bytes as they stand."""
     at = 0
-    while data[at : at + 2] == b"\x1f\x8b":
-        z, out = zlib.decompressobj(31), []
-        while at < len(data) and not z.eof:
-            out.append(z.decompress(data[at : at + size]))
-            at = min(at + size, len(data)) - len(z.unused_data)
+    while at < len(data):
+        z, out, begin = zlib.decompressobj(31), [], at
+        try:
+            while at < len(data) and not z.eof:
+                out.append(z.decompress(data[at : at + size]))
+                at = min(at + size, len(data)) - len(z.unused_data)
+        except zlib.error:
+            yield data[begin:]
+            return
         yield b"".join(out)
 
 
 def records(data: bytes) -> Iterator[bytes]:
-    """The records of a file, gzipped one by one or plain; what follows a header that can't be read is left."""
+    """The records of a file, gzipped one by one or plain; from a header that can't be read on, the rest is given as one."""
     if data[:2] == b"\x1f\x8b":
         yield from members(data)
         return
@@ -113,14 +125,15 @@ def records(data: bytes) -> Iterator[bytes]:
     while True:
         while data[at : at + 1] in (b"\r", b"\n"):
             at += 1
-        end = data.find(END + END, at)
-        if end < 0:
+        if at >= len(data):
             return
-        n = get(parse_headers(data[at:end])[1], "Content-Length")
-        if n is None or not n.isdigit():
+        end = data.find(END + END, at)
+        n = length(parse_headers(data[at:end])[1]) if end >= 0 else None
+        if n is None:
+            yield data[at:]
             return
-        yield data[at : end + 4 + int(n)]
-        at = end + 4 + int(n)
+        yield data[at : end + 4 + n]
+        at = end + 4 + n
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -236,17 +249,23 @@ def gathered(headers: Headers) -> dict[str, str | list[str]]:
     return out
 
 
+CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
+
+
 def unchunked(body: bytes) -> bytes:
+    """The chunks' content; a ValueError where a size isn't a hexadecimal number or more than what is left."""
     out, at = [], 0
     while True:
-        end = body.find(END, at)
-        if end < 0:
+        size = CHUNK.match(body, at)
+        if not size:
             raise ValueError("no chunk size")
-        n = int(body[at:end].split(b";")[0], 16)
+        n, at = int(size[1], 16), size.end()
         if n == 0:
             return b"".join(out)
-        out.append(body[end + 2 : end + 2 + n])
-        at = end + 2 + n + 2
+        if at + n > len(body):
+            raise ValueError("a chunk cut short")
+        out.append(body[at : at + n])
+        at += n + 2
 
 
 def entity(payload: bytes, headers: Headers) -> bytes:
@@ -269,6 +288,10 @@ def entity(payload: bytes, headers: Headers) -> bytes:
     return payload
 
 
+#: Names that decoders have, but that no page is written in.
+NO_CHARSET = ("idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape")
+
+
 def derive(data: bytes) -> list[tuple[str, Headers, bytes]]:
     """(type, headers, block) of the metadata and conversion records of a response; none for other records."""
     headers, block = parse(data)
@@ -279,8 +302,8 @@ def derive(data: bytes) -> list[tuple[str, Headers, bytes]]:
     charset = CHARSET.search(get(http_headers, "Content-Type") or "")
     body = entity(payload, http_headers)
     try:
-        markup = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
+        markup = body.decode(charset[1] if charset and charset[1].lower() not in NO_CHARSET else "utf-8", "replace")
+    except (LookupError, ValueError):  # no name of a charset, or one whose decoder fails whatever it is told
         markup = body.decode("utf-8", "replace")
     page = read_page(markup)
     source, target, date = get(headers, "WARC-Record-ID") or "", get(headers, "WARC-Target-URI"), get(headers, "WARC-Date") or ""
@@ -318,19 +341,27 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return arrow_map(pages, [id_col, url_col, html_col], f"id {pages.schema[id_col].dataType.simpleString()}, record binary", start).withColumnRenamed("id", id_col)
 
 
-COLUMNS = "id {id}, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, source_digest string, block_digest string, record binary"
+COLUMNS = "id {id}, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, source_digest string, block_digest string, record binary, error string"
+
+
+def derived_rows(key, data: bytes | None) -> list[tuple]:
+    """Rows of COLUMNS of one record."""
+    try:
+        made = derive(data) if data is not None else []
+    except ValueError as e:
+        return [(key, "error", *[None] * 8, str(e))]
+    return [(key, kind, get(h, "WARC-Record-ID"), get(h, "WARC-Refers-To"), get(h, "WARC-Target-URI"), get(h, "Content-Type"), len(body), get(h, "WARC-Source-Payload-Digest"), get(h, "WARC-Block-Digest"), write(h, body), None) for kind, h, body in made]
 
 
 def derivatives(source: DataFrame, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
-    """Two rows a response: the derivative's headers as columns, and its bytes."""
+    """Two rows a response: the derivative's headers as columns, and its bytes. A record that can't be read gives one row of type error, which says why; null gives none."""
 
     def start():
         def step(ids, data):
             for i in range(0, len(ids or ()), 500):
-                rows: dict[str, list] = {k: [] for k in ("id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "source_digest", "block_digest", "record")}
+                rows: dict[str, list] = {k: [] for k in ("id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "source_digest", "block_digest", "record", "error")}
                 for k, d in zip(ids[i : i + 500], data[i : i + 500], strict=True):
-                    for kind, h, body in derive(d) if d is not None else ():
-                        row = (k, kind, get(h, "WARC-Record-ID"), get(h, "WARC-Refers-To"), get(h, "WARC-Target-URI"), get(h, "Content-Type"), len(body), get(h, "WARC-Source-Payload-Digest"), get(h, "WARC-Block-Digest"), write(h, body))
+                    for row in derived_rows(k, d):
                         for c, v in zip(rows.values(), row, strict=True):
                             c.append(v)
                 yield rows
