@@ -51,7 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more; they would stay until the driver happens to collect its garbage."""
+    """Lets Spark delete the shuffle files that nothing refers to any more; they would stay until the driver happens to collect its garbage.
+
+    Checkpoints go with them only where the session was started with
+    spark.cleaner.referenceTracking.cleanCheckpoints=true, which can't be set later; else they stay
+    in the shared folder until it is emptied.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

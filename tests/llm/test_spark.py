@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -327,7 +328,10 @@ def test_pipeline(spark, tmp_path):
         sizes.append(out.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     kept = {r.doc_id for r in out.select("doc_id").collect()}
-    assert {r.doc_id for r in P.run(spark, src).select("doc_id").distinct().collect()} == kept
+    done = P.run(spark, src)
+    assert {r.doc_id for r in done.select("doc_id").distinct().collect()} == kept
+    root = pathlib.Path(done.inputFiles()[0].removeprefix("file:")).parents[1]
+    assert [p.name for p in root.iterdir()] == ["4"]  # what the other stages kept is gone
 
 
 def test_pipeline_by_brute_force(spark, tmp_path):
