@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.llm import fmindex, jaccard, packing, quality, secrets
 from millrace.llm.common import checkpoint_folder, table
 from millrace.llm.queries import TOKENIZER
+from millrace.sources.publish import Folders
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each stage keeps is a table in the shared folder."""
+    """All stages over documents; what each stage keeps is a table in the shared folder, deleted once the next one is written. The last one's stays, since the result reads it."""
     out = table(spark, sf_dir, "documents")
     root = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folders = Folders(spark, root)
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, out, sf_dir)
         out.write.parquet(f"{root}/{k}")
         out = spark.read.parquet(f"{root}/{k}")
+        if k:
+            folders.delete(f"{root}/{k - 1}")
     return out

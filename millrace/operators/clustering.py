@@ -18,7 +18,7 @@ from millrace.functions import values as V
 from millrace.workers import importable
 
 from . import aggregates as A
-from . import spread
+from . import resample, spread
 
 SMALL, STARTS = 20_000, 10
 
@@ -219,27 +219,8 @@ def project(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def bootstrap_ci(df: DataFrame, value: str, boots: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """(mean, lo, hi) by the percentile bootstrap. Rows of equal value get one Poisson weight a replicate,
-    drawn by the value, so no row is shuffled and the interval doesn't depend on how rows are dealt."""
-    from pandas import DataFrame as P
-
-    importable(df.sparkSession)
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    grouped = rows.groupBy("v").agg(F.count("*").alias("k"), F.xxhash64(F.first("v")).alias("at"))
-
-    def run(frames):
-        s, n = np.zeros(boots), np.zeros(boots)
-        for f in frames:
-            for v, k, at in zip(f["v"], f["k"], f["at"], strict=True):
-                w = np.random.Generator(np.random.Philox(key=[seed, at & (1 << 64) - 1])).poisson(k, boots)
-                s += v * w
-                n += w
-        yield P({"boot": np.arange(boots), "s": s, "n": n})
-
-    means = grouped.mapInPandas(run, "boot int, s double, n double").groupBy("boot").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
-    tail = (1 - level) / 2
-    ci = means.agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"))
-    return rows.agg(F.avg("v").alias("mean")).join(F.broadcast(ci))
+    """(mean, lo, hi) by the percentile bootstrap; see ``resample`` for other statistics."""
+    return resample.interval(df, value, resample.Mean(), boots, level, seed).withColumnRenamed("point", "mean")
 
 
 def is_flat(silhouettes: list[float], within: float = 0.05) -> bool:

@@ -1,11 +1,12 @@
-"""Python workers find the library where the driver has it."""
+"""Python workers find the library where the driver has it; frames are cut off their lineage in the shared folder."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -16,3 +17,15 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to spark.checkpoint.dir and read from there; only a local session that sets none, as in tests, gets a temporary folder."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith(("local[", "local,")) and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint(eager=True)

@@ -76,7 +76,7 @@ def test_automaton_equals_every_pattern(spark, named, monkeypatch):
 def test_time_hardly_grows_with_the_registry(spark, named, monkeypatch):
     registry, frame = named
     monkeypatch.setattr(T, "INLINE", 0)
-    many = frame.crossJoin(spark.range(40)).select("id", "text").repartition(4).cache()
+    many = frame.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).select("id", "text").repartition(4).cache()
     many.count()
     took = {}
     for n in (100, 100, 2000):

@@ -136,23 +136,26 @@ def star(spark, n=90):
     return gold.build(gold.Dataset(responses, messages, meal, turns), labels, tones, more)
 
 
-def test_the_star_schema_is_published(spark, tmp_path):
-    tables = star(spark)
+@pytest.fixture(scope="module")
+def tables(spark):
+    return star(spark)
+
+
+def test_the_star_schema_is_published(spark, tmp_path, tables):
     assert len(tables) == 32
     manifest = {r.table: r for r in gold.write(tables, str(tmp_path / "gold")).collect()}
     assert manifest.keys() == tables.keys() and names(tmp_path) == ["gold"] and len(names(tmp_path / "gold")) == 33
     assert manifest["dim_user"].rows == 90 and manifest["fact_message"].rows == 180
-    doubled = {**tables, "fact_message": tables["fact_message"].unionByName(tables["fact_message"].limit(1))}
-    with pytest.raises(publish.QualityError, match="message_id stands in several rows"):
-        gold.write(doubled, str(tmp_path / "gold"))
-    pooled = {**tables, "by_nation": tables["dim_user"].groupBy("nationality_canon").count()}
-    with pytest.raises(cohorts.CohortError, match="by_nation: nationality_canon"):
-        gold.write(pooled, str(tmp_path / "gold"))
-    assert spark.read.parquet(str(tmp_path / "gold/fact_message")).count() == 180
-
-
-def test_without_a_registry_the_gate_says_so(spark, tmp_path):
-    few = star(spark, 8)
-    with pytest.raises(publish.QualityError, match="parity_check"):
-        gold.write(few, str(tmp_path / "gold"))
-    assert names(tmp_path) == []
+
+
+def test_star_gates_keep_the_old_output(spark, tmp_path, tables):
+    out = str(tmp_path / "gold")
+    few = {k: tables[k] for k in ("fact_message", "fact_meal")}
+    gold.write(few, out)
+    doubled = tables["fact_message"].unionByName(tables["fact_message"].limit(1))
+    low = spark.createDataFrame([("entity_coverage_pct", 0.0, 20.0, False)], "metric string, exported_value double, reconciliation_value double, match boolean")
+    pooled = tables["dim_user"].groupBy("nationality_canon").count()
+    for more, error, said in (({"fact_message": doubled}, publish.QualityError, "message_id stands in several rows"), ({"parity_check": low}, publish.QualityError, "parity_check"), ({"by_nation": pooled}, cohorts.CohortError, "by_nation: nationality_canon")):
+        with pytest.raises(error, match=said):
+            gold.write(few | more, out)
+    assert names(tmp_path) == ["gold"] and spark.read.parquet(f"{out}/fact_message").count() == 180
