@@ -1,8 +1,7 @@
 """Segments: k-means with restarts, stability, choice of k, naming, two-dimensional view.
 
-Up to SMALL rows the vectors are fitted by numpy inside tasks, one task a (k, resample) pair,
-since a fit there takes milliseconds; beyond it ``spread`` fits over the whole cluster, with as
-many starts and steps.
+Fits of any number of rows go through ``spread``, whose steps are passes over the partitions; the
+children of one parent are fitted by numpy in one task each.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from millrace.workers import importable
 from . import aggregates as A
 from . import resample, spread
 
-SMALL, STARTS = 20_000, 10
+STARTS = 10
 
 
 def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -52,91 +51,19 @@ def best_fit(x: np.ndarray, k: int, seed: int = 0, starts: int = STARTS) -> tupl
     return min((lloyd(x, k, seed + s) for s in range(starts)), key=lambda f: f[2])
 
 
-def silhouette(x: np.ndarray, label: np.ndarray, block: int = 512) -> float:
-    """Over all rows, a block of them at a time, so that no distance matrix of all pairs is held."""
-    ks, own = np.unique(label, return_inverse=True)
-    if len(ks) < 2:
-        return 0.0
-    of = (own[:, None] == np.arange(len(ks))).astype(x.dtype)
-    size, norm, score = of.sum(0), (x**2).sum(1), 0.0
-    for at in range(0, len(x), block):
-        rows = slice(at, at + block)
-        sums = np.sqrt(np.maximum(norm[rows, None] - 2 * x[rows] @ x.T + norm, 0)) @ of
-        here, i = own[rows], np.arange(len(sums))
-        other = sums / size
-        other[i, here] = np.inf
-        p, q = sums[i, here] / np.maximum(size[here] - 1, 1), other.min(1)
-        most = np.maximum(p, q)
-        score += np.where((size[here] > 1) & (most > 0), (q - p) / np.where(most > 0, most, 1), 0).sum()
-    return float(score / len(x))
-
-
-def davies_bouldin(x: np.ndarray, label: np.ndarray) -> float:
-    ks = np.unique(label)
-    c = np.stack([x[label == j].mean(0) for j in ks])
-    s = np.array([np.sqrt(((x[label == j] - c[i]) ** 2).sum(1)).mean() for i, j in enumerate(ks)])
-    m = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1))
-    r = (s[:, None] + s[None]) / np.where(m > 0, m, np.inf)
-    return float(r.max(1).mean()) if len(ks) > 1 else 0.0
-
-
-def matrix(df: DataFrame, key: str, vec: str) -> tuple[list, np.ndarray]:
-    """Keys in order and their vectors; only for frames whose size was checked."""
-    rows = df.select(key, vec).orderBy(key).collect()
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-
-
 def kmeans(df: DataFrame, key: str, vec: str, k: int, seed: int = 0) -> DataFrame:
     """(key, cluster_id) with clusters numbered by size, ties by their least key."""
-    if df.count() <= SMALL:
-        ids, x = matrix(df, key, vec)
-        label = best_fit(x, k, seed)[0].tolist() if ids else []
-        kind = df.schema[key].dataType.simpleString()
-        got = df.sparkSession.createDataFrame(list(zip(ids, label, strict=True)), f"{key} {kind}, c int")
-    else:
-        got = spread.labels(df, key, vec, k, STARTS, seed)
+    got = spread.labels(df, key, vec, k, STARTS, seed)
     size = got.groupBy("c").agg(F.count("*").alias("n"), F.min(key).alias("least"))
     rank = size.withColumn("cluster_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "least")) - 1)
     return got.join(F.broadcast(rank.select("c", "cluster_id")), "c").select(key, "cluster_id")
 
 
 def k_scan(df: DataFrame, key: str, vec: str, ks: Iterable[int], boots: int = 20, share: float = 0.8, seed: int = 0) -> DataFrame:
-    """One row a k: silhouette, Davies-Bouldin, mean and spread of pairwise ARI of subsample fits."""
+    """One row a k: silhouette of squared distances, Davies-Bouldin, mean and spread of pairwise ARI of subsample fits; null figures without rows."""
     spark, ks = df.sparkSession, list(ks)
-    importable(spark)
-    out = "k int, silhouette double, davies_bouldin double, ari_mean double, ari_std double, n_pairs long"
-    if df.count() > SMALL:
-        return spark.createDataFrame(spread.scan(df, key, vec, ks, boots, share, STARTS, seed), out)
-    shared = spark.sparkContext.broadcast(matrix(df, key, vec)[1])
-    jobs = spark.createDataFrame([(k, b) for k in ks for b in range(-1, boots)], "k int, boot int")
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            for k, b in f.itertuples(index=False):
-                x = shared.value
-                if b < 0:
-                    label = best_fit(x, k, seed)[0]
-                    yield pd.DataFrame({"k": [k], "boot": [b], "label": [None], "silhouette": [silhouette(x, label)], "davies_bouldin": [davies_bouldin(x, label)]})
-                    continue
-                at = np.random.default_rng([seed, k, b]).choice(len(x), int(share * len(x)), replace=False)
-                label = np.full(len(x), -1, np.int16)
-                label[at] = best_fit(x[at], k, seed)[0]
-                yield pd.DataFrame({"k": [k], "boot": [b], "label": [label.tobytes()], "silhouette": [np.nan], "davies_bouldin": [np.nan]})
-
-    def one(f):
-        from itertools import combinations
-
-        import pandas as pd
-
-        full = f[f["boot"] < 0].iloc[0]
-        fits = [np.frombuffer(v, np.int16) for v in f[f["boot"] >= 0].sort_values("boot")["label"]]
-        aris = [ari(a, b) for a, b in combinations(fits, 2)]
-        return pd.DataFrame({"k": [full.k], "silhouette": [full.silhouette], "davies_bouldin": [full.davies_bouldin], "ari_mean": [np.mean(aris) if aris else None], "ari_std": [np.std(aris) if aris else None], "n_pairs": [len(aris) or None]})
-
-    fits = jobs.repartition(len(ks) * 4, "k", "boot").mapInPandas(run, "k int, boot int, label binary, silhouette double, davies_bouldin double")
-    return fits.groupBy("k").applyInPandas(one, out)
+    rows = spread.scan(df, key, vec, ks, boots, share, STARTS, seed) if not df.isEmpty() else [(k, *[None] * 5) for k in ks]
+    return spark.createDataFrame(rows, "k int, silhouette double, davies_bouldin double, ari_mean double, ari_std double, n_pairs long")
 
 
 def choose_k(scan: DataFrame, gate: float = 0.6, margin: float = 1.0) -> int:

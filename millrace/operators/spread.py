@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from millrace.workers import importable
 
 BLOCK, SEEDS, STEPS, FULL = 2048, 2000, 100, -1
-#: Centres that move in one pass, and partitions whose sums the driver adds itself.
-CENTRES, DIRECT = 4000, 64
+#: Centres that are compared at once and that move in one pass, and partitions whose sums the driver adds itself.
+CENTRES, PASS, DIRECT = 4000, 16_000, 64
 
 
 def blocks(df: DataFrame, key: str, vec: str) -> tuple[RDD, np.ndarray, np.ndarray]:
@@ -105,6 +105,19 @@ def batches(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
+def passes(groups: list[list[tuple[int, int, int]]]) -> list[list[list[tuple[int, int, int]]]]:
+    """Batches of PASS centres at most, each a pass over the rows."""
+    out, held = [], PASS
+    for g in groups:
+        n = len(g) * g[0][0]
+        if held + n > PASS:
+            out.append([])
+            held = 0
+        out[-1].append(g)
+        held += n
+    return out
+
+
 def fit(made: RDD, first: np.ndarray, jobs: list[tuple[int, int]], starts: int, seed: int, share: float) -> dict[tuple[int, int], np.ndarray]:
     """The centres of least inertia of each (k, resample)."""
     from .clustering import plus_plus
@@ -131,15 +144,15 @@ def fit(made: RDD, first: np.ndarray, jobs: list[tuple[int, int]], starts: int,
 
     for _ in range(STEPS):
         left = []
-        for g in batches(runs):
-            shared = (g[0][0], np.array([r[1] for r in g]), np.stack([now[r] for r in g], 1).astype(np.float32))
-            [(sums, n, inertia)] = total(made, step, [shared])
-            for i, r in enumerate(g):
-                cost[r] = inertia[i]
-                new = np.where(n[:, i, None] > 0, sums[:, i] / np.maximum(n[:, i, None], 1), now[r])
-                if np.abs(new - now[r]).max() > still:
-                    left.append(r)
-                now[r] = new
+        for groups in passes(batches(runs)):
+            shared = [(g[0][0], np.array([r[1] for r in g]), np.stack([now[r] for r in g], 1).astype(np.float32)) for g in groups]
+            for g, (sums, n, inertia) in zip(groups, total(made, step, shared), strict=True):
+                for i, r in enumerate(g):
+                    cost[r] = inertia[i]
+                    new = np.where(n[:, i, None] > 0, sums[:, i] / np.maximum(n[:, i, None], 1), now[r])
+                    if np.abs(new - now[r]).max() > still:
+                        left.append(r)
+                    now[r] = new
         if not left:
             break
         runs = left
@@ -147,7 +160,11 @@ def fit(made: RDD, first: np.ndarray, jobs: list[tuple[int, int]], starts: int,
 
 
 def scan(df: DataFrame, key: str, vec: str, ks: list[int], boots: int, share: float, starts: int, seed: int) -> list[tuple]:
-    """Rows (k, silhouette, davies_bouldin, ari_mean, ari_std, n_pairs); the silhouette is exact, its pairs of blocks pass through tasks one by one."""
+    """Rows (k, silhouette, davies_bouldin, ari_mean, ari_std, n_pairs).
+
+    The silhouette is that of squared distances: a row's mean squared distance to a cluster follows
+    from the cluster's size, sum and sum of squares, so it takes one pass and no pairs of rows.
+    """
     from .clustering import ari_of
 
     made, first, _ = blocks(df, key, vec)
@@ -159,65 +176,54 @@ def scan(df: DataFrame, key: str, vec: str, ks: list[int], boots: int, share: fl
         for k, c in shared:
             label, _ = nearest(x, c)
             of = one_hot(label, k, inside(h, seed, k, np.arange(FULL, boots), share))
-            flat = of[:, :, 1:].reshape(len(x), -1)
-            out.append(((flat.T @ flat).astype(np.float64), of[:, :, 0].sum(0, dtype=np.float64), of[:, :, 0].T.astype(np.float64) @ x))
+            flat, full = of[:, :, 1:].reshape(len(x), -1), of[:, :, 0].astype(np.float64)
+            out.append(((flat.T @ flat).astype(np.float64), full.sum(0), full.T @ x, full.T @ (x.astype(np.float64) ** 2).sum(1)))
         return out
 
     sums = [total(made, tables, [(k, np.stack([best[k, b] for b in range(FULL, boots)], 1).astype(np.float32))])[0] for k in ks]
-    centres = [best[k, FULL][:, None].astype(np.float32) for k in ks]
-    size = [n for _, n, _ in sums]
-    mean = [s / np.maximum(n, 1)[:, None] for _, n, s in sums]
+    facts = [(best[k, FULL][:, None].astype(np.float32), n, s, q) for k, (_, n, s, q) in zip(ks, sums, strict=True)]
 
     def spreads(block, shared):
         _, x, _ = block
-        out = []
-        for c, m in zip(*shared, strict=True):
-            label = nearest(x, c)[0][:, 0]
-            out.append((np.bincount(label, np.sqrt(((x - m[label]) ** 2).sum(1)), len(m)),))
-        return out
+        x64 = x.astype(np.float64)
+        norm = (x64**2).sum(1)
+        return [spread_of(x64, norm, nearest(x, c)[0][:, 0], n, s, q) for c, n, s, q in shared]
 
-    spread = total(made, spreads, (centres, mean))
-    sent = made.context.broadcast((centres, size))
-
-    def pairs(it):
-        cs, ns = sent.value
-        held = {}
-        for (a, x, _), (_, y, _) in it:
-            x, y = x.astype(np.float64), y.astype(np.float64)
-            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0))
-            s = d @ np.hstack([one_hot(nearest(y.astype(np.float32), c)[0], len(c))[:, :, 0] for c in cs]).astype(np.float64)
-            held[a] = (x, held[a][1] + s) if a in held else (x, s)
-        out, at = np.zeros(len(cs)), np.cumsum([0, *map(len, cs)])
-        for x, s in held.values():
-            for i, (c, n) in enumerate(zip(cs, ns, strict=True)):
-                if (n > 0).sum() < 2:
-                    continue
-                own = nearest(x.astype(np.float32), c)[0][:, 0]
-                rows, t = np.arange(len(x)), s[:, at[i] : at[i + 1]]
-                near = np.where(n > 0, t / np.maximum(n, 1), np.inf)
-                near[rows, own] = np.inf
-                p, q = t[rows, own] / np.maximum(n[own] - 1, 1), near.min(1)
-                out[i] += np.where((n[own] > 1) & (np.maximum(p, q) > 0), (q - p) / np.maximum(np.maximum(p, q), 1e-300), 0).sum()
-        return [out]
-
-    score = made.cartesian(made.coalesce(1)).mapPartitions(pairs).treeReduce(lambda a, b: a + b)
-    sent.destroy()
+    spread = total(made, spreads, facts)
     made.unpersist()
     out = []
     for i, k in enumerate(ks):
-        m = sums[i][0].reshape(k, boots, k, boots)
+        m, size, centre = sums[i][0].reshape(k, boots, k, boots), sums[i][1], sums[i][2]
         aris = [ari_of(m[:, a, :, b]) for a, b in combinations(range(boots), 2)]
-        used = size[i] > 0
-        s, c = spread[i][0][used] / size[i][used], mean[i][used]
+        used = size > 0
+        s, c = spread[i][0][used] / size[used], centre[used] / size[used][:, None]
         apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1))
         r = (s[:, None] + s[None]) / np.where(apart > 0, apart, np.inf)
         bouldin = float(r.max(1).mean()) if used.sum() > 1 else 0.0
-        out.append((k, float(score[i] / size[i].sum()), bouldin, float(np.mean(aris)) if aris else None, float(np.std(aris)) if aris else None, len(aris) or None))
+        out.append((k, float(spread[i][1] / size.sum()), bouldin, float(np.mean(aris)) if aris else None, float(np.std(aris)) if aris else None, len(aris) or None))
     return out
 
 
+def spread_of(x: np.ndarray, norm: np.ndarray, label: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
+    """(sums of distances to the own cluster's mean by cluster, sum of silhouettes) of rows; n, s, q: sizes, sums and sums of squares of the clusters."""
+    rows, used = np.arange(len(x)), np.maximum(n, 1)
+    far = np.maximum(norm[:, None] - 2 * x @ (s / used[:, None]).T + q / used, 0)
+    own = far[rows, label] * n[label] / np.maximum(n[label] - 1, 1)
+    far[:, n == 0] = np.inf
+    far[rows, label] = np.inf
+    other = far.min(1)
+    most = np.maximum(own, other)
+    fine = (n[label] > 1) & (most > 0) & np.isfinite(other)
+    score = float(((other - own)[fine] / most[fine]).sum())
+    away = np.sqrt(((x - (s / used[:, None])[label]) ** 2).sum(1))
+    return np.bincount(label, away, len(n)), score
+
+
 def labels(df: DataFrame, key: str, vec: str, k: int, starts: int, seed: int) -> DataFrame:
-    """(key, c) of the best of the starts."""
+    """(key, c) of the best of the starts; no rows give none."""
+    kind = df.schema[key].dataType.simpleString()
+    if df.isEmpty():
+        return df.sparkSession.createDataFrame([], f"`{key}` {kind}, c int")
     made, first, middle = blocks(df, key, vec)
     c = fit(made, first, [(k, FULL)], starts, seed, 1.0)[k, FULL][:, None]
     made.unpersist()
@@ -228,5 +234,4 @@ def labels(df: DataFrame, key: str, vec: str, k: int, starts: int, seed: int) ->
                 x = np.array(f["v"].tolist(), dtype=np.float64) - middle
                 yield f[[key]].assign(c=nearest(x, c)[0][:, 0].astype(np.int32))
 
-    kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(vec).cast("array<double>").alias("v")).mapInPandas(run, f"{key} {kind}, c int")

@@ -39,16 +39,43 @@ def test_resamples_of_subclusters_and_bootstrap(spark, tmp_path, monkeypatch):
     assert asked == {"subclusters": 20, "bootstrap": 1000}
 
 
-def test_large_tables_are_scanned_with_the_same_fits(spark, monkeypatch):
+def test_fits_are_alike_for_any_partitioning(spark):
+    """One path for all sizes: the same labels and figures however rows are dealt; the silhouette by brute force."""
     rng = np.random.default_rng(3)
-    x = np.vstack([rng.normal(c, 0.6, (80, 3)) for c in ((0, 0, 0), (3, 3, 3), (0, 4, 0))])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>").repartition(3)
-    small = {r.k: r for r in K.k_scan(df, "k", "v", [2, 3], boots=5).collect()}
-    near = [r.cluster_id for r in K.kmeans(df, "k", "v", 3).orderBy("k").collect()]
-    monkeypatch.setattr(K, "SMALL", 50)
-    large = {r.k: r for r in K.k_scan(df, "k", "v", [2, 3], boots=5).collect()}
-    assert sorted(large) == [2, 3] and {r.n_pairs for r in large.values()} == {10}
-    for k in (2, 3):
-        assert abs(large[k].silhouette - small[k].silhouette) < 1e-4 and abs(large[k].davies_bouldin - small[k].davies_bouldin) < 1e-4
-    assert large[3].ari_mean > 0.9 and abs(large[3].ari_mean - small[3].ari_mean) < 0.05
-    assert near == [r.cluster_id for r in K.kmeans(df, "k", "v", 3).orderBy("k").collect()]
+    x = np.vstack([rng.normal(c, 0.9, (80, 3)) for c in ((0, 0, 0), (3, 3, 3), (0, 4, 0))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    made = [(df.repartition(n), n) for n in (1, 5)]
+    labels = [[r.cluster_id for r in K.kmeans(f, "k", "v", 4).orderBy("k").collect()] for f, _ in made]
+    assert labels[0] == labels[1] and set(labels[0]) == {0, 1, 2, 3}
+    scans = [{r.k: r for r in K.k_scan(f, "k", "v", [3, 4], boots=5).collect()} for f, _ in made]
+    for k in (3, 4):
+        a, b = scans[0][k], scans[1][k]
+        assert np.allclose([a.silhouette, a.davies_bouldin, a.ari_mean, a.ari_std], [b.silhouette, b.davies_bouldin, b.ari_mean, b.ari_std], atol=1e-5) and a.n_pairs == 10
+    far = ((x[:, None] - x[None]) ** 2).sum(-1)
+    own = np.array(labels[0])
+    scores = []
+    for i, c in enumerate(own):
+        inside = far[i, (own == c) & (np.arange(len(x)) != i)].mean()
+        other = min(far[i, own == o].mean() for o in set(own.tolist()) - {c})
+        scores.append((other - inside) / max(other, inside))
+    assert abs(scans[0][4].silhouette - np.mean(scores)) < 1e-4
+
+
+def test_empty_and_tiny_tables(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [5.0, 2.0])], "k long, v array<double>")
+    assert K.kmeans(df.limit(0), "k", "v", 3).count() == 0
+    assert [tuple(r) for r in K.k_scan(df.limit(0), "k", "v", [2]).collect()] == [(2, None, None, None, None, None)]
+    got = {r.k: r.cluster_id for r in K.kmeans(df, "k", "v", 5).collect()}  # fewer distinct rows than clusters
+    assert got[1] == got[2] != got[3]
+    assert K.k_scan(df, "k", "v", [2], boots=2).first().silhouette > 0.5
+
+
+def test_labels_beyond_the_rows_that_seed(spark, monkeypatch):
+    """More rows than first centres are drawn from: the same blobs as with fewer."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.3, (10_100, 2)) for c in ((0, 0), (4, 4))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "k long, v array<double>")
+    own = np.array([r.cluster_id for r in K.kmeans(df, "k", "v", 2).orderBy("k").collect()])
+    assert len(set(own[:10_100])) == len(set(own[10_100:])) == 1 and own[0] != own[-1]
+    few = {r.k: r.cluster_id for r in K.kmeans(df.where("k % 3 = 0"), "k", "v", 2).collect()}
+    assert K.ari(own[::3], np.array([few[k] for k in sorted(few)])) == 1
