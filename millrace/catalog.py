@@ -219,6 +219,9 @@ def cramers_v(spark, d):
     return A.association(read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id"), "lang", "quality")
 
 
+#: Frequent words of the test texts besides those that never are a candidate.
+STOP_WORDS = X.stop_terms(["that"], ["tion", "with", "para"])
+STOPPED = ", ".join(map(q, STOP_WORDS))
 REGISTRY = [("The", "institution", r"\bthe\b"), ("And", "institution", r"\band\b"), ("And", "institution", r"\bor\b"), ("Thing", "procedure", "thing"), ("Tion", "procedure", r"tion\w*\b"), ("Of", "procedure", r"\bof\b"), ("skip", "ignore", "")]
 ENTITY = " UNION ALL ".join(f"SELECT {q(e)} AS entity, {q(k)} AS kind, {q('|'.join(f'(?:{p})' for x, _, p in REGISTRY if x == e))} AS p" for e, k in dict((e, k) for e, k, _ in REGISTRY if k != "ignore").items())
 HITS = f"{SPINE}, e AS ({ENTITY}), x AS (SELECT user_id, message_id, entity, kind FROM m JOIN e ON regexp_matches({fold_sql('message')}, p))"
@@ -240,11 +243,11 @@ def entity_coverage(spark, d):
 
 
 @query(rf"""WITH {SPINE}, w AS (SELECT user_id, message_id, regexp_extract_all({fold_sql('message')}, '[\p{{L}}]+') AS w FROM m WHERE NOT regexp_matches({fold_sql('message')}, '\bthe\b')),
-t AS (SELECT user_id, message_id, unnest(list_filter(w, lambda x: length(x) >= 4)) AS term FROM w
-  UNION ALL SELECT user_id, message_id, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w) WHERE length(w[i]) >= 4 AND length(w[i + 1]) >= 4)
+t AS (SELECT user_id, message_id, unnest(list_filter(w, lambda x: length(x) >= 4 AND x NOT IN ({STOPPED}))) AS term FROM w
+  UNION ALL SELECT user_id, message_id, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w) WHERE length(w[i]) >= 4 AND length(w[i + 1]) >= 4 AND w[i] NOT IN ({STOPPED}) AND w[i + 1] NOT IN ({STOPPED}))
 SELECT term, count(*) AS n_msgs, count(DISTINCT user_id) AS n_users, min(message_id) AS example FROM t GROUP BY term HAVING count(DISTINCT user_id) >= 4 ORDER BY n_users DESC, term LIMIT 40""")
 def entity_candidates(spark, d):
-    return T.candidates(spine_of(spark, d), "user_id", "message", "message_id", REGISTRY[:1], [], 4, 40)
+    return T.candidates(spine_of(spark, d), "user_id", "message", "message_id", REGISTRY[:1], STOP_WORDS, 4, 40)
 
 
 PROBES = {"need": r"\b(?:need|the)\b", "tion": r"tion\b", "was": r"\bwas\b", "none": r"\bzzz\b"}

@@ -22,8 +22,9 @@ def words_of_tests(spark, d) -> list[T.Entry]:
     return [(r.w, "institution" if len(r.w) % 2 == 0 else "procedure", rf"\b{r.w}(?:s|es)?\b") for r in sorted(words)]
 
 
-NAMED = rf"""{SPINE}, w AS (SELECT DISTINCT unnest(regexp_extract_all({fold_sql('text')}, '{WORD}')) AS w FROM benchmark),
-x AS (SELECT user_id, message_id, w AS entity, CASE WHEN length(w) % 2 = 0 THEN 'institution' ELSE 'procedure' END AS kind FROM m JOIN w ON regexp_matches({fold_sql('message')}, '(?:^|[^\p{{L}}\p{{N}}_])' || w || '(?:s|es)?(?:[^\p{{L}}\p{{N}}_]|$)'))"""
+NAMED = rf"""{SPINE}, w AS (SELECT DISTINCT unnest(regexp_extract_all({fold_sql('text')}, '{WORD}')) AS w FROM benchmark), f AS (SELECT w, unnest([w, w || 's', w || 'es']) AS f FROM w),
+t AS (SELECT user_id, message_id, unnest(regexp_extract_all({fold_sql('message')}, '[\p{{L}}\p{{N}}_]+')) AS f FROM m),
+x AS (SELECT DISTINCT user_id, message_id, w AS entity, CASE WHEN length(w) % 2 = 0 THEN 'institution' ELSE 'procedure' END AS kind FROM t JOIN f USING (f))"""
 
 
 @query(f"WITH {NAMED} SELECT * FROM x")

@@ -37,28 +37,47 @@ def dim_cluster(spark, d):
     return P.dim_cluster(users_of(spark, d).withColumn("n_msgs_user", F.col("c_nationkey")))
 
 
+SHADE = "printf('%02x', CAST(round(CAST('0x' || of[{0}:{0} + 1] AS INT) + (255 - CAST('0x' || of[{0}:{0} + 1] AS INT)) * 0.06 * place) AS BIGINT))"
 SUBS = f"{USERS}, sb AS (SELECT c_custkey AS user_id, cluster_id * 10 + c_custkey % 3 AS subcluster_id FROM u WHERE cluster_id >= 0)"
 
 
 @query(f"""WITH {SUBS}, g AS (SELECT subcluster_id, count(*) AS n_users FROM sb GROUP BY 1), m AS (SELECT subcluster_id, count(*) AS n_messages FROM sb JOIN orders ON o_custkey = user_id GROUP BY 1),
 p AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) - 1 AS parent FROM u WHERE cluster_id >= 0 GROUP BY 1),
 r AS (SELECT g.*, subcluster_id // 10 AS cluster_id, row_number() OVER (PARTITION BY subcluster_id // 10 ORDER BY n_users DESC, subcluster_id) - 1 AS place FROM g)
-SELECT CAST(subcluster_id AS BIGINT) AS subcluster_id, CAST(r.cluster_id AS BIGINT) AS cluster_id, '' AS top_terms, n_users, coalesce(n_messages, 0) AS n_messages, parent * 10 + place AS display_order, true AS is_split FROM r JOIN p USING (cluster_id) LEFT JOIN m USING (subcluster_id)
-UNION ALL SELECT -10, -1, '', NULL, NULL, (SELECT (max(parent) + 1) * 10 FROM p), false""")
+SELECT CAST(subcluster_id AS BIGINT) AS subcluster_id, CAST(r.cluster_id AS BIGINT) AS cluster_id, '' AS top_terms, n_users, coalesce(n_messages, 0) AS n_messages, parent * 10 + place AS display_order, true AS is_split,
+  '#' || {' || '.join(SHADE.format(i) for i in (2, 4, 6))} AS color_hex FROM r JOIN (SELECT *, {pick_sql(P.PALETTE, 'parent')} AS of FROM p) USING (cluster_id) LEFT JOIN m USING (subcluster_id)
+UNION ALL SELECT -10, -1, '', NULL, NULL, (SELECT (max(parent) + 1) * 10 FROM p), false, {q(P.NO_TEXT_COLOUR)}""")
 def dim_subcluster(spark, d):
     u = users_of(spark, d).withColumn("user_id", F.col("c_custkey")).withColumn("n_msgs_user", F.col("c_nationkey"))
     members = u.where("cluster_id >= 0").select("user_id", (F.col("cluster_id") * 10 + F.col("user_id") % 3).alias("subcluster_id"), F.lit(True).alias("is_split"))
-    return P.dim_subcluster(members, read(spark, d, "orders").select(F.col("o_custkey").alias("user_id")), P.dim_cluster(u)).drop("color_hex")
+    return P.dim_subcluster(members, read(spark, d, "orders").select(F.col("o_custkey").alias("user_id")), P.dim_cluster(u))
 
 
 PII_SQL = r"(?i)whatsapp:|\b\d{7,}\b"
 NAMED_SQL = r"regexp_matches({0}, '(?i)\bme\s+llamo\b|\bmi\s+nombre\s+es\b|\bse(?:ñ|n)ora?\s+[a-zñáéíóú]+')"
+FIRST_NAMES = ["camila", "zzz", "ana"]
+#: What is put behind texts, so that each way of giving a name, and each that only looks like one, occurs.
+TAILS = ["", " me llamo Rosa", " Soy Andrea y busco", " soy venezolana", " mi  nombre es X", " hola CAMILA", " camilas", " anana", " la señora Perez", " mi hija tiene 5", " ana", " somos tres"]
+GIVEN_SQL = rf"""({NAMED_SQL.format('t')} OR (regexp_extract(t, '\b(?i:soy)\s+{V.NAME}', 1) <> '' AND lower(regexp_extract(t, '\b(?i:soy)\s+{V.NAME}', 1)) NOT IN ({', '.join(map(q, V.NOT_NAMES))}))
+  OR {' OR '.join(f"(regexp_matches(regexp_extract(t, '(?i){frame}{V.NAME}', 1), '^[a-zñáéíóú]') AND lower(regexp_extract(t, '(?i){frame}{V.NAME}', 1)) NOT IN ({', '.join(map(q, V.NOT_NAMES))}))" for frame in V.NAMING_OTHERS)})"""
+WORD_SQL = f"len(list_intersect(list_transform(regexp_extract_all(t, {q(V.NAME)}), lambda w: lower(w)), [{', '.join(map(q, FIRST_NAMES))}])) > 0"
 
 
-@query(f"SELECT doc_id, md5(coalesce(CASE WHEN NOT regexp_matches(text, {q(PII_SQL)}) AND trim(text) <> '' AND NOT ({NAMED_SQL.format('text')}) AND NOT regexp_matches(lower(text), '\\b(zzz|the)\\b') THEN text END, 'dropped')) AS clean FROM documents WHERE lang = 'en'")
+def told_of(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.concat("text", pick(TAILS, F.col("doc_id"))).alias("text"))
+
+
+TOLD = f"d AS (SELECT doc_id, text || {pick_sql(TAILS, 'doc_id')} AS t FROM documents)"
+
+
+@query(f"WITH {TOLD} SELECT doc_id, md5(coalesce(CASE WHEN NOT regexp_matches(t, {q(PII_SQL)}) AND trim(t) <> '' AND NOT {GIVEN_SQL} AND NOT ({WORD_SQL}) THEN t END, 'dropped')) AS clean FROM d")
 def scrub_texts(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.md5(F.coalesce(X.scrub(F.col("text"), ["zzz", "the"]).text, F.lit("dropped"))).alias("clean"))
+    return told_of(spark, d).select("doc_id", F.md5(F.coalesce(X.scrub(F.col("text"), FIRST_NAMES).text, F.lit("dropped"))).alias("clean"))
+
+
+@query(f"WITH {TOLD} SELECT doc_id, {GIVEN_SQL} AS by_phrase, {WORD_SQL} AS by_name FROM d")
+def name_layers(spark, d):
+    return told_of(spark, d).select("doc_id", X.names_self(F.col("text")).alias("by_phrase"), X.holds_name(F.col("text"), FIRST_NAMES).alias("by_name"))
 
 
 @query(f"WITH {TONED}, f AS (SELECT *, CAST(user_id AS BIGINT) % 4 AS subcluster_id FROM z WHERE length(message) BETWEEN 60 AND 190 AND NOT regexp_matches(message, {q(PII_SQL)}) AND NOT ({NAMED_SQL.format('message')})) SELECT message_id, subcluster_id, tone AS sentiment, md5(message) AS text, false AS was_redacted FROM (SELECT *, row_number() OVER (PARTITION BY subcluster_id, tone ORDER BY message_id) AS rn FROM f) WHERE rn <= 6")
@@ -132,7 +151,7 @@ def language_by_cohort(spark, d):
 
 
 def rated_of(spark, d):
-    return events_of(spark, d).where("event_type = 'purchase'").select("cluster_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("rating_num"))
+    return events_of(spark, d).where("event_type = 'purchase'").select("cluster_id", "user_id", F.col("value").alias("rating_num"))
 
 
 def matrix_of(spark, d, least):
@@ -148,7 +167,7 @@ def z(c: str) -> str:
 def matrix_sql(least: int) -> str:
     return f"""{EVENTS}, us AS (SELECT user_id, min(cluster_id) AS cluster_id, count(*) AS n FROM v GROUP BY 1), p9 AS (SELECT quantile_cont(n, 0.9) AS p FROM us),
 c1 AS (SELECT cluster_id, CAST(sum(n) AS BIGINT) AS messages, count(*) AS users, avg(CASE WHEN n >= p THEN 1.0 ELSE 0 END) AS pct_repeat FROM us, p9 GROUP BY 1),
-rt AS (SELECT cluster_id, user_id, CASE WHEN event_id % 3 = 0 THEN value END AS r FROM v WHERE event_type = 'purchase'), r1 AS (SELECT cluster_id, avg(r) AS own, count(r) AS k FROM rt WHERE r IS NOT NULL GROUP BY 1),
+rt AS (SELECT cluster_id, user_id, value AS r FROM v WHERE event_type = 'purchase'), r1 AS (SELECT cluster_id, avg(r) AS own, count(r) AS k FROM rt WHERE r IS NOT NULL GROUP BY 1),
 ng AS (SELECT cluster_id, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) AS pct_negative FROM v GROUP BY 1),
 mx AS (SELECT cluster_id, messages, users, pct_repeat, CASE WHEN coalesce(k, 0) < {least} THEN (SELECT avg(r) FROM rt) ELSE own END AS mean_rating, coalesce(k, 0) AS meal_n, coalesce(k, 0) < {least} AS rating_is_fallback, pct_negative FROM c1 LEFT JOIN r1 USING (cluster_id) JOIN ng USING (cluster_id)),
 pm AS (SELECT *, 3 AS n_axes, ({z('pct_repeat')} + {z('pct_negative')} + {z('-mean_rating')}) / 3 AS unmet_need FROM mx)"""
@@ -233,11 +252,10 @@ def agg_coverage_gap(spark, d):
     return P.coverage_gap(turns_at(spark, d))
 
 
-@query(f"""WITH {GAPS} SELECT metric, grain, numerator, denominator, abs(rate_pct - 100.0 * numerator / denominator) < 0.0500001 AS rounded FROM (SELECT 'coverage_gap' AS metric, 'users' AS grain, gu AS numerator, u AS denominator, round(100.0 * gu / u, 1) AS rate_pct FROM k UNION ALL SELECT 'coverage_gap', 'turns', g, n, round(100.0 * g / n, 1) FROM k)""")
+@query(f"""WITH {GAPS} SELECT 'coverage_gap' AS metric, 'users' AS grain, gu AS numerator, u AS denominator, round_even(100.0::DOUBLE * gu / u, 1) AS rate_pct FROM k UNION ALL SELECT 'coverage_gap', 'turns', g, n, round_even(100.0::DOUBLE * g / n, 1) FROM k""")
 def coverage_gap_quoted(spark, d):
     probe = spark.createDataFrame([(True, False)], "passed boolean, is_floor boolean")
-    rows = P.coverage_gap(turns_at(spark, d), probe).where("rate_quotable")
-    return rows.select("metric", "grain", "numerator", "denominator", (F.abs(F.col("rate_pct") - 100 * F.col("numerator") / F.col("denominator")) < 0.0500001).alias("rounded"))
+    return P.coverage_gap(turns_at(spark, d), probe).where("rate_quotable").select("metric", "grain", "numerator", "denominator", "rate_pct")
 
 
 @query(f"WITH {TURNS} SELECT turn_id, user_id, reply_key, gap_flag, handoff_flag, strftime(make_timestamp(msg_turn * 86400000000), '%Y-%m-%d %H:%M:%S') AS ts, CAST(user_id AS BIGINT) IN (SELECT user_id FROM events) AS has_survey_record FROM gp")
@@ -250,9 +268,9 @@ def fact_bot_turn_entities(spark, d):
     return T.entity_rows(turns_of(spark, d), "user_message", REGISTRY, "turn_id", "user_id")
 
 
-@query(f"WITH {TURNS}, e AS ({ENTITY}), x AS (SELECT entity, kind, gap_flag FROM gp JOIN e ON regexp_matches({fold_sql('user_message')}, p)) SELECT kind, entity, count(*) AS n_turns, count(*) FILTER (WHERE gap_flag) AS n_gap FROM x GROUP BY ALL HAVING count(*) >= 5")
+@query(f"WITH {TURNS}, e AS ({ENTITY}), x AS (SELECT entity, kind, gap_flag FROM gp JOIN e ON regexp_matches({fold_sql('user_message')}, p)) SELECT kind, entity, count(*) AS n_turns, count(*) FILTER (WHERE gap_flag) AS n_gap, round_even(100.0::DOUBLE * count(*) FILTER (WHERE gap_flag) / count(*), 1) AS pct_gap FROM x GROUP BY ALL HAVING count(*) >= 5")
 def agg_bot_gap_entities(spark, d):
-    return P.gap_entities(turns_of(spark, d), "user_message", REGISTRY).drop("pct_gap")
+    return P.gap_entities(turns_of(spark, d), "user_message", REGISTRY)
 
 
 @query(f"WITH {TURNS}, o AS (SELECT reply_key, min(bot_reply) AS bot_reply, bool_or(gap_flag) AS f FROM gp GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY sha1('0:' || reply_key), reply_key) AS rn FROM o) SELECT reply_key, CASE WHEN f THEN 'matched' ELSE 'unmatched' END AS stratum, md5(bot_reply) AS bot_reply, NULL AS human_label FROM r WHERE f OR rn <= 50")
@@ -277,15 +295,17 @@ def reconciliation_table(spark, d):
 @query(f"""WITH {RECON7}, {USERS.replace('u AS', 'us AS')}, cv AS (SELECT 100.0 * avg(CASE WHEN cluster_id <> -1 THEN 1.0 ELSE 0 END) AS c FROM us)
 SELECT 'users' AS metric, CAST((SELECT count(*) FROM us) AS DOUBLE) AS exported_value, CAST(users AS DOUBLE) AS reconciliation_value, (SELECT count(*) FROM us) = users AS match FROM k7
 UNION ALL SELECT 'messages', messages, messages, true FROM k7 UNION ALL SELECT 'users_with_text', (SELECT count(*) FROM us WHERE c_custkey % 2 = 0), users_with_text, (SELECT count(*) FROM us WHERE c_custkey % 2 = 0) = users_with_text FROM k7
-UNION ALL SELECT 'meal_responses', meal_responses, meal_responses, true FROM k7 UNION ALL SELECT 'subcluster_min_users', 30, 30, true UNION ALL SELECT 'entity_coverage_pct', 12.3, 20, false
+UNION ALL SELECT 'meal_responses', meal_responses, meal_responses, true FROM k7 UNION ALL SELECT 'subcluster_min_users', n, 30, n >= 30 FROM (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM us WHERE cluster_id >= 0 GROUP BY cluster_id, c_custkey % 3))
+UNION ALL SELECT 'entity_coverage_pct', round_even(e, 1), 20, round_even(e, 1) >= 20 FROM (SELECT 100.0::DOUBLE * count(*) FILTER (WHERE regexp_matches({fold_sql('message')}, '\\bthe\\b')) / count(*) AS e FROM m)
 UNION ALL SELECT 'cluster_coverage_pct', round(c, 1), 80, round(c, 1) >= 80 FROM cv UNION ALL SELECT 'repeat_askers_pct', 100, CAST(printf('%.1f', rp) AS DOUBLE), printf('%.1f', rp) = '100.0' FROM k7""")
 def parity_rows(spark, d):
     u = users_of(spark, d).select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 2 == 0).alias("has_text"), F.lit(True).alias("is_repeat_asker"), "cluster_id")
-    least = A.least_subcluster(spark.createDataFrame([], "subcluster_id long, is_split boolean, n_users long"))
-    return P.parity(recon_of(spark, d), u, spine_of(spark, d), read(spark, d, "conversations").where("role = 'system'"), least, 12.34)
+    children = u.where("cluster_id >= 0").groupBy((F.col("cluster_id") * 10 + F.col("user_id") % 3).alias("subcluster_id")).agg(F.count("*").alias("n_users"), F.lit(True).alias("is_split"))
+    named = T.entity_coverage(spine_of(spark, d), "message", REGISTRY[:1]).first()
+    return P.parity(recon_of(spark, d), u, spine_of(spark, d), read(spark, d, "conversations").where("role = 'system'"), A.least_subcluster(children), 100.0 * named.hit / named.total)
 
 
-@query(f"WITH {SPINE} SELECT 'pii_responses' AS \"check\", NOT bool_or(regexp_matches(text, {q(PII_SQL)}) OR regexp_matches(lang, {q(PII_SQL)}) OR regexp_matches(source, {q(PII_SQL)})) AS passed FROM documents UNION ALL SELECT 'pii_messages', NOT bool_or(regexp_matches(message, {q(PII_SQL)}) OR regexp_matches(user_id, {q(PII_SQL)})) FROM m UNION ALL SELECT 'spine_adds_up', true UNION ALL SELECT 'one_answer_each', (SELECT max(n) <= 1 FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey))")
+@query(f"WITH {SPINE} SELECT 'pii_responses' AS \"check\", NOT bool_or(regexp_matches(text, {q(PII_SQL)}) OR regexp_matches(lang, {q(PII_SQL)}) OR regexp_matches(source, {q(PII_SQL)})) AS passed FROM documents UNION ALL SELECT 'pii_messages', NOT bool_or(regexp_matches(message, {q(PII_SQL)}) OR regexp_matches(user_id, {q(PII_SQL)})) FROM m UNION ALL SELECT 'spine_adds_up', (SELECT sum(n) = sum(k) FROM (SELECT any_value(n_msgs_user) AS n, count(*) AS k FROM m GROUP BY user_id)) UNION ALL SELECT 'one_answer_each', (SELECT max(n) <= 1 FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey))")
 def qa_checks(spark, d):
     return A.qa_checks(read(spark, d, "documents"), spine_of(spark, d).drop("message_id"), read(spark, d, "orders").withColumnRenamed("o_custkey", "user_id"), X.PII)
 
@@ -357,10 +377,10 @@ def response_rate(spark, d):
     return Q.response_rate(read(spark, d, "orders"), read(spark, d, "customer").withColumnRenamed("c_custkey", "user_id"))
 
 
-@query("""WITH r AS (SELECT date_trunc('week', ts) AS w, value FROM events WHERE event_type = 'purchase' AND month(ts) % 2 = 0), b AS (SELECT unnest(generate_series((SELECT min(w) FROM r), (SELECT max(w) FROM r), INTERVAL 7 DAY)) AS bucket)
+@query("""WITH r AS (SELECT date_trunc('week', ts) AS w, value FROM events WHERE event_type = 'purchase'), b AS (SELECT unnest(generate_series((SELECT min(w) FROM r), (SELECT max(w) FROM r), INTERVAL 7 DAY)) AS bucket)
 SELECT bucket, avg(value) AS mean_rating, count(value) AS n, count(value) < 20 AS is_small FROM b LEFT JOIN r ON w = bucket GROUP BY bucket""")
 def satisfaction_by_week(spark, d):
-    return Q.weekly_rating(read(spark, d, "events").where("event_type = 'purchase' and month(ts) % 2 = 0").withColumnRenamed("value", "rating_num"))
+    return Q.weekly_rating(read(spark, d, "events").where("event_type = 'purchase'").withColumnRenamed("value", "rating_num"))
 
 
 @query(f"WITH {TONED} SELECT user_id AS place, count(*) AS n, avg(CASE WHEN tone = 'negative' THEN 1.0 ELSE 0 END) AS negative_share FROM z GROUP BY 1 HAVING count(*) >= 4")
