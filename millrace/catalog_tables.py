@@ -383,6 +383,24 @@ def satisfaction_by_week(spark, d):
     return Q.weekly_rating(read(spark, d, "events").where("event_type = 'purchase'").withColumnRenamed("value", "rating_num"))
 
 
+@query("""WITH c AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'v1' ELSE 'v2' END AS cohort FROM customer WHERE c_custkey % 5 <> 0)
+SELECT cohort, count(*) AS answers, count(DISTINCT o_custkey) AS users, avg(CAST(o_totalprice AS DOUBLE)) AS mean_price FROM orders LEFT JOIN c ON o_custkey = user_id GROUP BY cohort""")
+def answers_by_cohort(spark, d):
+    users = read(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, "v1").otherwise("v2").alias("cohort"))
+    rows = Q.with_cohort(read(spark, d, "orders").withColumnRenamed("o_custkey", "user_id"), users, "cohort")
+    return rows.groupBy("cohort").agg(F.count("*").alias("answers"), F.count_distinct("user_id").alias("users"), F.avg(F.col("o_totalprice").cast("double")).alias("mean_price"))
+
+
+@query("SELECT c_nationkey AS cohort, count(*) AS n, avg(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0 END) AS share FROM customer GROUP BY 1")
+def share_by_cohort(spark, d):
+    return Q.share_by_cohort(read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("cohort"), "c_mktsegment"), "c_mktsegment", "BUILDING", "cohort")
+
+
+@query("SELECT doc_id, toxic, md5(text) AS text FROM labels JOIN documents USING (doc_id)")
+def gold_text_export(spark, d):
+    return Q.gold_export(read(spark, d, "labels").select("doc_id", "toxic"), read(spark, d, "documents"), "doc_id", "text").withColumn("text", F.md5("text"))
+
+
 @query(f"WITH {TONED} SELECT user_id AS place, count(*) AS n, avg(CASE WHEN tone = 'negative' THEN 1.0 ELSE 0 END) AS negative_share FROM z GROUP BY 1 HAVING count(*) >= 4")
 def negative_by_place(spark, d):
     return Q.negative_by_place(toned(spark, d).withColumnRenamed("user_id", "place"), "place", "tone", 4)

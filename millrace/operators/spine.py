@@ -85,7 +85,7 @@ def sample_per_bucket(df: DataFrame, bucket: list[str], order: str, k: int, keep
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """About n rows, in proportion and one a stratum at least, those whose hashed key is least."""
+    """n rows at most, in proportion and one a stratum as far as n goes, those whose hashed key is least."""
     total = df.where(F.col(stratum).isNotNull())
     w = W.partitionBy(stratum)
     sizes = total.groupBy(stratum).agg(F.count("*").alias("__n"))
@@ -95,7 +95,10 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     # the least of each part first, so that no task ranks a whole stratum
     parts = total.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(200))).join(quota, stratum)
     few = parts.withColumn("__rn", F.row_number().over(W.partitionBy(stratum, "__part").orderBy(*order))).where("__rn <= __q")
-    return few.withColumn("__rn", F.row_number().over(w.orderBy(*order))).where("__rn <= __q").drop("__rn", "__q", "__n", "__part")
+    drawn = few.withColumn("__rn", F.row_number().over(w.orderBy(*order))).where("__rn <= __q")
+    if (quota.agg(F.sum("__q")).first()[0] or 0) > n:  # many small strata: each one's first row before any second one
+        drawn = drawn.orderBy(F.col("__rn") > 1, *order).limit(n)
+    return drawn.drop("__rn", "__q", "__n", "__part")
 
 
 def gate_unmatched(left: DataFrame, right: DataFrame, key: str) -> int:

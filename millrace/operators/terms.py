@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.functions import values as V
+from millrace.workers import cut
 
 from . import dictionary as D
 
@@ -137,9 +138,15 @@ def exclusive(terms: DataFrame, label: str = "label") -> DataFrame:
     return rows.withColumn("some", F.bool_or("once").over(W.partitionBy(label))).where("once or not some").drop("once", "some")
 
 
+#: Lists of classes' terms (some dozens each) that are sent to every executor, at most.
+FEW_LISTS = 10_000
+
+
 def with_terms(messages: DataFrame, terms: DataFrame, label: str, text: str) -> DataFrame:
     """messages with hits: array of (rank, term, weight) of their class's terms that they hold; a message has one row."""
-    lists = terms.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("__terms"))
+    lists = cut(terms.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("__terms")))
+    if lists.count() <= FEW_LISTS:  # texts stay where they are
+        lists = F.broadcast(lists)
     both = spread(messages).join(lists, label).withColumn("__low", F.lower(F.col(text)))
     return both.withColumn("hits", F.filter("__terms", lambda t: F.contains(F.col("__low"), F.lower(t.term)))).drop("__low", "__terms").where(F.size("hits") > 0)
 

@@ -77,13 +77,23 @@ def with_members(df: DataFrame, members: DataFrame | None) -> DataFrame:
     return S.with_labels(df, members.select("user_id", "subcluster_id"), "user_id", "subcluster_id", V.NO_SUBCLUSTER)
 
 
-def dim_user(responses: DataFrame, messages: DataFrame, labels: DataFrame, members: DataFrame | None = None) -> DataFrame:
+def with_subnames(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """df with the name of its subcluster: given, or made of its number; that of users without text is fixed."""
+    own = F.when(F.col("subcluster_id") == V.NO_SUBCLUSTER, V.NO_CLUSTER_NAME).otherwise(F.concat(F.lit("Subcluster "), F.col("subcluster_id").cast("string")))
+    if names is None:
+        return df.withColumn("subcluster_name", own)
+    given = names.select("subcluster_id", F.col("subcluster_name").alias("__name"))
+    return df.join(given, "subcluster_id", "left").withColumn("subcluster_name", F.coalesce("__name", own)).drop("__name")
+
+
+def dim_user(responses: DataFrame, messages: DataFrame, labels: DataFrame, members: DataFrame | None = None, subnames: DataFrame | None = None) -> DataFrame:
     """One row a user: first value of each profile column, message facts, repeat flag, cluster, display labels."""
     cols = [c for c in PROFILE if c in responses.columns]
     rec = responses.groupBy("user_id").agg(*[S.first_value(c, "ts", "record").alias(c) for c in cols], F.max("session_minutes").alias("session_minutes"), F.min("ts").alias("registered_at"), F.max("n_questions").alias("most_questions"))
     msg = messages.groupBy("user_id").agg(F.count("*").alias("n_msgs_user"), F.min("ts").alias("first_seen"))
     p90 = rec.agg(F.percentile("most_questions", F.lit(0.9)).alias("p90"))
     df = with_members(S.with_labels(rec.join(msg, "user_id", "left").join(F.broadcast(p90)), labels, "user_id", "cluster_id", V.NO_CLUSTER), members)
+    df = with_subnames(df, subnames)
     age = C.age_band(F.col("age_num"))
     stay = F.col("destination_country").isNull() | X.fold(F.coalesce("destination_country", F.lit(""))).isin("", "colombia")
     away, away_order = C.or_no_answer(C.lookup(V.AWAY, F.col("away_duration_canon")), F.col("away_duration_order"))
@@ -131,6 +141,7 @@ class Insight:
 
     members: DataFrame | None = None  # user_id, subcluster_id, is_split
     names: DataFrame | None = None  # cluster_id, cluster_name, name_is_provisional
+    subnames: DataFrame | None = None  # subcluster_id, subcluster_name
     terms: DataFrame | None = None  # cluster_id, rank, term, weight
     subterms: DataFrame | None = None  # subcluster_id, rank, term, weight
     points: DataFrame | None = None  # user_id, x, y
@@ -152,7 +163,7 @@ def build(data: Dataset, labels: DataFrame, tones: DataFrame | None = None, more
     """Every table whose inputs are there; without a bot log its tables are empty, without a probe its rates are withheld."""
     spark, more = data.responses.sparkSession, more or Insight()
     members, messages = more.members, data.messages
-    users, meal = dim_user(data.responses, messages, labels, members), fact_meal(data.meal)
+    users, meal = dim_user(data.responses, messages, labels, members, more.subnames), fact_meal(data.meal)
     facts = fact_message(messages, tones, labels, members)
     said = messages.join(labels.select("user_id", "cluster_id"), "user_id")
     texts = messages.select("message_id", "message")

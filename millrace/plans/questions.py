@@ -16,6 +16,27 @@ def response_rate(meal: DataFrame, users: DataFrame) -> DataFrame:
     return meal.agg(F.count("*").alias("answers")).join(F.broadcast(users.agg(F.count_distinct("user_id").alias("users")))).withColumn("rate", F.try_divide(F.col("answers"), F.col("users")))
 
 
+def with_cohort(answers: DataFrame, users: DataFrame, cohort: str = "instrument_version") -> DataFrame:
+    """answers with the cohort of their user, null for users without a record; a user of two cohorts has the one of the first record (by cohort)."""
+    one = users.groupBy("user_id").agg(F.min(cohort).alias(cohort))
+    return answers.join(one, "user_id", "left")
+
+
+def share_by_cohort(users: DataFrame, col: str, value: str, cohort: str) -> DataFrame:
+    """(cohort, n, share): of the distinct users of a cohort that have a value in the column, the share that has this one."""
+    rows = users.where(F.col(col).isNotNull())
+    n, hit = F.count_distinct("user_id"), F.count_distinct(F.when(F.col(col) == value, F.col("user_id")))
+    return rows.groupBy(cohort).agg(n.alias("n"), F.try_divide(hit, n).alias("share"))
+
+
+def gold_export(labels: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """labels with the text that each was given for; raises where a label has no row, or its row no text."""
+    out = S.aligned(labels, rows.select(key, text), key)
+    if n := out.where(F.col(text).isNull()).count():
+        raise ValueError(f"{n} labels have no text")
+    return out
+
+
 def mix(users: DataFrame, col: str, order: list[str]) -> DataFrame:
     """Gender, care or away-time shares: a fixed list of values in its order."""
     return A.counts_in_order(users, col, order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def header_row(rows: list[list[str | None]], role: str) -> int:
 
 
 def question_columns(df: DataFrame, questions: dict[str, str]) -> dict[str, str | None]:
-    """Canonical name to column, by a folded piece of the question; of several, the last that has data; each is used once."""
+    """Canonical name to column, by a folded piece of the question; of several, the last that has data; each is used once. Warns of questions without a column."""
     from unicodedata import combining, normalize
 
     plain = lambda s: "".join(c for c in normalize("NFKD", s) if not combining(c)).strip().lower()
@@ -71,4 +73,6 @@ def question_columns(df: DataFrame, questions: dict[str, str]) -> dict[str, str
         best = [c for c in free if filled[c]] or free
         out[q] = best[-1] if best else None
         used.add(out[q])
+    if missed := [f"{q} ({questions[q]!r})" for q, c in out.items() if c is None]:
+        warnings.warn(f"no column for {', '.join(missed)}: its values will be null", stacklevel=2)
     return out
