@@ -177,7 +177,8 @@ def slow_resample(rows, target, percent=10, min_words=20, order=1, buckets=10_00
         s[b] += 1
     for b in want:
         t[b] += 1
-    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    n, m = sum(s), sum(t)
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (n + buckets) / ((s[b] + 1) * (m + buckets)))) for b in range(buckets)]
     out = []
     for (i, text), f in zip(rows, have, strict=True):
         h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
