@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import values as V
 from millrace.operators import spine as S
-from millrace.operators import terms as T
 from millrace.plans import gold, questions
 from millrace.sources import contract
 
@@ -48,13 +47,3 @@ def test_subclusters_have_names(spark):
     names = spark.createDataFrame([(11, "Shelter")], "subcluster_id int, subcluster_name string")
     assert {r.user_id: r.subcluster_name for r in gold.with_subnames(df, names).collect()} == {"a": "Shelter", "b": "Subcluster 12", "c": V.NO_CLUSTER_NAME}
     assert {r.user_id: r.subcluster_name for r in gold.with_subnames(df).collect()} == {"a": "Subcluster 11", "b": "Subcluster 12", "c": V.NO_CLUSTER_NAME}
-
-
-def test_lists_of_terms_sent_or_joined_give_the_same(spark, monkeypatch):
-    terms = spark.createDataFrame([("x", 0, "sol", 0.5), ("x", 1, "mar", 0.2), ("y", 0, "pan", 1.0)], "label string, rank int, term string, weight double")
-    said = spark.createDataFrame([("x", "u", "Sol y mar"), ("y", "u", "sol"), ("y", "v", "PAN pan"), ("z", "w", "sol"), ("x", "u", None)], "label string, user string, text string")
-    got = []
-    for few in (10_000, 0):
-        monkeypatch.setattr(T, "FEW_LISTS", few)
-        got.append(sorted(map(tuple, T.term_users(terms, said, "label", "user", "text").collect())))
-    assert got[0] == got[1] == [("x", "u", "mar", 0.2), ("x", "u", "sol", 0.5), ("y", "v", "pan", 1.0)]
