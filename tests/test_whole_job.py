@@ -2,9 +2,11 @@
 
 from datetime import datetime
 
+import duckdb
 import numpy as np
 
 from millrace import catalog
+from millrace.functions import text as X
 from millrace.operators import clustering as K
 
 
@@ -79,3 +81,14 @@ def test_labels_beyond_the_rows_that_seed(spark, monkeypatch):
     assert len(set(own[:10_100])) == len(set(own[10_100:])) == 1 and own[0] != own[-1]
     few = {r.k: r.cluster_id for r in K.kmeans(df.where("k % 3 = 0"), "k", "v", 2).collect()}
     assert K.ari(own[::3], np.array([few[k] for k in sorted(few)])) == 1
+
+
+def test_probes_end_words_where_sql_does(spark, tmp_path):
+    """A letter with an accent is no word character in the SQL's patterns: 'laentionéeux' holds 'tion' at a word's end."""
+    texts = ["laentionéeux xx", "ñwas it", "wasn é", "nation", "nationwide", "ſwas"]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalog.QUERIES["theme_probes"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(catalog.ORACLE["theme_probes"]).fetchall()) == [("tion", 2, 2), ("was", 2, 2)]
+    assert X.ascii_bounds(r"\\b\w") == r"\\b\w"
