@@ -33,6 +33,8 @@ copies of each other. Other columns are never read. Hashes have 64 bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 import zstandard
@@ -51,32 +53,69 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of a text; remembers words' hashes."""
+#: Words of more bytes than LONG are hashed one by one, others by sums over PIECE bytes at a time.
+LONG, PIECE = 64, 1 << 16
+POWER = np.cumprod(np.r_[np.uint64(1), np.full(PIECE - 1, MIX[1])])
+INVERSE = np.cumprod(np.r_[np.uint64(1), np.full(PIECE - 1, pow(int(MIX[1]), -1, 1 << 64), dtype=np.uint64)])
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of a lower-cased text: polynomials of its letters, from sums up to its end and up to its start."""
+    letters = np.frombuffer(raw, dtype=np.uint8)
+    gap = letters - np.uint8(9) < 5  # the white space of bytes.split()
+    gap |= letters == 32
+    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        first = starts[i]
+        j = max(int(np.searchsorted(ends, first + PIECE, "right")), i + 1)
+        value = letters[first : min(ends[j - 1], first + PIECE)].astype(np.uint64)  # what is cut off is of a long word
+        value *= POWER[: len(value)]
+        total, s, e = np.cumsum(value), starts[i:j] - first, np.minimum(ends[i:j] - first, PIECE) - 1
+        out[i:j] = (total[e] - total[s] + value[s]) * INVERSE[s]
+        i = j
+    out = mix(out)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out, starts
 
-    def __init__(self, size: int = 5, keep: int = 100_000):
-        self.size, self.keep = size, keep
 
-        class Known(dict):
-            def __missing__(self, w):
-                h = self[w] = xxhash.xxh3_64_intdigest(w)
-                return h
+class Shingler:
+    """Sorted distinct shingle hashes of texts."""
 
-        self.known = Known()
+    def __init__(self, size: int = 5):
+        self.size = size
 
     def shingles(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        if len(words) < self.size:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
-        if len(self.known) > self.keep:
-            self.known.clear()
-        w = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
-        h = w[: len(w) - self.size + 1]
+        return next(self.each([text]))
+
+    def each(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The set of each text; short texts are hashed together."""
+        held, n = [], 0
+        for t in texts:
+            held.append(t.encode("utf-8", "surrogatepass").lower() if t else b"")
+            n += len(held[-1]) + 1
+            if n >= PIECE:
+                yield from self.together(held)
+                held, n = [], 0
+        yield from self.together(held)
+
+    def together(self, raws: list[bytes]) -> Iterator[np.ndarray]:
+        w, starts = word_hashes(b" ".join(raws))
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)])).tolist()
+        h = w[: max(len(w) - self.size + 1, 0)]
         for i in range(1, self.size):
-            h = h * MIX[0] + w[i : len(w) - self.size + 1 + i]
-        return np.unique(mix(h))
+            h = h * MIX[0] + w[i : len(h) + i]
+        h = mix(h)  # those across two texts are left out
+        for raw, lo, hi in zip(raws, bounds, bounds[1:], strict=False):
+            if hi - lo < self.size:
+                yield np.array([xxhash.xxh3_64_intdigest(b" ".join(raw.split()), seed=hi - lo)] if hi > lo else [], dtype=np.uint64)
+                continue
+            s = np.sort(h[lo : hi - self.size + 1])
+            new = s[1:] != s[:-1]
+            yield s if new.all() else np.concatenate([s[:1], s[1:][new]])
 
 
 def least_overlap(n: int, threshold: int) -> int:
@@ -209,8 +248,7 @@ def shingle_counts(df: DataFrame, text_col: str, size: int, buckets: int, most:
             if texts is None:
                 yield from flush()
                 return
-            for t in texts:
-                s = shingler.shingles(t)
+            for s in shingler.each(texts):
                 if len(s) > 1:
                     held.append((s >> np.uint64(32)).astype(np.uint32))
                     n += len(s)
@@ -310,8 +348,7 @@ def index(df: DataFrame, id_col: str, text_col: str, threshold: int, size: int,
             if i is None:
                 yield from flush()
                 return
-            for d, m, t in zip(i, named, texts, strict=True):
-                s = shingler.shingles(t)
+            for d, m, s in zip(i, named, shingler.each(texts), strict=True):
                 ids.append(d)
                 marks.append(m)
                 classes.append(class_of(s))
@@ -357,7 +394,9 @@ def shared_keys(parts: DataFrame, partitions: int) -> DataFrame:
                     sizes.append(z)
 
         def joined():
-            key, cls, n = np.concatenate(keys), np.concatenate(classes), np.concatenate(sizes)
+            key, cls, n = (np.concatenate(x) for x in (keys, classes, sizes))
+            for x in (keys, classes, sizes):
+                x.clear()  # a worker holds one form of a bucket's rows at a time
             order = np.lexsort((cls, key))
             key, cls, n = key[order], cls[order], n[order]
             flag, most, n = n & 1, (n & 0xFFFFFFFF) >> 1, n >> 32
@@ -436,13 +475,15 @@ def sets_of(df: DataFrame, docs: DataFrame, wanted: DataFrame, text_col: str, si
             if marks is None:
                 return
             out = {"cls": [], "n": [], "shingles": []}
+            new = []
             for m, t in zip(marks, texts, strict=True):
                 if m in seen:  # a copy
                     continue
                 if len(seen) > 500_000:  # only saves repeats
                     seen.clear()
                 seen.add(m)
-                s = shingler.shingles(t)
+                new.append(t)
+            for s in shingler.each(new):
                 for c, v in zip(out, (np.uint64(class_of(s)).astype(np.int64), len(s), s.tobytes()), strict=True):
                     out[c].append(v)
                 if len(out["cls"]) >= 2_000:

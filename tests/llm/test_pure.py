@@ -351,3 +351,23 @@ def test_toxicity_score_is_a_noisy_or():
                 z = model.bias + sum(model.weights[zlib.crc32(f.encode()) % (1 << toxicity.BITS)] for w in words for f in {w, *(f"{k}<{w[:k]}" for k in (4, 5) if len(w) > k)})
                 chances.append(1 / (1 + math.exp(-z)))
         assert abs(toxicity.Scorer(model).score(text)[0] - (1 - math.prod(1 - p for p in chances))) < 1e-9
+
+
+def test_word_hashes_by_brute_force():
+    """Equal words have one hash wherever they stand, other words others; sets don't depend on the texts around them."""
+    texts = ["A b\tc d e f", None, "", " \n", "a b", "é \x85 \xa0x y z w", "a" * 70_000 + " b c d " + "dd " * 30_000 + "Z" * 200_000, "z" * 200_000 + " q b c d e", "a b c d e f", "x" * 64 + " " + "x" * 65, "\ud800 a b c d e"]
+    known, named = {}, {}
+    for t in filter(None, texts):
+        raw = t.encode("utf-8", "surrogatepass").lower()
+        got = jaccard.word_hashes(raw)[0].tolist()
+        assert len(got) == len(raw.split())
+        for w, h in zip(raw.split(), got, strict=True):
+            assert known.setdefault(w, h) == h and named.setdefault(h, w) == w
+    s = jaccard.Shingler()
+    together = list(s.each(texts))
+    assert len(together) == len(texts) and all((a == s.shingles(t)).all() for a, t in zip(together, texts, strict=True))
+    assert (together[0] == together[8]).all() and len(together[4]) == 1
+    rng = random.Random(4)
+    for n in (5, 9, 3000):
+        words = [rng.choice("abc") * rng.randint(1, 3) for _ in range(n)]
+        assert len(s.shingles(" ".join(words))) == len({tuple(words[i : i + 5]) for i in range(n - 4)})
