@@ -87,3 +87,39 @@ def test_layout_by_landmarks(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
     y, axes = (np.array([(r.x, r.y) for r in made.orderBy("k").collect()]) for made in (N.layout(df, "k", "v", landmarks=200), K.project(df, "k", "v")))
     assert trustworthiness(x, y) > max(0.9, trustworthiness(x, axes))
+
+
+def test_groups_meet_within_reach_only(monkeypatch):
+    """Every edge of a group that its row's reach lets through, by brute force, in pieces of one group too; none beyond."""
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 5, 5, 9, 1]
+    a = np.repeat(np.arange(len(sizes)), sizes)
+    x, p = rng.normal(size=(len(a), 3)), np.arange(len(a)) * 10
+    reach = np.where(rng.random(len(a)) < 0.3, np.inf, 4.0)
+    want = set()
+    for i in range(len(a)):
+        others = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in range(len(a)) if a[j] == a[i] and j != i)[:3]
+        want |= {(p[i], p[j]) for d, j in others if d <= reach[i]}
+    for held in (1, 1 << 21):
+        monkeypatch.setattr(N, "HELD", held)
+        got = N.meetings(a, p, x, reach, 3)
+        assert len(got) == len(want) and set(zip(got["a"], got["b"], strict=True)) == want
+        assert all(abs(((x[i // 10] - x[j // 10]) ** 2).sum() - d) < 1e-9 for i, j, d in got.itertuples(index=False))
+
+
+def test_places_take_few_rows_by_all_landmarks():
+    """A batch of 10,000 rows against 2,000 landmarks was 160 MB an array."""
+    assert N.PLACED * 2000 * 8 <= 8 << 20
+    at, y = np.array([[0.0], [1.0], [5.0], [9.0]]), np.array([[0.0, 0.0], [2.0, 0.0], [4.0, 4.0], [8.0, 8.0]])
+    got = N.place_of(np.array([[1.0], [9.0]]), at, (at**2).sum(1), y)
+    assert np.allclose(got, [[2, 0], [8, 8]], atol=1e-6)
+
+
+def test_graph_is_alike_for_any_batch(spark):
+    x = np.random.default_rng(6).normal(size=(300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    found = []
+    for n in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        found.append({(r.k, r.neighbour) for r in N.knn_graph(df, "k", "v", k=5, trees=2, rounds=1).collect()})
+    assert found[0] == found[1] and len(found[0]) == 1500
