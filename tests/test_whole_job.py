@@ -8,6 +8,7 @@ import numpy as np
 from millrace import catalog
 from millrace.functions import text as X
 from millrace.operators import clustering as K
+from millrace.operators import terms as T
 
 
 def test_calendar_counts_every_event(spark, tmp_path):
@@ -92,3 +93,13 @@ def test_probes_end_words_where_sql_does(spark, tmp_path):
     got = sorted(tuple(r) for r in catalog.QUERIES["theme_probes"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(catalog.ORACLE["theme_probes"]).fetchall()) == [("tion", 2, 2), ("was", 2, 2)]
     assert X.ascii_bounds(r"\\b\w") == r"\\b\w"
+
+
+def test_a_large_class_meets_its_terms_in_many_parts(spark):
+    messages = spark.createDataFrame([(i, "es", f"u{i % 7}", f"casa {i}") for i in range(400)], "k long, label string, user string, text string")
+    terms = spark.createDataFrame([("es", 0, "casa", 2.0)], "label string, rank int, term string, weight double")
+    joined = T.with_terms(messages, terms, "label", "text")
+    assert joined.count() == joined.select("k").distinct().count() == 400 and joined.columns == [*joined.columns[:4], "hits"]
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__part") > 2  # dealt by class and part, not by class alone
+    assert T.with_terms(messages, terms, "label", "text").where("hits[0].term = 'casa'").count() == 400
