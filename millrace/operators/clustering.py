@@ -23,10 +23,10 @@ STARTS = 10
 
 
 def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    c = x[[rng.integers(len(x))]]
+    c, norm = x[[rng.integers(len(x))]], (x**2).sum(1)
     near = np.full(len(x), np.inf)
     for _ in range(1, k):
-        near = np.minimum(near, ((x - c[-1]) ** 2).sum(1))
+        near = np.minimum(near, np.maximum(norm - 2 * x @ c[-1] + (c[-1] ** 2).sum(), 0))
         c = np.vstack([c, x[rng.choice(len(x), p=near / near.sum() if near.sum() > 0 else None)]])
     return c
 

@@ -8,6 +8,7 @@ import numpy as np
 from millrace import catalog
 from millrace.functions import text as X
 from millrace.operators import clustering as K
+from millrace.operators import spread
 from millrace.operators import terms as T
 
 
@@ -103,3 +104,25 @@ def test_a_large_class_meets_its_terms_in_many_parts(spark):
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("__part") > 2  # dealt by class and part, not by class alone
     assert T.with_terms(messages, terms, "label", "text").where("hits[0].term = 'casa'").count() == 400
+
+
+def test_a_table_of_one_block_is_scanned_in_few_jobs(spark):
+    """Its fits are dealt to tasks that take them through all steps; before, each step was two jobs of as few tasks as the table had partitions."""
+    x = np.random.default_rng(7).normal(size=(400, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>").coalesce(1)
+    spark.sparkContext.setJobGroup("scan of one block", "")
+    assert K.k_scan(df, "k", "v", [4, 6], boots=4).count() == 2
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("scan of one block"))
+    spark.sparkContext.setJobGroup("others", "")
+    assert 0 < jobs <= 15
+
+
+def test_blocks_that_meet_in_a_shuffle_give_the_same_fits(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(150, 4)) + np.repeat([0, 4, 8], 50)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    made = []
+    for size in (1 << 20, 1200):
+        monkeypatch.setattr(spread, "BYTES", size)
+        made.append(np.array([tuple(r) for r in K.k_scan(df, "k", "v", [3, 4], boots=2).orderBy("k").collect()], dtype=float))
+    assert spread.blocks(df, "k", "v").made.getNumPartitions() == 2
+    assert np.allclose(*made, atol=1e-5)
