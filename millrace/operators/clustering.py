@@ -1,7 +1,7 @@
 """Segments: k-means with restarts, stability, choice of k, naming, two-dimensional view.
 
-Fits of any number of rows go through ``spread``, whose steps are passes over the partitions; the
-children of one parent are fitted by numpy in one task each.
+Fits of any number of rows, and of the children of all parents, go through ``spread``, whose steps
+are passes over the partitions.
 """
 
 from __future__ import annotations
@@ -31,26 +31,6 @@ def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
-def lloyd(x: np.ndarray, k: int, seed: int, steps: int = spread.STEPS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(labels, centres, inertia) of one k-means++ start."""
-    c = plus_plus(x, k, np.random.default_rng(seed))
-    label, norm = None, (x**2).sum(1)
-    for _ in range(steps):
-        d = x @ (-2 * c.T) + (c**2).sum(1)
-        new = d.argmin(1)
-        if label is not None and (new == label).all():
-            break
-        label = new
-        of = (label[:, None] == np.arange(k)).astype(x.dtype)
-        n = of.sum(0)
-        c = np.where(n[:, None] > 0, of.T @ x / np.maximum(n, 1)[:, None], c)
-    return label, c, float(np.maximum(norm + d.min(1), 0).sum())
-
-
-def best_fit(x: np.ndarray, k: int, seed: int = 0, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray, float]:
-    return min((lloyd(x, k, seed + s) for s in range(starts)), key=lambda f: f[2])
-
-
 def kmeans(df: DataFrame, key: str, vec: str, k: int, seed: int = 0) -> DataFrame:
     """(key, cluster_id) with clusters numbered by size, ties by their least key."""
     got = spread.labels(df, key, vec, k, STARTS, seed)
@@ -74,37 +54,27 @@ def choose_k(scan: DataFrame, gate: float = 0.6, margin: float = 1.0) -> int:
 
 
 def split_parents(df: DataFrame, key: str, vec: str, parent: str, least: int = 30, ks: tuple[int, ...] = (2, 3, 4), gate: float = 0.6, boots: int = 20, seed: int = 0) -> DataFrame:
-    """(key, subcluster_id = parent * 10 + child): the largest k whose children are big enough and stable, else one child."""
+    """(key, subcluster_id = parent * 10 + child): the largest k whose children are big enough and stable, else one child.
+
+    The fits of all parents move in the same passes, so no parent has to fit in a task; a resample has
+    a row with a chance of 0.8, by its hash.
+    """
     from pandas import DataFrame as P
 
     kind = df.schema[key].dataType.simpleString()
     importable(df.sparkSession)
-
-    def stable(x: np.ndarray, k: int) -> bool:
-        from itertools import combinations
-
-        fits = []
-        for b in range(boots):
-            at = np.random.default_rng([seed, k, b]).choice(len(x), int(0.8 * len(x)), replace=False)
-            full = np.full(len(x), -1)
-            full[at] = best_fit(x[at], k, seed)[0]
-            fits.append(full)
-        return float(np.mean([ari(a, b) for a, b in combinations(fits, 2)])) >= gate
-
-    def one(f):
-        f = f.sort_values(key)
-        x = np.array(f[vec].tolist(), dtype=np.float64)
-        child = np.zeros(len(f), dtype=int)
-        if len(f) >= 2 * least:
-            for k in sorted(ks, reverse=True):
-                label = best_fit(x, k, seed)[0]
-                size = np.bincount(label, minlength=k)
-                if size.min() >= least and stable(x, k):
-                    child = np.argsort(np.argsort(-size, kind="stable"))[label]
-                    break
-        return P({key: f[key], "subcluster_id": f[parent] * 10 + child})
-
-    return df.where(F.col(parent) >= 0).groupBy(parent).applyInPandas(one, f"{key} {kind}, subcluster_id int")
+    df = df.where(F.col(parent) >= 0).select(key, vec, parent)
+    chosen, middle = spread.splits(df, key, vec, parent, least, ks, gate, boots, 0.8, STARTS, seed) if not df.isEmpty() else ({}, None)
+
+    def run(frames):
+        for f in frames:
+            child = np.zeros(len(f), dtype=int)
+            for p, at in f.groupby(parent).indices.items():
+                if p in chosen:
+                    child[at] = spread.nearest(spread.with_square(f[vec].iloc[at], middle), chosen[p])
+            yield P({key: f[key], "subcluster_id": f[parent] * 10 + child})
+
+    return df.mapInPandas(run, f"{key} {kind}, subcluster_id int")
 
 
 def ari(a: np.ndarray, b: np.ndarray) -> float:

@@ -223,7 +223,7 @@ def agreement(rows: Blocks, best: dict[tuple[int, int, int], np.ndarray], asked:
         both, full = np.zeros((k * boots, k * boots)), np.zeros((k, x.shape[1]))
         for part, one in tiles(x, c, keep):
             full += one[:, 0].astype(np.float32) @ x[part]
-            flat = one[:, 1:].reshape(k * boots, -1).astype(np.float32)
+            flat = one[:, 1:].reshape(k * boots, one.shape[2]).astype(np.float32)
             both += flat @ flat.T
         return both, full
 
@@ -263,6 +263,23 @@ def scan(df: DataFrame, key: str, vec: str, ks: list[int], boots: int, share: fl
     return out
 
 
+def splits(df: DataFrame, key: str, vec: str, group: str, least: int, ks: tuple[int, ...], gate: float, boots: int, share: float, starts: int, seed: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """(by group the centres, that of most rows first, of the largest k whose clusters are big enough and stable, if any; the middle)."""
+    rows = blocks(df, key, vec, group)
+    asked = [(p, k) for p in sorted(rows.sizes) if rows.sizes[p] >= 2 * least for k in sorted(ks)]
+    out = {}
+    if asked:
+        best = fit(rows, [(p, k, FULL) for p, k in asked], starts, seed, share)
+        asked = [at for at, f in zip(asked, agreement(rows, best, asked, 0, seed, share), strict=True) if f[1].min() >= least]
+    if asked:
+        best |= fit(rows, [(p, k, b) for p, k in asked for b in range(boots)], starts, seed, share)
+        for (p, k), (aris, size, *_) in zip(asked, agreement(rows, best, asked, boots, seed, share), strict=True):
+            if aris and np.mean(aris) >= gate:
+                out[p] = best[p, k, FULL][np.argsort(-size, kind="stable")]
+    rows.made.unpersist()
+    return out, rows.middle
+
+
 def spread_of(x: np.ndarray, norm: np.ndarray, label: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
     """(sums of distances to the own cluster's mean by cluster, sum of silhouettes) of rows; n, s, q: sizes, sums and sums of squares of the clusters."""
     rows, used = np.arange(len(x)), np.maximum(n, 1)

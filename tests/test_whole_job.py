@@ -126,3 +126,16 @@ def test_blocks_that_meet_in_a_shuffle_give_the_same_fits(spark, monkeypatch):
         made.append(np.array([tuple(r) for r in K.k_scan(df, "k", "v", [3, 4], boots=2).orderBy("k").collect()], dtype=float))
     assert spread.blocks(df, "k", "v").made.getNumPartitions() == 2
     assert np.allclose(*made, atol=1e-5)
+
+
+def test_parents_are_split_without_a_task_of_their_own(spark):
+    """Two blobs of 55 and 40 rows, one of 50, three of 40 and users without a cluster; before, a parent's rows met in one task."""
+    rng = np.random.default_rng(9)
+    blobs = [(0, 0, 40), (0, 5, 55), (1, 0, 50), (2, 0, 40), (2, 5, 41), (2, 10, 42), (-1, 0, 70)]
+    x = [(p, rng.normal(at, 0.2, 3).tolist(), at) for p, at, n in blobs for _ in range(n)]
+    df = spark.createDataFrame([(i, p, v) for i, (p, v, _) in enumerate(x)], "k long, p int, v array<double>")
+    made = K.split_parents(df.repartition(3), "k", "v", "p", boots=4)
+    assert made.columns == ["k", "subcluster_id"] and "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    right = {(0, 5): 0, (0, 0): 1, (1, 0): 10, (2, 10): 20, (2, 5): 21, (2, 0): 22}
+    assert {r.k: r.subcluster_id for r in made.collect()} == {i: right[p, at] for i, (p, _, at) in enumerate(x) if p >= 0}
+    assert K.split_parents(df.where("p < 0"), "k", "v", "p").count() == 0
