@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.workers import importable
 
-SEEDS, STEPS, FULL = 2000, 100, -1
+SEEDS, PARTS, STEPS, FULL = 2000, 32, 100, -1
 #: Bytes of a partition's vectors; rows and centres that are compared at once; centres that move in one pass; tasks of a pass for each core.
 BYTES, TILE, CENTRES, PASS, TASKS = 32 << 20, 1024, 512, 32_768, 4
 
@@ -42,8 +42,7 @@ def blocks(df: DataFrame, key: str, vec: str, group: str | None = None) -> Block
     importable(spark)
     rows = df.select((F.lit(0) if group is None else F.col(group)).cast("long").alias("p"), F.xxhash64(key, vec).alias("h"), F.col(vec).cast("array<double>").alias("v"))
     sizes = {r.p: r["count"] for r in rows.groupBy("p").count().collect()}
-    least = rows.orderBy("h").limit(SEEDS) if group is None else rows.withColumn("at", F.row_number().over(W.partitionBy("p").orderBy("h"))).where(F.col("at") <= SEEDS).orderBy("p", "at")
-    seeds = least.select("p", "v").toPandas()
+    seeds = (rows.orderBy("h").limit(SEEDS) if group is None else least_by_group(rows)).select("p", "v").toPandas()
     every = np.array(seeds["v"].tolist(), dtype=np.float64)
     middle = every.mean(0)
     first = {p: every[seeds["p"].to_numpy() == p] - middle for p in sizes}
@@ -66,6 +65,13 @@ def blocks(df: DataFrame, key: str, vec: str, group: str | None = None) -> Block
     return Blocks(made.persist(StorageLevel.MEMORY_AND_DISK), sizes, first, middle)
 
 
+def least_by_group(rows: DataFrame) -> DataFrame:
+    """The SEEDS rows of least hash of each group, in that order: first of each of PARTS parts of a group, so a task meets SEEDS * PARTS rows of a group at most."""
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("h"))
+    some = rows.withColumn("at", rank("p", F.pmod("h", F.lit(PARTS)))).where(F.col("at") <= SEEDS)
+    return some.withColumn("at", rank("p")).where(F.col("at") <= SEEDS).orderBy("p", "at")
+
+
 def with_square(vectors, middle: np.ndarray) -> np.ndarray:
     x = (np.array(vectors.tolist(), dtype=np.float64) - middle).astype(np.float32)
     return np.concatenate([x, np.ones((len(x), 1), np.float32), (x**2).sum(1)[:, None]], 1)

@@ -139,3 +139,14 @@ def test_parents_are_split_without_a_task_of_their_own(spark):
     right = {(0, 5): 0, (0, 0): 1, (1, 0): 10, (2, 10): 20, (2, 5): 21, (2, 0): 22}
     assert {r.k: r.subcluster_id for r in made.collect()} == {i: right[p, at] for i, (p, _, at) in enumerate(x) if p >= 0}
     assert K.split_parents(df.where("p < 0"), "k", "v", "p").count() == 0
+
+
+def test_rows_that_seed_a_group_are_found_in_parts(spark, monkeypatch):
+    """All rows of a group met in one task's sort before."""
+    monkeypatch.setattr(spread, "SEEDS", 5)
+    rows = spark.createDataFrame([(i % 3, hash((i, "x")) if i % 2 else -i, [float(i)]) for i in range(400)], "p long, h long, v array<double>")
+    got = [(r.p, r.h) for r in spread.least_by_group(rows).collect()]
+    every = [(r.p, r.h) for r in rows.collect()]
+    assert got == [at for p in range(3) for at in sorted(r for r in every if r[0] == p)[:5]]
+    plan = spread.least_by_group(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") >= 2 and "pmod" in plan
