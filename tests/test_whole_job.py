@@ -150,3 +150,30 @@ def test_rows_that_seed_a_group_are_found_in_parts(spark, monkeypatch):
     assert got == [at for p in range(3) for at in sorted(r for r in every if r[0] == p)[:5]]
     plan = spread.least_by_group(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number()") >= 2 and "pmod" in plan
+
+
+def rated(spark, tmp_path):
+    """Ratings under ids of each remainder by 3, missing ones among them; users 0, 3, 7 are of cluster 0, 1, 4, 8 of 1, 2 of 2, 6 of none."""
+    bought = [(0, 2.0 + i % 3) for i in range(24)] + [(1, 7.0 + i % 4) for i in range(24)] + [(2, 9.0), (6, 3.0), (7, 5.0), (4, None)]
+    kinds = [(u, "purchase", v) for u, v in bought] + [(3, "view", 1.0), (8, "view", 8.0), (2, "error", 2.0), (1, "error", 4.0)]
+    spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(u, c) for c, us in enumerate(((0, 3, 7), (1, 4, 8), (2,))) for u in us], "vec_id long, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert bought.index((7, 5.0)) % 3 != 0
+    return str(tmp_path), bought
+
+
+def by_sql(d, name, cols):
+    con = duckdb.connect()
+    for t in ("events", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    return con.execute(f"SELECT {', '.join(cols)} FROM ({catalog.ORACLE[name]})").fetchall()
+
+
+def test_fallback_is_the_mean_of_every_rating(spark, tmp_path):
+    """All that are not missing, whatever their event's id; for a time only ids divisible by 3 were rated, in query and SQL."""
+    d, bought = rated(spark, tmp_path)
+    df = catalog.QUERIES["priority_fallback"](spark, d)
+    got = sorted(tuple(r) for r in df.collect())
+    mean = np.mean([v for _, v in bought if v is not None])
+    assert [(c, fallback, n) for c, _, fallback, n in got] == [(c, True, 3) for c in (-1, 0, 1, 2)]
+    assert np.allclose([r[1] for r in got], mean) and np.allclose(np.array(got, dtype=float), np.array(sorted(by_sql(d, "priority_fallback", df.columns)), dtype=float))
