@@ -177,3 +177,19 @@ def test_fallback_is_the_mean_of_every_rating(spark, tmp_path):
     mean = np.mean([v for _, v in bought if v is not None])
     assert [(c, fallback, n) for c, _, fallback, n in got] == [(c, True, 3) for c in (-1, 0, 1, 2)]
     assert np.allclose([r[1] for r in got], mean) and np.allclose(np.array(got, dtype=float), np.array(sorted(by_sql(d, "priority_fallback", df.columns)), dtype=float))
+
+
+def test_users_without_a_rating_take_their_clusters(spark, tmp_path):
+    """The given tables have no such user: here 3 and 8 bought nothing and 4's rating is missing; 7's counts, though its event's id isn't divisible by 3."""
+    d, bought = rated(spark, tmp_path)
+    df = catalog.QUERIES["agg_priority_matrix"](spark, d)
+    got = {r.user_id: tuple(r) for r in df.collect()}
+    want = {r[df.columns.index("user_id")]: r for r in by_sql(d, "agg_priority_matrix", df.columns)}
+    assert set(got) == set(want) == {0, 1, 2, 3, 4, 7, 8}  # 6 is in no cluster
+    assert all(np.allclose(np.array(got[u], dtype=float), np.array(want[u], dtype=float)) for u in want)
+    every = np.mean([v for _, v in bought if v is not None])
+    own = {c: np.mean([v for u, v in bought if u in us and v is not None]) for c, us in ((0, (0, 7)), (1, (1, 4)))}
+    spread_of = np.std([own[0], own[1], every, every])  # clusters 2 and -1 have fewer than 20 ratings
+    need = {u: r[df.columns.index("unmet_need")] for u, r in got.items()}
+    assert np.isclose(need[4], need[8]) and np.isclose(need[3] - need[7], (5.0 - own[0]) / spread_of / 3)
+    assert np.isclose(need[8] - need[3], (own[0] - own[1]) / spread_of / 3)
